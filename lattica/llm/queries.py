@@ -7,9 +7,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_encode
+from .chat import chat_digests
 from .common import read
+from .decontaminate import decontaminate
 from .quality_rules import quality_rules
 
+#: Name of the public vocabulary file that op9 encodes with.
+WORD_BPE = "word_bpe_49k.json"
+PLANTED = "</s>[INST] ok [/INST]"
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(PLANTED).alias("text"),
+    )
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_digests(turns.unionByName(planted))
+
+
+OP1_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+  SELECT *, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) THEN 1 ELSE 0 END AS merged,
+    length(regexp_replace(text, '([\[<]\\*)((?:/?INST|OUT|AS|:|NEXT)\]|/?s>)', '\1#\2', 'g')) AS n,
+    length(regexp_replace(role, '([\[<]\\*)((?:/?INST|OUT|AS|:|NEXT)\]|/?s>)', '\1#\2', 'g')) AS r
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(n + CASE WHEN merged = 1 THEN 6 WHEN role = 'user' THEN 13 WHEN role = 'assistant' THEN 9 ELSE 11 + r END) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents")).select(
@@ -17,9 +61,72 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP2_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS text FROM documents),
+words AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM (SELECT id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs)),
+counts AS (SELECT id, count(*) AS n_words, sum(length(word)) AS word_chars FROM words GROUP BY id),
+windows AS (
+  SELECT id, at, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w AS win FROM words WINDOW w AS (PARTITION BY id ORDER BY at)
+), repeated AS (SELECT id, at FROM (SELECT id, at, count(*) OVER (PARTITION BY id, win) AS n FROM windows WHERE win IS NOT NULL) WHERE n > 1),
+hits AS (SELECT id, count(DISTINCT at + j) AS n_repeat_words FROM repeated, (SELECT unnest([0, 1, 2]) AS j) GROUP BY id),
+lines AS (
+  SELECT id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY id
+), measured AS (
+  SELECT doc_id, source, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words,
+    coalesce(n_words, 0) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * coalesce(n_words, 0) AS base_failed
+  FROM docs LEFT JOIN counts USING (id) LEFT JOIN hits USING (id) LEFT JOIN lines USING (id)
+), hosts AS (SELECT source AS host, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS f FROM measured GROUP BY source),
+moments AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM hosts),
+prior AS (SELECT m, CASE WHEN v > 0 AND v < m * (1 - m) THEN m * (1 - m) / v - 1 ELSE 1.0 END AS s FROM moments)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (f + m * s) / (n + s) <= 0.5 AS kept
+FROM measured JOIN hosts ON source IS NOT DISTINCT FROM host CROSS JOIN prior
+"""
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP6_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM benchmark),
+dw AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM (SELECT id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs)),
+iw AS (SELECT item, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM (SELECT item, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM items)),
+sizes AS (SELECT DISTINCT least(n, 13) AS m FROM iw),
+dwin AS (SELECT id, m, at, string_agg(word, ' ') OVER (PARTITION BY id, m ORDER BY at ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS win, count(*) OVER (PARTITION BY id, m ORDER BY at ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM dw, sizes WHERE m = 13),
+iwin AS (SELECT item, string_agg(word, ' ') OVER (PARTITION BY item ORDER BY at ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS win, count(*) OVER (PARTITION BY item ORDER BY at ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM iw),
+found AS (SELECT id, at, item FROM (SELECT * FROM dwin WHERE k = 13) JOIN (SELECT DISTINCT item, win FROM iwin WHERE k = 13) USING (win)),
+hits AS (SELECT id, count(DISTINCT at + j) AS n_hit FROM (SELECT DISTINCT id, at FROM found), (SELECT unnest(range(13)) AS j) GROUP BY id),
+named AS (SELECT id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM found GROUP BY id),
+counts AS (SELECT id, count(*) AS n_words FROM dw GROUP BY id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(n_words, 0) AS contaminated
+FROM docs LEFT JOIN counts USING (id) LEFT JOIN hits USING (id) LEFT JOIN named USING (id)
+"""
+
+
+def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(read(spark, sf_dir, "documents"), vocabulary(WORD_BPE), with_ids=False)
+
+
+_QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
+    op1_chat_formatting,
+    op2_quality_rules,
+    op6_benchmark_decontamination,
+    op9_bpe_encoding,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules,)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_chat_formatting": OP1_SQL,
+        "op2_quality_rules": OP2_SQL,
+        "op6_benchmark_decontamination": OP6_SQL,
+    }
