@@ -43,6 +43,19 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def unassigned() -> str:
+    """A pattern for the characters that Python's Unicode tables lack."""
+    out, start = [], None
+    for x in range(0x80, 0x110001):
+        lacking = x < 0x110000 and unicodedata.category(chr(x)) == "Cn"
+        if lacking and start is None:
+            start = x
+        elif not lacking and start is not None:
+            out.append(f"\\U{start:08x}-\\U{x - 1:08x}")
+            start = None
+    return "[" + "".join(out) + "]"
+
+
 class Bpe:
     """A word-level BPE vocabulary: ids, merges, and what each pre-token encodes to."""
 
@@ -79,7 +92,7 @@ class Bpe:
         self.packed = {i: i.to_bytes(4, "little") for i in self.names}
         self.cache: dict[str, tuple[bytes, str]] = {}
         self.chunks: dict[str, tuple[bytes, str]] = {}
-        self.definition, self.library, self.newer = definition, None, regex.compile(r"\p{Cn}|[\u0558\u058b\u058c]")
+        self.definition, self.library, self.newer = definition, None, regex.compile(unassigned())
 
     def spine(self, token: int, side: int, known: dict) -> list[tuple[int, float]]:
         """The parts of a token at its right (1) or left (0) edge, smallest last, each with the rank of the merge that takes it in."""

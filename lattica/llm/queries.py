@@ -63,12 +63,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH docs AS (SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS text FROM documents),
-words AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM (SELECT id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs)),
+words AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs)),
 counts AS (SELECT id, count(*) AS n_words, sum(length(word)) AS word_chars FROM words GROUP BY id),
 windows AS (
-  SELECT id, at, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w AS win FROM words WINDOW w AS (PARTITION BY id ORDER BY at)
-), repeated AS (SELECT id, at FROM (SELECT id, at, count(*) OVER (PARTITION BY id, win) AS n FROM windows WHERE win IS NOT NULL) WHERE n > 1),
-hits AS (SELECT id, count(DISTINCT at + j) AS n_repeat_words FROM repeated, (SELECT unnest([0, 1, 2]) AS j) GROUP BY id),
+  SELECT id, pos, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w AS win FROM words WINDOW w AS (PARTITION BY id ORDER BY pos)
+), repeated AS (SELECT id, pos FROM (SELECT id, pos, count(*) OVER (PARTITION BY id, win) AS n FROM windows WHERE win IS NOT NULL) WHERE n > 1),
+hits AS (SELECT id, count(DISTINCT pos + j) AS n_repeat_words FROM repeated, (SELECT unnest([0, 1, 2]) AS j) GROUP BY id),
 lines AS (
   SELECT id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM docs)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY id
@@ -93,13 +93,13 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 OP6_SQL = r"""
 WITH docs AS (SELECT row_number() OVER () AS id, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 items AS (SELECT CAST(item_id AS VARCHAR) AS item, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM benchmark),
-dw AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM (SELECT id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs)),
-iw AS (SELECT item, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM (SELECT item, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM items)),
+dw AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs)),
+iw AS (SELECT item, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT item, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM items)),
 sizes AS (SELECT DISTINCT least(n, 13) AS m FROM iw),
-dwin AS (SELECT id, m, at, string_agg(word, ' ') OVER (PARTITION BY id, m ORDER BY at ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS win, count(*) OVER (PARTITION BY id, m ORDER BY at ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM dw, sizes WHERE m = 13),
-iwin AS (SELECT item, string_agg(word, ' ') OVER (PARTITION BY item ORDER BY at ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS win, count(*) OVER (PARTITION BY item ORDER BY at ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM iw),
-found AS (SELECT id, at, item FROM (SELECT * FROM dwin WHERE k = 13) JOIN (SELECT DISTINCT item, win FROM iwin WHERE k = 13) USING (win)),
-hits AS (SELECT id, count(DISTINCT at + j) AS n_hit FROM (SELECT DISTINCT id, at FROM found), (SELECT unnest(range(13)) AS j) GROUP BY id),
+dwin AS (SELECT id, m, pos, string_agg(word, ' ') OVER (PARTITION BY id, m ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS win, count(*) OVER (PARTITION BY id, m ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM dw, sizes WHERE m = 13),
+iwin AS (SELECT item, string_agg(word, ' ') OVER (PARTITION BY item ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS win, count(*) OVER (PARTITION BY item ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM iw),
+found AS (SELECT id, pos, item FROM (SELECT * FROM dwin WHERE k = 13) JOIN (SELECT DISTINCT item, win FROM iwin WHERE k = 13) USING (win)),
+hits AS (SELECT id, count(DISTINCT pos + j) AS n_hit FROM (SELECT DISTINCT id, pos FROM found), (SELECT unnest(range(13)) AS j) GROUP BY id),
 named AS (SELECT id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM found GROUP BY id),
 counts AS (SELECT id, count(*) AS n_words FROM dw GROUP BY id)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
