@@ -11,6 +11,7 @@ from .bpe import bpe_encode
 from .chat import chat_digests
 from .common import read
 from .decontaminate import decontaminate
+from .ngram_join import ngram_jaccard_join
 from .quality_rules import quality_rules
 
 #: Name of the public vocabulary file that op9 encodes with.
@@ -86,6 +87,10 @@ FROM measured JOIN hosts ON source IS NOT DISTINCT FROM host CROSS JOIN prior
 """
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(read(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -115,6 +120,7 @@ def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_chat_formatting,
     op2_quality_rules,
+    op3_ngram_jaccard_join,
     op6_benchmark_decontamination,
     op9_bpe_encoding,
 )
