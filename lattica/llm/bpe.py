@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
@@ -93,6 +94,7 @@ class Bpe:
         self.cache: dict[str, tuple[bytes, str]] = {}
         self.chunks: dict[str, tuple[bytes, str]] = {}
         self.definition, self.library, self.newer = definition, None, regex.compile(unassigned())
+        self.rare = re.compile(r"[^\x00-\u0377]")
 
     def spine(self, token: int, side: int, known: dict) -> list[tuple[int, float]]:
         """The parts of a token at its right (1) or left (0) edge, smallest last, each with the rank of the merge that takes it in."""
@@ -194,7 +196,7 @@ class Bpe:
             if part in self.special:
                 add((self.packed[self.special[part]], part))
                 continue
-            if not part.isascii() and self.newer.search(part):
+            if self.rare.search(part) and self.newer.search(part):
                 pieces += [self.word(x) for x in self.split_by_library(part)]
                 continue
             for chunk in self.normal(part).split(" "):

@@ -13,6 +13,7 @@ from .common import read
 from .decontaminate import decontaminate
 from .ngram_join import ngram_jaccard_join
 from .quality_rules import quality_rules
+from .suffix_dedup import suffix_dedup
 
 #: Name of the public vocabulary file that op9 encodes with.
 WORD_BPE = "word_bpe_49k.json"
@@ -117,12 +118,17 @@ def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(read(spark, sf_dir, "documents"), vocabulary(WORD_BPE), with_ids=False)
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read(spark, sf_dir, "documents")).drop("kept")
+
+
 _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_chat_formatting,
     op2_quality_rules,
     op3_ngram_jaccard_join,
     op6_benchmark_decontamination,
     op9_bpe_encoding,
+    op10_suffix_array_dedup,
 )
 
 
