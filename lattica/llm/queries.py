@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .chat import chat_digests
+from .classifier import quality_classifier
 from .common import read
 from .decontaminate import decontaminate
+from .line_dedup import line_dedup
 from .ngram_join import ngram_jaccard_join
 from .quality_rules import quality_rules
 from .suffix_dedup import suffix_dedup
+from .token_counts import pieces_of, token_counts, zipf_scores
 
-#: Name of the public vocabulary file that op9 encodes with.
+#: Public vocabulary files that op9 encodes with, and whose pieces op8 counts.
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 PLANTED = "</s>[INST] ok [/INST]"
 
 
@@ -92,6 +96,27 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(read(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_deleted", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
+OP5_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id, text FROM documents),
+parts AS (SELECT id, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM docs WHERE text IS NOT NULL),
+lines AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place) AS k FROM parts WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+pairs AS (SELECT id, doc_id, k, line || chr(10) || lead(line) OVER (PARTITION BY id ORDER BY k) AS run FROM lines),
+later AS (SELECT id, k FROM (SELECT id, k, rank() OVER (PARTITION BY run ORDER BY doc_id, k) AS r FROM pairs WHERE run IS NOT NULL) WHERE r > 1),
+long AS (SELECT id, k FROM (SELECT id, k, rank() OVER (PARTITION BY line ORDER BY doc_id, k) AS r FROM lines WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50) WHERE r > 1),
+gone AS (SELECT DISTINCT id, place, 1 AS hit FROM lines JOIN (SELECT id, k FROM later UNION SELECT id, k + 1 FROM later UNION SELECT id, k FROM long) USING (id, k)),
+marked AS (SELECT id, place, line, coalesce(hit, 0) AS hit, CASE WHEN hit = 1 AND coalesce(lag(hit) OVER (PARTITION BY id ORDER BY place), 0) = 0 THEN 1 ELSE 0 END AS starts FROM parts LEFT JOIN gone USING (id, place)),
+summed AS (SELECT id, count(*) AS n_lines, CAST(sum(hit) AS BIGINT) AS n_deleted, CAST(sum(starts) AS BIGINT) AS n_runs, string_agg(line, chr(10) ORDER BY place) FILTER (WHERE hit = 0) AS kept FROM marked GROUP BY id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, coalesce(n_runs, 0) AS n_runs, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN summed USING (id)
+"""
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -114,6 +139,14 @@ FROM docs LEFT JOIN counts USING (id) LEFT JOIN hits USING (id) LEFT JOIN named
 """
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"), zipf_scores(pieces_of(vocabulary(PIECES))))
+
+
 def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(read(spark, sf_dir, "documents"), vocabulary(WORD_BPE), with_ids=False)
 
@@ -126,7 +159,10 @@ _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_chat_formatting,
     op2_quality_rules,
     op3_ngram_jaccard_join,
+    op5_line_dedup,
     op6_benchmark_decontamination,
+    op7_quality_classifier,
+    op8_token_counts,
     op9_bpe_encoding,
     op10_suffix_array_dedup,
 )
@@ -140,5 +176,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_formatting": OP1_SQL,
         "op2_quality_rules": OP2_SQL,
+        "op5_line_dedup": OP5_SQL,
         "op6_benchmark_decontamination": OP6_SQL,
     }
