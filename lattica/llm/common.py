@@ -6,6 +6,7 @@ all texts lie in one array, ``offsets`` says where each text begins.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -13,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel looks at in one go; a longer text is a batch of its own.
 CHUNK_BYTES = 2 << 20
@@ -29,7 +31,41 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         shared = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lattica-checkpoint-")
         sc.setCheckpointDir(shared)
-    return df.checkpoint()
+    done = df.checkpoint()
+    tidy(df.sparkSession)
+    return done
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files that no DataFrame leads to any more.
+
+    The cleaner acts on what the driver's collectors have found to be garbage, and a
+    driver that does little may not collect for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+class KeyFilter:
+    """A bit for each of many 64-bit hashes; tells surely which ones are not among them.
+
+    It has 16 MB at most: with more keys it passes more, and an exact join follows.
+    """
+
+    MOST_BITS = 1 << 27
+
+    def __init__(self, keys: DataFrame, key: str):
+        n = keys.count()
+        self.bits = 1 << min(self.MOST_BITS.bit_length() - 1, max(16, (16 * n).bit_length()))
+        bit = F.col(key).bitwiseAND(self.bits - 1).alias("bit")
+        words = keys.select(bit).selectExpr("shiftright(bit, 6) as word", "shiftleft(1L, cast(bit & 63 as int)) as flags")
+        found = words.groupBy("word").agg(F.bit_or("flags").alias("flags")).toPandas()
+        self.words = np.zeros(self.bits // 64, np.int64)
+        self.words[found["word"].to_numpy(np.int64)] = found["flags"].to_numpy(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        bit = (keys.view(np.uint64) & np.uint64(self.bits - 1)).astype(np.int64)
+        return (self.words[bit >> 6] >> (bit & 63)) & 1 == 1
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

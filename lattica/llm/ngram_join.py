@@ -100,15 +100,17 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
 
 
-def _encode(k: int, frequent: np.ndarray, percent: int, whole: bool) -> Callable:
-    """Size, signature and head of each set; or the whole set."""
+def _encode(k: int, frequent: np.ndarray, percent: int, passed=None) -> Callable:
+    """Size, signature and head of each set; or the whole sets of documents that a filter passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _ordered(frequent)
         for batch in batches:
+            if passed is not None:
+                batch = batch.filter(pa.array(passed.value(batch.column("h").to_numpy())))
             for part, data, offsets in c.chunks(batch, "text"):
                 sets = [codes(x) for x in _sets(data, offsets, k)]
-                if whole:
+                if passed is not None:
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(sets)], names=["doc_id", "codes"])
                     continue
                 n = np.array([len(x) for x in sets], np.int64)
@@ -120,13 +122,13 @@ def _encode(k: int, frequent: np.ndarray, percent: int, whole: bool) -> Callable
     return run
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, encode: Callable, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) that reach the similarity."""
-    side = lambda t, x, y: t.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col(y).alias(f"{y}_{x}"))
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("head").alias(f"head_{x}"))
     need = F.expr(f"{percent} * (n_a + n_b)")
-    bounded = (
-        pairs.join(side(classes, "a", "head"), "a")
-        .join(side(classes, "b", "head"), "b")
+    bounded = c.checkpointed(
+        pairs.join(side("a"), "a")
+        .join(side("b"), "b")
         .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
         .withColumn("reach", F.expr("least(element_at(head_a, -1), element_at(head_b, -1))"))
         .withColumn(
@@ -136,6 +138,10 @@ def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
         .where((100 + percent) * F.col("most") >= need)
         .select("a", "b", "n_a", "n_b")
     )
+    wanted = c.checkpointed(bounded.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().withColumn("h", F.xxhash64("doc_id")))
+    passed = rows.sparkSession.sparkContext.broadcast(c.KeyFilter(wanted, "h"))
+    coded = c.map_batches(rows.select("doc_id", "text", F.xxhash64("doc_id").alias("h")), encode(passed), "doc_id long, codes array<long>")
+    sets = c.checkpointed(coded.join(wanted.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "codes"]))
     whole = lambda x: sets.select(F.col("doc_id").alias(x), F.col("codes").alias(f"codes_{x}"))
     common = F.size(F.array_intersect("codes_a", "codes_b"))
     return bounded.join(whole("a"), "a").join(whole("b"), "b").where((100 + percent) * common >= need).select("a", "b")
@@ -152,7 +158,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = frequent_shingles(rows, k)
-    measured = c.checkpointed(c.map_batches(rows, _encode(k, frequent, percent, False), "doc_id long, n long, k1 long, k2 long, head array<long>"))
+    measured = c.checkpointed(c.map_batches(rows, _encode(k, frequent, percent), "doc_id long, n long, k1 long, k2 long, head array<long>"))
     full = measured.where("n > 0")
     cids = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"))
     classes = c.checkpointed(
@@ -164,11 +170,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     stars = (
         live.select("cid", F.explode(F.array("low", "high")).alias("pivot")).where("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
     )
-    wanted = live.select("cid").distinct()
-    sets = c.checkpointed(
-        c.map_batches(rows.join(wanted, rows["doc_id"] == wanted["cid"], "left_semi"), _encode(k, frequent, percent, True), "doc_id long, codes array<long>").dropDuplicates(["doc_id", "codes"])
-    )
-    first = c.checkpointed(components(_linked(stars, classes, sets, percent)))
+    encode = lambda passed: _encode(k, frequent, percent, passed)
+    first = c.checkpointed(components(_linked(stars, classes, rows, encode, percent)))
     labelled = live.select("shingle", "cid", "n", "at").join(first, live["cid"] == first["node"], "left").select("shingle", "cid", "n", "at", F.coalesce("root", "cid").alias("label"))
     mixed = labelled.groupBy("shingle").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("shingle")
     labelled = labelled.join(mixed, "shingle")
@@ -182,7 +185,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         .distinct()
     )
     roots = first.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    final = components(_linked(rest, classes, sets, percent).union(roots))
+    final = components(_linked(rest, classes, rows, encode, percent).union(roots))
     members = cids.join(final, cids["cid"] == final["node"], "left").select(F.col("k1").alias("m1"), F.col("k2").alias("m2"), F.coalesce("root", "cid").alias("component_id"))
     found = measured.join(members, (F.col("n") > 0) & (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from . import common as c
 
 _CORE = 48
-#: Bits of the filters that spare the second reading what cannot be repeated (16 MB each at most).
-_MOST_BITS = 1 << 27
 _RUN_BYTES = 16 << 20
 _BUCKET_BYTES = 8 << 20
 _PREFIX = 64
+#: Place of the one scope that stands for a repeated one; no span comes from it.
+_ELSEWHERE = -(1 << 60)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, size: int, core: int = _CORE) -> tuple[np.ndarray, ...]:
@@ -88,40 +88,25 @@ def _long(x: np.ndarray) -> pa.Array:
 def _fingerprints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in c.chunks(batch, "text"):
-                *_, core, s1, s2 = _scopes(data, offsets, size)
-                yield pa.RecordBatch.from_arrays([_long(core), _long(s1), _long(s2)], names=["core", "s1", "s2"])
+            for part, data, offsets in c.chunks(batch, "text"):
+                text, *_, core, s1, s2 = _scopes(data, offsets, size)
+                rk = part.column("rk").to_numpy()[text]
+                yield pa.RecordBatch.from_arrays([_long(core), _long(s1), _long(s2), pa.array(rk)], names=["core", "s1", "s2", "rk"])
 
     return run
 
 
-class Filter:
-    """A bit for each of many keys; tells surely which keys are not among them."""
-
-    def __init__(self, keys: DataFrame, key: str):
-        n = keys.count()
-        self.bits = 1 << min(_MOST_BITS.bit_length() - 1, max(16, (16 * n).bit_length()))
-        bit = F.col(key).bitwiseAND(self.bits - 1)
-        words = keys.select(bit.alias("bit")).selectExpr("shiftright(bit, 6) as word", "shiftleft(1L, cast(bit & 63 as int)) as set")
-        found = words.groupBy("word").agg(F.bit_or("set").alias("set")).toPandas()
-        self.words = np.zeros(self.bits // 64, np.int64)
-        self.words[found["word"].to_numpy(np.int64)] = found["set"].to_numpy(np.int64)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        bit = (keys & np.uint64(self.bits - 1)).astype(np.int64)
-        return (self.words[bit >> 6] >> (bit & 63)) & 1 == 1
-
-
-def _candidates(size: int, settled, contested):
-    """Scopes that may be repeated, with their bytes where they may be contested."""
+def _candidates(size: int, settled, contested, chosen):
+    """Scopes that may be repeated; where they may be contested, each one's bytes, once of those that are equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, part_of = settled.value, contested.value
+        whole, part_of, picked = settled.value, contested.value, chosen.value
         for batch in batches:
             for part, data, offsets in c.chunks(batch, "text"):
                 text, anchor, first, end, core, s1, s2 = _scopes(data, offsets, size)
-                open_ = part_of(core)
-                take = np.flatnonzero(open_ | whole(s1))
+                open_, many = part_of(core), whole(s1)
+                open_ &= ~many | picked(s1 ^ part.column("rk").to_numpy()[text].view(np.uint64))
+                take = np.flatnonzero(open_ | many)
                 rk = part.column("rk").to_numpy()[text[take]]
                 base = offsets[text[take]]
                 body = [data[a:b].tobytes() if o else None for a, b, o in zip(first[take], end[take], open_[take], strict=True)]
@@ -366,23 +351,32 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _live(rows: DataFrame, size: int) -> DataFrame:
+    """Scopes that are repeated or share a core with another scope."""
+    counted = c.checkpointed(
+        c.map_batches(rows, _fingerprints(size), "core long, s1 long, s2 long, rk long")
+        .groupBy("core", "s1", "s2")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("rk").alias("low"))
+    )
+    cores = counted.groupBy("core").agg(F.count(F.lit(1)).alias("scopes"), F.min("n").alias("least"), F.max("n").alias("most")).where("scopes > 1 or most > 1")
+    return c.checkpointed(counted.join(cores, "core").select("core", "s1", "s2", "n", "low", F.expr("scopes > 1 and least = 1").alias("contested")))
+
+
 def repeated_spans(rows: DataFrame, size: int) -> DataFrame:
     """Spans (rk, start, end) of rows (rk, text) whose bytes stand in repeated windows."""
-    counted = c.map_batches(rows.select("text"), _fingerprints(size), "core long, s1 long, s2 long").groupBy("core", "s1", "s2").agg(F.count(F.lit(1)).alias("n"))
-    counted = c.checkpointed(counted)
-    cores = counted.groupBy("core").agg(F.count(F.lit(1)).alias("scopes"), F.min("n").alias("least"), F.max("n").alias("most")).where("scopes > 1 or most > 1")
-    live = c.checkpointed(counted.join(cores, "core").select("core", "s1", "s2", "n", F.expr("scopes > 1 and least = 1").alias("contested")))
+    live = _live(rows, size)
     sc = rows.sparkSession.sparkContext
-    settled = sc.broadcast(Filter(live.where("n > 1").select("s1"), "s1"))
-    contested = sc.broadcast(Filter(live.where("contested").select("core").distinct(), "core"))
+    settled = sc.broadcast(c.KeyFilter(live.where("n > 1").select("s1"), "s1"))
+    contested = sc.broadcast(c.KeyFilter(live.where("contested").select("core").distinct(), "core"))
+    chosen = sc.broadcast(c.KeyFilter(live.where("contested and n > 1").selectExpr("s1 ^ low as own"), "own"))
     kind = "rk long, anchor long, first long, end long, core long, s1 long, s2 long, body binary"
-    found = c.checkpointed(c.map_batches(rows, _candidates(size, settled, contested), kind).join(live, ["core", "s1", "s2"]))
+    found = c.checkpointed(c.map_batches(rows, _candidates(size, settled, contested, chosen), kind).join(live, ["core", "s1", "s2"]))
     whole = found.where("n > 1").select("rk", F.col("first").alias("start"), "end")
-    one = found.where("contested and n > 1").groupBy("core", "s1", "s2").agg(F.min("rk").alias("rk")).join(found.where("contested and n > 1"), ["core", "s1", "s2", "rk"])
+    twins = found.where("contested and n > 1 and rk = low").groupBy("core", "s1", "s2").agg(F.first("body").alias("body"))
     members = found.where("contested and n = 1").select("rk", "anchor", "first", "body").union(
-        one.groupBy("core", "s1", "s2", "rk").agg(F.min("anchor").alias("anchor")).join(found, ["core", "s1", "s2", "rk", "anchor"]).select("rk", "anchor", "first", "body")
-    ).dropDuplicates(["rk", "anchor"])
-    return whole.union(_contested_spans(c.checkpointed(members), size))
+        twins.select(F.col("s1").alias("rk"), F.col("s2").alias("anchor"), F.lit(_ELSEWHERE).cast("long").alias("first"), "body")
+    )
+    return whole.union(_contested_spans(c.checkpointed(members), size).where("start >= 0"))
 
 
 def suffix_dedup(docs: DataFrame, size: int = 200) -> DataFrame:
