@@ -105,7 +105,7 @@ def _candidates(size: int, settled, contested, chosen):
             for part, data, offsets in c.chunks(batch, "text"):
                 text, anchor, first, end, core, s1, s2 = _scopes(data, offsets, size)
                 open_, many = part_of(core), whole(s1)
-                open_ &= ~many | picked(s1 ^ part.column("rk").to_numpy()[text].view(np.uint64))
+                open_ &= picked(s1 ^ part.column("rk").to_numpy()[text].view(np.uint64))
                 take = np.flatnonzero(open_ | many)
                 rk = part.column("rk").to_numpy()[text[take]]
                 base = offsets[text[take]]
@@ -368,7 +368,7 @@ def repeated_spans(rows: DataFrame, size: int) -> DataFrame:
     sc = rows.sparkSession.sparkContext
     settled = sc.broadcast(c.KeyFilter(live.where("n > 1").select("s1"), "s1"))
     contested = sc.broadcast(c.KeyFilter(live.where("contested").select("core").distinct(), "core"))
-    chosen = sc.broadcast(c.KeyFilter(live.where("contested and n > 1").selectExpr("s1 ^ low as own"), "own"))
+    chosen = sc.broadcast(c.KeyFilter(live.where("contested").selectExpr("s1 ^ low as own"), "own"))
     kind = "rk long, anchor long, first long, end long, core long, s1 long, s2 long, body binary"
     found = c.checkpointed(c.map_batches(rows, _candidates(size, settled, contested, chosen), kind).join(live, ["core", "s1", "s2"]))
     whole = found.where("n > 1").select("rk", F.col("first").alias("start"), "end")
