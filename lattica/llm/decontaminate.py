@@ -17,12 +17,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common as c
 
 #: Lower case for A-Z, and a space for each ASCII character that is no letter or digit.
 _WORDS = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x > 127 else 32 for x in range(256))
-_SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+_SPANS, _ITEMS = "__spans", "__items"
+_FOUND = tuple("__found_" + x for x in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -87,7 +89,7 @@ def _step(items: list[tuple[str, bytes]], window: int, last: bool, percent: int)
         for batch in batches:
             out: list[tuple] = []
             for text, spans, names in zip(
-                pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True
+                pc.fill_null(batch.column("text"), "").cast(pa.binary()).to_pylist(), batch.column(_SPANS).to_pylist(), batch.column(_ITEMS).to_pylist(), strict=True
             ):
                 words = words_of(text)
                 more, found = searcher.search(words)
@@ -97,15 +99,11 @@ def _step(items: list[tuple[str, bytes]], window: int, last: bool, percent: int)
                     n, hit = len(words), covered(spans)
                     out.append((n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0 and 100 * hit >= percent * n))
                 else:
-                    out.append((spans, names))
-            kept = [batch.column("doc_id")]
-            if last:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-                cols = [pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*kept, *cols], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-            else:
-                cols = [pa.array([[list(s) for s in x[0]] for x in out], pa.list_(pa.list_(pa.int32()))), pa.array([x[1] for x in out], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*kept, batch.column("text"), *cols], names=["doc_id", "text", "spans", "items"])
+                    out.append(([list(x) for x in spans], names))
+            kept = [x for x in batch.schema.names if x not in (_SPANS, _ITEMS)]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()] if last else [pa.list_(pa.list_(pa.int32())), pa.list_(pa.string())]
+            cols = [pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), *cols], names=[*kept, *(_FOUND if last else (_SPANS, _ITEMS))])
 
     return run
 
@@ -130,15 +128,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, perce
     columns are not looked at. A benchmark larger than ``block_bytes`` is searched
     for block after block, by as many narrow steps.
     """
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-        F.expr("cast(array() as array<array<int>>)").alias("spans"),
-        F.expr("cast(array() as array<string>)").alias("items"),
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = search(rows, benchmark, window, percent, block_bytes)
+    return found.select("doc_id", *(F.col(x).alias(x.removeprefix("__found_")) for x in _FOUND))
+
+
+def search(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, block_bytes: int = 8 << 20) -> DataFrame:
+    """All columns of the documents, and what decontaminate() finds, as columns that begin with __found_."""
+    kept = StructType([docs.schema[x] for x in docs.columns])
+    rows = docs.withColumns({_SPANS: F.expr("cast(array() as array<array<int>>)"), _ITEMS: F.expr("cast(array() as array<string>)")})
     blocks = list(item_blocks(benchmark, block_bytes))
     for k, items in enumerate(blocks):
         last = k == len(blocks) - 1
-        schema = "doc_id long, " + (_SCHEMA if last else "text string, spans array<array<int>>, items array<string>")
-        rows = c.map_batches(rows, _step(items, window, last, percent), schema)
+        more = f"{_FOUND[0]} long, {_FOUND[1]} long, {_FOUND[2]} long, {_FOUND[3]} string, {_FOUND[4]} boolean" if last else f"{_SPANS} array<array<int>>, {_ITEMS} array<string>"
+        rows = c.map_batches(rows, _step(items, window, last, percent), StructType([*kept, *StructType.fromDDL(more)]))
     return rows

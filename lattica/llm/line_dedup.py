@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_ROW, _GONE, _PARTS, _REST = "__row", "__gone", "__parts", "__rest"
 _WORD = r"[^\\x20\\x09-\\x0D]"
 
 
@@ -70,17 +71,21 @@ def line_dedup(docs: DataFrame, min_lines: int = 2, long_words: int = 50) -> Dat
     looked at; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("rk", F.xxhash64("doc_id", "text"))
-    sources = rows.where("text is not null").select("rk", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "text")
-    gone = repeated_lines(sources, min_lines, long_words)
-    parts = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    joined = rows.join(gone, "rk", "left").withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<int>)")))
-    joined = joined.select("doc_id", "text", "gone", _once(parts).alias("parts"))
-    kept = F.expr("transform(array_except(sequence(0, size(parts) - 1), gone), i -> parts[i])")
-    return joined.select(
+    return rest_of_lines(rows, min_lines, long_words).select(
         "doc_id",
-        F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("parts")).cast("long").alias("n_lines"),
-        F.size("gone").cast("long").alias("n_deleted"),
-        F.expr("cast(aggregate(gone, struct(-2 as last, 0 as n), (s, i) -> struct(i as last, s.n + if(i > s.last + 1, 1, 0) as n), s -> s.n) as long)").alias("n_runs"),
+        F.col(_REST).alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(_PARTS)).cast("long").alias("n_lines"),
+        F.size(_GONE).cast("long").alias("n_deleted"),
+        F.expr(f"cast(aggregate({_GONE}, struct(-2 as last, 0 as n), (s, i) -> struct(i as last, s.n + if(i > s.last + 1, 1, 0) as n), s -> s.n) as long)").alias("n_runs"),
     )
+
+
+def rest_of_lines(docs: DataFrame, min_lines: int = 2, long_words: int = 50) -> DataFrame:
+    """All columns of the documents, their lines, the places of deleted ones, and the text that is left."""
+    rows = docs.withColumn(_ROW, F.xxhash64("doc_id", "text"))
+    sources = rows.where("text is not null").select(F.col(_ROW).alias("rk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), "text")
+    gone = repeated_lines(sources, min_lines, long_words).select(F.col("rk").alias(_ROW), F.col("gone").alias(_GONE))
+    joined = rows.join(gone, _ROW, "left").withColumn(_GONE, F.coalesce(_GONE, F.expr("cast(array() as array<int>)")))
+    joined = joined.select(*docs.columns, _GONE, _once(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias(_PARTS))
+    kept = F.expr(f"transform(array_except(sequence(0, size({_PARTS}) - 1), {_GONE}), i -> {_PARTS}[i])")
+    return joined.withColumn(_REST, F.when(F.size(_GONE) == 0, F.col("text")).otherwise(F.array_join(kept, "\n")))

@@ -14,6 +14,7 @@ from .common import read
 from .decontaminate import decontaminate
 from .line_dedup import line_dedup
 from .ngram_join import ngram_jaccard_join
+from .pii import find_pii
 from .quality_rules import quality_rules
 from .suffix_dedup import suffix_dedup
 from .token_counts import pieces_of, token_counts, zipf_scores
@@ -96,6 +97,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(read(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_deleted", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
@@ -159,6 +164,7 @@ _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_chat_formatting,
     op2_quality_rules,
     op3_ngram_jaccard_join,
+    op4_pii,
     op5_line_dedup,
     op6_benchmark_decontamination,
     op7_quality_classifier,
