@@ -36,6 +36,8 @@ _CORE = 48
 _RUN_BYTES = 16 << 20
 _BUCKET_BYTES = 8 << 20
 _PREFIX = 64
+#: Windows of a scope that are looked at together at first.
+_BLOCK = 8
 #: Place of the one scope that stands for a repeated one; no span comes from it.
 _ELSEWHERE = -(1 << 60)
 
@@ -116,26 +118,54 @@ def _candidates(size: int, settled, contested, chosen):
     return run
 
 
+def _blocks(size: int):
+    """A fingerprint for each block of contested windows, of what its windows have in common.
+
+    Blocks are counted from the anchor. Where that string is found once, no window of
+    the block is repeated.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, at, hashed, rel = _laid_out(batch, size, None)
+            block = (rel[which] - at[1]) // _BLOCK
+            one = np.unique(which * 1_000 + block)
+            which, block = one // 1_000, one % 1_000
+            start = at[2][which] + rel[which] - _BLOCK * block
+            fp = c.mix(hashed(start, start - _BLOCK + 1 + size) ^ (block + 1).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([_long(fp), pa.array(batch.column("mid").to_numpy()[which]), _long(block)], names=["fp", "mid", "block"])
+
+    return run
+
+
 def _windows(size: int):
-    """A fingerprint for each window of each contested scope."""
+    """A fingerprint for each contested window of the blocks that may have repeated ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = batch.column("body").to_pylist()
-            lengths = np.array([len(x) for x in bodies], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(lengths)])
-            hashed = c.Hasher(np.frombuffer(b"".join(bodies), np.uint8))
-            counts = lengths - size + 1
-            which = np.repeat(np.arange(len(bodies)), counts)
-            inner = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-            at = offsets[which] + inner
-            cols = [_long(hashed(at, at + size)), pa.array(batch.column("rk").to_numpy()[which]), pa.array(batch.column("anchor").to_numpy()[which])]
-            cols.append(pa.array(batch.column("first").to_numpy()[which] + inner))
-            yield pa.RecordBatch.from_arrays(cols, names=["fp", "rk", "anchor", "at"])
+            which, at, hashed, _ = _laid_out(batch, size, batch.column("blocks").to_pylist())
+            mids = pa.array(batch.column("mid").to_numpy()[which])
+            yield pa.RecordBatch.from_arrays([_long(hashed(at[0], at[0] + size)), mids, _long(at[1])], names=["fp", "mid", "at"])
 
     return run
 
 
+def _laid_out(batch: pa.RecordBatch, size: int, blocks: list[list[int]] | None):
+    """The windows of the batch's scopes: number of the scope, places (in all bytes, in the scope, of the scope), hasher, anchors."""
+    bodies = batch.column("body").to_pylist()
+    lengths = np.array([len(x) for x in bodies], np.int64)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    rel = batch.column("rel").to_numpy()
+    counts = lengths - size + 1
+    which = np.repeat(np.arange(len(bodies)), counts)
+    inner = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+    if blocks is not None:
+        wanted = np.concatenate([np.array(x, np.int64) + 1_000 * i for i, x in enumerate(blocks)])
+        keep = np.isin(which * 1_000 + (rel[which] - inner) // _BLOCK, wanted)
+        which, inner = which[keep], inner[keep]
+    return which, (offsets[which] + inner, inner, offsets), c.Hasher(np.frombuffer(b"".join(bodies), np.uint8)), rel
+
+
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
     """Length of the common prefix, of which ``known`` bytes need no look."""
     n = min(len(a), len(b))
@@ -258,12 +288,12 @@ def _sorted_runs(size: int, splitters: list[bytes]):
         total, run_id = 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for rk, first, body, repeated in zip(*(batch.column(x).to_pylist() for x in ("rk", "first", "body", "repeated")), strict=True):
-                repeated.sort(key=lambda x: x["at"])
+                places = sorted((x & 511, x >> 9) for x in repeated)
                 begun = 0
-                for i in range(1, len(repeated) + 1):
-                    if i == len(repeated) or repeated[i]["at"] != repeated[i - 1]["at"] + 1 or repeated[i]["sig"] != repeated[i - 1]["sig"]:
-                        start, end = repeated[begun]["at"], repeated[i - 1]["at"] + size
-                        held.append((body[start - first : end - first], rk, start))
+                for i in range(1, len(places) + 1):
+                    if i == len(places) or places[i][0] != places[i - 1][0] + 1 or places[i][1] != places[i - 1][1]:
+                        start, end = places[begun][0], places[i - 1][0] + size
+                        held.append((body[start:end], rk, first + start))
                         total += end - start
                         begun = i
             if total > _RUN_BYTES:
@@ -305,19 +335,19 @@ def _merged(size: int):
 
 
 def _contested_spans(members: DataFrame, size: int) -> DataFrame:
-    windows = c.map_batches(members.select("rk", "anchor", "first", "body"), _windows(size), "fp long, rk long, anchor long, at long")
-    same = Window.partitionBy("fp")
-    repeated = (
-        windows.withColumn("n", F.count(F.lit(1)).over(same))
-        .withColumn("sig", F.bit_xor(F.xxhash64("rk", "anchor")).over(same))
-        .where("n > 1")
-        .groupBy("rk", "anchor")
-        .agg(F.collect_list(F.struct("at", "sig")).alias("repeated"))
-    )
-    ready = members.join(repeated, ["rk", "anchor"]).select("rk", "first", "body", "repeated")
+    def shared(found: DataFrame) -> DataFrame:
+        same = Window.partitionBy("fp")
+        return found.withColumn("n", F.count(F.lit(1)).over(same)).withColumn("sig", F.bit_xor(F.xxhash64("mid")).over(same)).where("n > 1")
+
+    blocks = shared(c.map_batches(members.select("mid", "rel", "body"), _blocks(size), "fp long, mid long, block long"))
+    blocks = blocks.groupBy("mid").agg(F.collect_list(F.col("block").cast("smallint")).alias("blocks"))
+    members = c.checkpointed(members.join(blocks, "mid"))
+    windows = c.map_batches(members.select("mid", "rel", "body", "blocks"), _windows(size), "fp long, mid long, at long")
+    repeated = shared(windows).groupBy("mid").agg(F.collect_list(F.expr("sig & ~511L | at")).alias("repeated"))
+    ready = members.join(repeated, "mid").select("rk", "first", "body", "repeated")
     total = members.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     buckets = max(1, total // _BUCKET_BYTES)
-    sample = members.orderBy(F.xxhash64("rk", "anchor")).limit(20 * buckets if buckets < 5_000 else 100_000).select(F.expr(f"substring(body, 1 + cast(pmod(rk, length(body) - {size} + 1) as int), {_PREFIX})").alias("s"))
+    sample = members.select("mid", F.expr(f"substring(body, 1 + cast(pmod(mid, length(body) - {size} + 1) as int), {_PREFIX})").alias("s")).orderBy("mid").limit(min(20 * buckets, 100_000))
     drawn = sorted({bytes(r["s"]) for r in sample.collect()})
     splitters = drawn[:: max(1, len(drawn) // buckets)][1:]
     kind = "bucket int, run long, entry int, rk long, start long, lcps binary, sizes binary, tails binary, many binary"
@@ -351,6 +381,18 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[tuple[int, int, int]] = []
+        for rk, spans in zip(batch.column("rk").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for start, end in sorted((x["start"], x["end"]) for x in spans):
+                if out and out[-1][0] == rk and start <= out[-1][2]:
+                    out[-1] = (rk, out[-1][1], max(end, out[-1][2]))
+                else:
+                    out.append((rk, start, end))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["rk", "start", "end"])
+
+
 def _live(rows: DataFrame, size: int) -> DataFrame:
     """Scopes that are repeated or share a core with another scope."""
     counted = c.checkpointed(
@@ -364,6 +406,12 @@ def _live(rows: DataFrame, size: int) -> DataFrame:
 
 def repeated_spans(rows: DataFrame, size: int) -> DataFrame:
     """Spans (rk, start, end) of rows (rk, text) whose bytes stand in repeated windows."""
+    whole, members = _scopes_found(rows, size)
+    return whole.union(_contested_spans(members, size).where("start >= 0"))
+
+
+def _scopes_found(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Spans of repeated scopes, joined where they overlap, and the contested scopes with their bytes."""
     live = _live(rows, size)
     sc = rows.sparkSession.sparkContext
     settled = sc.broadcast(c.KeyFilter(live.where("n > 1").select("s1"), "s1"))
@@ -371,12 +419,12 @@ def repeated_spans(rows: DataFrame, size: int) -> DataFrame:
     chosen = sc.broadcast(c.KeyFilter(live.where("contested").selectExpr("s1 ^ low as own"), "own"))
     kind = "rk long, anchor long, first long, end long, core long, s1 long, s2 long, body binary"
     found = c.checkpointed(c.map_batches(rows, _candidates(size, settled, contested, chosen), kind).join(live, ["core", "s1", "s2"]))
-    whole = found.where("n > 1").select("rk", F.col("first").alias("start"), "end")
-    twins = found.where("contested and n > 1 and rk = low").groupBy("core", "s1", "s2").agg(F.first("body").alias("body"))
-    members = found.where("contested and n = 1").select("rk", "anchor", "first", "body").union(
-        twins.select(F.col("s1").alias("rk"), F.col("s2").alias("anchor"), F.lit(_ELSEWHERE).cast("long").alias("first"), "body")
-    )
-    return whole.union(_contested_spans(c.checkpointed(members), size).where("start >= 0"))
+    whole = found.where("n > 1").groupBy("rk").agg(F.collect_list(F.struct(F.col("first").alias("start"), "end")).alias("spans"))
+    whole = c.checkpointed(c.map_batches(whole, _join_spans, "rk long, start long, end long"))
+    twins = found.where("contested and n > 1 and rk = low").groupBy("core", "s1", "s2").agg(F.first(F.struct((F.col("anchor") - F.col("first")).alias("rel"), "body")).alias("x"))
+    members = found.where("contested and n = 1").select(F.xxhash64("rk", "anchor").alias("mid"), "rk", "first", (F.col("anchor") - F.col("first")).alias("rel"), "body")
+    stand_ins = twins.select(F.xxhash64("s1", "s2", "core").alias("mid"), F.col("s1").alias("rk"), F.lit(_ELSEWHERE).cast("long").alias("first"), "x.rel", "x.body")
+    return whole, c.checkpointed(members.union(stand_ins))
 
 
 def suffix_dedup(docs: DataFrame, size: int = 200) -> DataFrame:
