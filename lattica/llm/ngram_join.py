@@ -124,12 +124,12 @@ def _encode(k: int, frequent: np.ndarray, percent: int, passed=None) -> Callable
 
 def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame, encode: Callable, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) that reach the similarity."""
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("head").alias(f"head_{x}"))
+    side = lambda x, kept: classes.select(F.col("cid").alias(x), F.col(kept).alias(f"{kept}_{x}"))
     need = F.expr(f"{percent} * (n_a + n_b)")
+    sized = c.checkpointed(pairs.join(side("a", "n"), "a").join(side("b", "n"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
     bounded = c.checkpointed(
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+        sized.join(side("a", "head"), "a")
+        .join(side("b", "head"), "b")
         .withColumn("reach", F.expr("least(element_at(head_a, -1), element_at(head_b, -1))"))
         .withColumn(
             "most",
