@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vec import l2sq
+from ..functions.vec import l2sq, mean_vector
 from ..session import small
 
 
@@ -61,8 +61,6 @@ def cluster_labels(assigned: DataFrame) -> DataFrame:
 
 def centred(pixels: DataFrame) -> DataFrame:
     """Vectors without their mean."""
-    from ..functions.vec import mean_vector
-
     mean = mean_vector(pixels).select(F.col("emb").alias("mean"))
     return pixels.crossJoin(F.broadcast(mean)).withColumn("emb", F.zip_with("emb", "mean", lambda x, m: x - m)).drop("mean")
 
@@ -97,5 +95,3 @@ def neighbourhood(pixels: DataFrame, reach: int = 1) -> DataFrame:
     found = wide.join(pixels.select("px", "py", F.col("emb").alias("near")), ["px", "py"], "left").join(pixels.select("idx", "emb"), "idx")
     held = F.array_sort(F.collect_list(F.struct("dy", "dx", F.coalesce("near", "emb").alias("v"))))
     return found.groupBy("idx").agg(F.flatten(F.transform(held, lambda x: x["v"])).alias("features"))
-
-

@@ -29,10 +29,10 @@ def contains(x: Column, y: Column, vertices: Column) -> Column:
 
 def rasterise(pixels: DataFrame, polygons: DataFrame) -> DataFrame:
     """Pixels whose centre lies in a polygon of three vertices or more: adds polygon."""
+    along = lambda k: F.transform("vertices", lambda v: v[k])
     boxed = polygons.where(F.size("vertices") >= 3).select(
-        "polygon", "vertices",
-        *(f(F.transform("vertices", lambda v, k=k: v[k])).alias(n) for f, k, n in ((F.array_min, "x", "x0"), (F.array_max, "x", "x1"), (F.array_min, "y", "y0"), (F.array_max, "y", "y1"))),
-    )
+        "polygon", "vertices", F.array_min(along("x")).alias("x0"), F.array_max(along("x")).alias("x1"), F.array_min(along("y")).alias("y0"), F.array_max(along("y")).alias("y1")
+    )
     cx, cy = F.col("px") + 0.5, F.col("py") + 0.5
     near = (cx >= F.col("x0")) & (cx <= F.col("x1")) & (cy >= F.col("y0")) & (cy <= F.col("y1"))
     return pixels.join(small(boxed, 20_000), near & contains(cx, cy, F.col("vertices"))).drop("vertices", "x0", "x1", "y0", "y1")
@@ -61,9 +61,3 @@ def vertex_mean(polygons: DataFrame) -> DataFrame:
 def overlaps(a: str, b: str) -> Column:
     """Whether two boxes (west, south, east, north of structs) share some area."""
     return F.expr(f"{a}.west < {b}.east and {a}.east > {b}.west and {a}.south < {b}.north and {a}.north > {b}.south")
-
-
-def unshared_tiles(tiles: DataFrame, gone: DataFrame, kept: DataFrame) -> DataFrame:
-    """Tiles (tile, box) of removed viewports that no kept viewport needs."""
-    a = tiles.alias("t").join(small(gone).alias("g"), overlaps("t.box", "g.box"), "left_semi")
-    return a.alias("t").join(small(kept).alias("k"), overlaps("t.box", "k.box"), "left_anti")

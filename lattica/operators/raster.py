@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +56,6 @@ def window(image: DataFrame, grid: Grid, west: float, south: float, east: float,
 
 def crop(pixels: DataFrame, grid: Grid, west: float, south: float, east: float, north: float, height: int) -> DataFrame:
     """Pixels of a box, floor of its start to ceiling of its end, counted from its corner."""
-    import math
-
     x0, x1 = max(0, math.floor((west - grid.c) / grid.a)), min(grid.width, math.ceil((east - grid.c) / grid.a))
     y0, y1 = max(0, math.floor((north - grid.f) / grid.e)), min(height, math.ceil((south - grid.f) / grid.e))
     cut = pixels.where((F.col("px") >= x0) & (F.col("px") < x1) & (F.col("py") >= y0) & (F.col("py") < y1))
