@@ -21,6 +21,8 @@ BUCKETS = 1 << 17
 DIMENSIONS = 12
 _GRAMS = (3, 4)
 _EPOCHS = 6
+#: Steps of training at least: few examples are gone through more often.
+_LEAST_STEPS = 20_000
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -50,8 +52,9 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, see
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     output, bias = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2, np.float32)
-    steps, done = _EPOCHS * len(examples), 0
-    for _ in range(_EPOCHS):
+    epochs = max(_EPOCHS, -(-_LEAST_STEPS // len(examples)))
+    steps, done = epochs * len(examples), 0
+    for _ in range(epochs):
         for i in random.permutation(len(examples)):
             buckets, counts = examples[i]
             now = np.float32(rate * (1 - done / steps))

@@ -205,6 +205,13 @@ def test_classifier_separates(spark):
     assert all(r["predicted"] == int(r["score"] >= 0.3) for r in found)
 
 
+def test_classifier_finds_a_rare_class_among_few_examples(spark):
+    rows = [(i, "the of and a to " * 20 + ("good fine prose flows " if i % 7 else "junk spam click buy ") * (3 + i % 5)) for i in range(300)]
+    known = spark.createDataFrame([(i, int(i % 7 > 0)) for i in range(300)], "doc_id long, quality int")
+    found = classifier.quality_classifier(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()
+    assert all(r["predicted"] == int(r["doc_id"] % 7 > 0) for r in found if r["held_out"])
+
+
 def test_classifier_without_or_with_one_label(docs, spark):
     none = classifier.quality_classifier(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()
     assert {r["score"] for r in none} == {0.5}
