@@ -285,7 +285,7 @@ def change_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def change_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The colour of each pixel's change, from 0 to one and a half medians."""
-    ids = _changes(spark, sf_dir).where("idx % 7 <> 3")
+    ids = _changes(spark, sf_dir)
     v = F.col("idx") % 101 / 100.0
     return ids.select("idx", *(g.viridis(v, k).alias(n) for k, n in enumerate("rgb")))
 
@@ -317,13 +317,13 @@ def polygon_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def run_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of one label as rectangles in degrees."""
-    return texts.run_features(pixels(spark, sf_dir).where("label < 4"), GRID).select("label", _r("west"), _r("south"), _r("east"), _r("north"))
+    return texts.run_features(pixels(spark, sf_dir), GRID).select("label", _r("west"), _r("south"), _r("east"), _r("north"))
 
 
 @query
 def outline_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unit sides of the outline of each label's pixels."""
-    return geom.boundary(pixels(spark, sf_dir).where("label < 2"))
+    return geom.boundary(pixels(spark, sf_dir))
 
 
 @query
@@ -348,7 +348,7 @@ def pyramid_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def enlarged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pixel three times along both sides."""
-    return raster.enlarged(pixels(spark, sf_dir).where("idx < 50").select("idx", "px", "py"), 3).select("idx", "px", "py")
+    return raster.enlarged(pixels(spark, sf_dir).select("idx", "px", "py"), 3).select("idx", "px", "py")
 
 
 @query
@@ -489,20 +489,20 @@ def saved_label_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def geojson_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of one document per pixel that is a multiple of 20."""
+    """Features of one document per pixel."""
     feature = '{"type":"Feature","geometry":{"type":"%s","coordinates":%s},"properties":{%s}}'
     point = feature % ("Point", "[%d.5,%d]", '"label":"p%d"')
     ring = feature % ("Polygon", "[[[0,0],[4,0],[4,%d],[0,0]]]", '"name":"","color":"#fff"')
     other = feature % ("MultiPolygon", "[]", "")
     value = F.format_string('{"type":"FeatureCollection","features":[' + point + "," + ring + "," + other + "]}", "px", "py", "idx", F.col("py") + 1)
-    found = labels_from_geojson(pixels(spark, sf_dir).where("idx % 20 = 0").select(value.alias("value")))
+    found = labels_from_geojson(pixels(spark, sf_dir).select(value.alias("value")))
     return found.select("name", "type", _r("lat"), _r("lon"), F.coalesce(F.size("vertices"), F.lit(0)).alias("n_vertices"))
 
 
 @query
 def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K7."""
-    rows = pixels(spark, sf_dir).where("idx < 40").select(
+    rows = pixels(spark, sf_dir).select(
         F.col("idx").alias("label_id"), F.when(F.col("idx") % 4 == 0, 'a "b", c').otherwise("plain").alias("name"), F.lit("x").alias("code"), F.lit("point").alias("type"),
         F.col("px").alias("lat"), F.col("py").alias("lon"), (F.col("idx") % 3).alias("match_count"), (F.col("idx") % 2).alias("pixel_count"),
     )
@@ -510,7 +510,7 @@ def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels(spark, sf_dir).where("idx < 30").select(
+    return pixels(spark, sf_dir).select(
         F.col("idx").alias("label_id"), F.concat(F.lit("<l&"), F.col("idx"), F.lit(">")).alias("name"), F.lit("c").alias("code"), F.lit("#0a64ff").alias("color"),
         (F.col("px") * 2).alias("lon"), F.col("py").alias("lat"),
         F.when(F.col("idx") % 2 == 0, F.array(*(F.struct((F.col("px") + x).alias("lon"), (F.col("py") + y).alias("lat")) for x, y in ((0, 0), (1, 0), (0, 1))))).alias("vertices"),
