@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import l2sq, mean_vector
 from ..session import small
+from .search import packed
 
 
 def hash_sample(pixels: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -80,11 +81,21 @@ def principal_components(pixels: DataFrame, k: int = 3, most: int = 40_000) -> t
 
 
 def knn_graph(pixels: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest other pixels of each query (idx, emb), by rank: the graph that layouts start from."""
-    q = queries.select(F.col("idx").alias("source"), F.col("emb").alias("q"))
-    each = pixels.select("idx", "emb").crossJoin(small(q)).where("idx <> source").select("source", "idx", l2sq("emb", "q").alias("d2"))
+    """The k nearest other pixels of each query (idx, emb), by rank: the graph that layouts start from.
+
+    Pixels and queries meet in packed blocks; of each block of pixels a query keeps k, and these are ranked.
+    """
+    of = packed(pixels, ("idx", "emb")).select(F.col("queries").alias("pixels"))
+    each = of.crossJoin(small(packed(queries, ("idx", "emb")).select("queries"), 64))
+
+    def best(q: Column) -> Column:
+        others = F.filter("pixels", lambda p: p["idx"] != q["idx"])
+        near = F.transform(others, lambda p: F.struct(l2sq(p["emb"], q["emb"]).alias("d2"), p["idx"].alias("idx")))
+        return F.struct(q["idx"].alias("source"), F.slice(F.array_sort(near), 1, k).alias("near"))
+
+    kept = each.select(F.inline(F.transform("queries", best))).select("source", F.inline("near")).select("source", "idx", "d2")
     rank = F.row_number().over(Window.partitionBy("source").orderBy("d2", "idx"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= k)
+    return kept.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def neighbourhood(pixels: DataFrame, reach: int = 1) -> DataFrame:

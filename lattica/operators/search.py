@@ -30,9 +30,9 @@ def range_search(pixels: DataFrame, query: Column, threshold: float, grid: Grid)
     return near.select("idx", "px", "py", grid.lat(F.col("px"), F.col("py")).alias("lat"), grid.lon(F.col("px"), F.col("py")).alias("lon"), F.sqrt("d2").alias("distance"))
 
 
-def packed(queries: DataFrame) -> DataFrame:
+def packed(queries: DataFrame, kept: tuple[str, ...] = ("emb", "t2")) -> DataFrame:
     """Query vectors (emb, and t2 if there) in rows of BLOCK at most."""
-    fields = [x for x in ("emb", "t2") if x in queries.columns]
+    fields = [x for x in kept if x in queries.columns]
     n = max(1, -(-queries.count() // BLOCK))
     dealt = queries.select(F.pmod(F.xxhash64(*queries.columns), F.lit(n)).alias("block"), *fields)
     return dealt.groupBy("block").agg(F.collect_list(F.struct(*fields)).alias("queries"))
