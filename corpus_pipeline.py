@@ -34,12 +34,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group that links of five words and 0.8 hold together."""
-    found = ngram_jaccard_join(docs.select("doc_id", "text"))
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(_ROW)).distinct()
-    left = docs.join(kept, docs["doc_id"] == kept[_ROW], "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return left.dropDuplicates(["doc_id", "text"]) if repeated else left
+    """One document, that of the smallest id, of each group that links of five words and 0.8 hold together.
+
+    Rows alike in id and text are one document. Those without an id are documents like
+    others, told apart by text; in a group they come after all ids.
+    """
+    rows = docs.withColumn(_ROW, F.xxhash64("doc_id", "text"))
+    ids = stored(rows.groupBy(_ROW).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
+    found = ngram_jaccard_join(rows.select(F.col(_ROW).alias("doc_id"), "text"))
+    grouped = found.groupBy(F.col("doc_id").alias(_ROW)).agg(F.min("component_id").alias("component_id")).join(ids, _ROW)
+    kept = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", _ROW)).alias("first")).select(f"first.{_ROW}")
+    left = rows.join(kept, _ROW, "left_semi").select(docs.columns)
+    return left.dropDuplicates(["doc_id", "text"]) if ids.where("n > 1").limit(1).count() else left
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
