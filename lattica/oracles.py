@@ -64,7 +64,7 @@ tried AS (SELECT probe, ord, CAST(trunc((lon - (-1.0)) / 0.01) AS INTEGER) + dx
         "nearest_place": _with(AT, """places(which, la, lo, lim) AS (VALUES ('near', 51.95003::DOUBLE, -0.87002::DOUBLE, 1e-4), ('far', 51.9551, -0.87, 1e-4), ('any', 51.9561, -0.8699, 99))""",
             "SELECT which, idx FROM (SELECT which, idx, lim, sqrt((lat - la) ** 2 + (lon - lo) ** 2) AS d, row_number() OVER (PARTITION BY which ORDER BY (lat - la) ** 2 + (lon - lo) ** 2, idx) AS r FROM placed, places) WHERE r = 1 AND d < lim"),
         "bounds_filter": _with(AT, "SELECT idx, round(lat, 6) AS lat, round(lon, 6) AS lon FROM placed WHERE lat BETWEEN 51.9149 AND 51.9651 AND lon BETWEEN -0.9251 AND -0.8149"),
-        "knn_graph": _with("SELECT source, CAST(rank AS INTEGER) AS rank, idx, round(d * d, 6) AS d2 FROM (SELECT q.idx AS source, a.idx, list_distance(a.emb, q.emb) AS d, row_number() OVER (PARTITION BY q.idx ORDER BY list_distance(a.emb, q.emb), a.idx) AS rank FROM px a, px q WHERE q.idx % 50 = 0 AND a.idx <> q.idx) WHERE rank <= 5"),
+        "knn_graph": _with("SELECT source, CAST(rank AS INTEGER) AS rank, idx, round(d * d, 6) AS d2 FROM (SELECT q.idx AS source, a.idx, list_distance(a.emb, q.emb) AS d, row_number() OVER (PARTITION BY q.idx ORDER BY list_distance(a.emb, q.emb), a.idx) AS rank FROM px a, px q WHERE q.idx % 20 = 0 AND a.idx <> q.idx) WHERE rank <= 5"),
         "dim_stats": _with(DIMS, BOUNDS, "SELECT CAST(dim AS INTEGER) AS dim, round(low, 6) AS low, round(high, 6) AS high FROM bounds"),
         "mean_vector_by_label": _with(DIMS, "SELECT label, count(*) AS n, CAST(dim AS INTEGER) AS dim, round(avg(value), 6) AS mean FROM dims GROUP BY label, dim"),
         "quantize_trunc": _with(DIMS, BOUNDS, codes.format(quantised.format(""))),
@@ -81,21 +81,23 @@ tried AS (SELECT probe, ord, CAST(trunc((lon - (-1.0)) / 0.01) AS INTEGER) + dx
         "change_bins": _with(CHANGED, """m AS (SELECT median(distance) AS m, max(distance) AS top, count(*) AS total FROM changed), bins(bin, label) AS (VALUES (0, 'Stable'), (1, 'Minor change'), (2, 'Moderate change'), (3, 'Major change')),
 counted AS (SELECT CASE WHEN distance < m * 0.5 THEN 0 WHEN distance < m THEN 1 WHEN distance < m * 1.5 THEN 2 ELSE 3 END AS bin, count(*) AS n FROM changed, m GROUP BY ALL)""",
             "SELECT bin, label, round(m * 0.5 * bin, 6) AS lo, round(CASE WHEN bin = 3 THEN top ELSE m * 0.5 * (bin + 1) END, 6) AS hi, coalesce(n, 0) AS n, round(coalesce(n, 0) / total * 100, 1) AS pct FROM bins CROSS JOIN m LEFT JOIN counted USING (bin)"),
-        "change_colours": _with("""stops(k, r, g, b) AS (VALUES (0, 68, 1, 84), (1, 72, 40, 120), (2, 62, 74, 137), (3, 47, 105, 141), (4, 39, 133, 133), (5, 92, 156, 89), (6, 181, 172, 39)),
-v AS (SELECT idx, (idx % 101) / 100.0::DOUBLE * 6 AS t, CAST(least(floor((idx % 101) / 100.0::DOUBLE * 6), 5) AS INTEGER) AS k FROM px WHERE idx % 7 <> 3)""",
+        "change_colours": _with(CHANGED, """stops(k, r, g, b) AS (VALUES (0, 68, 1, 84), (1, 72, 40, 120), (2, 62, 74, 137), (3, 47, 105, 141), (4, 39, 133, 133), (5, 92, 156, 89), (6, 181, 172, 39)),
+m AS (SELECT median(distance) * 1.5 AS top FROM changed),
+scaled AS (SELECT idx, CASE WHEN top > 0 THEN least(1.0::DOUBLE, distance / top) ELSE 0.0 END * 6 AS t FROM changed, m),
+v AS (SELECT idx, t, CAST(least(floor(t), 5) AS INTEGER) AS k FROM scaled)""",
             "SELECT idx, " + ", ".join(f"CAST(floor(a.{x} + (b.{x} - a.{x}) * (t - v.k)) AS INTEGER) AS {x}" for x in "rgb") + " FROM v JOIN stops a ON a.k = v.k JOIN stops b ON b.k = v.k + 1"),
         "polygon_raster": _with(SHAPES, "SELECT polygon, idx, px, py FROM inside JOIN px USING (idx)"),
         "polygon_mean": _with(DIMS, SHAPES, "SELECT polygon, count(*) AS n, CAST(dim AS INTEGER) AS dim, round(avg(value), 6) AS mean FROM inside JOIN dims USING (idx) GROUP BY polygon, dim"),
         "polygon_union": _with(SHAPES, "SELECT DISTINCT p.idx, p.px, p.py, 0.0::DOUBLE AS distance FROM px p, inside i JOIN px q ON q.idx = i.idx WHERE i.polygon = 2 AND list_distance(p.emb, q.emb) <= 1.0"),
-        "run_length": _with("r AS (SELECT label, px, py, px - row_number() OVER (PARTITION BY label, py ORDER BY px) AS island FROM px WHERE label < 4)",
+        "run_length": _with("r AS (SELECT label, px, py, px - row_number() OVER (PARTITION BY label, py ORDER BY px) AS island FROM px)",
             "SELECT label, round(-1.0 + min(px) * 0.01::DOUBLE, 6) AS west, round(52.0 + (py + 1) * (-0.01)::DOUBLE, 6) AS south, round(-1.0 + (max(px) + 1) * 0.01::DOUBLE, 6) AS east, round(52.0 + py * (-0.01)::DOUBLE, 6) AS north FROM r GROUP BY label, py, island"),
-        "outline_sides": _with("""s AS (SELECT label, px AS x1, py AS y1, px + 1 AS x2, py AS y2 FROM px WHERE label < 2 UNION ALL SELECT label, px, py + 1, px + 1, py + 1 FROM px WHERE label < 2
-UNION ALL SELECT label, px, py, px, py + 1 FROM px WHERE label < 2 UNION ALL SELECT label, px + 1, py, px + 1, py + 1 FROM px WHERE label < 2)""", "SELECT label, x1, y1, x2, y2 FROM s GROUP BY ALL HAVING count(*) = 1"),
+        "outline_sides": _with("""s AS (SELECT label, px AS x1, py AS y1, px + 1 AS x2, py AS y2 FROM px UNION ALL SELECT label, px, py + 1, px + 1, py + 1 FROM px
+UNION ALL SELECT label, px, py, px, py + 1 FROM px UNION ALL SELECT label, px + 1, py, px + 1, py + 1 FROM px)""", "SELECT label, x1, y1, x2, y2 FROM s GROUP BY ALL HAVING count(*) = 1"),
         "vertex_mean": _with(SHAPES, "SELECT polygon, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM corners GROUP BY polygon"),
         "percentile_stretch": _with("c AS (SELECT " + ", ".join(f"quantile_cont(emb[{d + 1}], 0.02) AS l{d}, quantile_cont(emb[{d + 1}], 0.98) AS h{d}" for d in range(3)) + " FROM px)",
             "SELECT idx, " + ", ".join(f"CAST(floor((greatest(l{d}, least(h{d}, emb[{d + 1}])) - l{d}) / (h{d} - l{d}) * 255) AS INTEGER) AS band{d}" for d in range(3)) + " FROM px, c"),
         "pyramid_level": _with(f"w AS (SELECT 6 AS w, {HEIGHT} AS h, {HEIGHT} // 4 AS lh)", "SELECT CAST(c AS INTEGER) AS col, CAST(r AS INTEGER) AS row, idx FROM w, range(6) a(c), range(1000) b(r) JOIN px ON true WHERE r < lh AND px = floor((c + 0.5) * (25.0::DOUBLE / 6)) AND py = floor((r + 0.5) * (h / lh))"),
-        "enlarged": _with("SELECT idx, CAST(px * 3 + a AS INTEGER) AS px, CAST(py * 3 + b AS INTEGER) AS py FROM px, range(3) x(a), range(3) y(b) WHERE idx < 50"),
+        "enlarged": _with("SELECT idx, CAST(px * 3 + a AS INTEGER) AS px, CAST(py * 3 + b AS INTEGER) AS py FROM px, range(3) x(a), range(3) y(b)"),
         "tile_window": _with("SELECT CAST(c AS INTEGER) AS col, CAST(r AS INTEGER) AS row, idx FROM range(16) a(c), range(16) b(r), px WHERE px = floor((c + 0.5) * 8 / 16) + 5 AND py = floor((r + 0.5) * 10 / 16) + 5"),
         "crop": _with("SELECT idx, px - 5 AS px, py - 4 AS py FROM px WHERE px >= 5 AND px < 15 AND py >= 4 AND py < 11"),
         "tile_bbox": "SELECT CAST(z AS INTEGER) AS z, round(z * 3 / pow(2.0, z) * 360 - 180, 6) AS west, round(degrees(atan(sinh(pi() * (1 - 2 * (z * 2 + 1) / pow(2.0, z))))), 6) AS north, CAST(greatest(0, least(5, floor((14 - z) / 2.0))) AS INTEGER) AS level FROM range(6, 18) r(z)",
@@ -124,13 +126,13 @@ SELECT 20, 1.25, emb FROM px WHERE px = CAST(trunc((-0.875::DOUBLE + 1.0) / 0.01
 (8, 'marsh', 'point', true, 0.0), (9, 'wood', 'similarity', true, 1.25)) v(label_id, name, type, visible, threshold)""",
         "label_import": "SELECT CASE WHEN event_id % 3 <> 0 THEN event_type ELSE 'Imported' END AS name, '' AS code, count(*) AS n, round(sum(value), 4) AS lat, round(sum(user_id::DOUBLE), 4) AS lon FROM events WHERE event_id % 5 <> 0 GROUP BY 1",
         "saved_label_merge": "SELECT doc_id AS label_id, 'saved' AS name FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 3 <> 0",
-        "geojson_import": _with("SELECT 'p' || idx AS name, 'point' AS type, py::DOUBLE AS lat, px + 0.5::DOUBLE AS lon, 0 AS n_vertices FROM px WHERE idx % 20 = 0 UNION ALL SELECT 'Imported', 'polygon', round((py + 1) / 3, 6), round(8.0::DOUBLE / 3, 6), 3 FROM px WHERE idx % 20 = 0"),
-        "csv_export": _with("""SELECT idx AS label_id, CASE WHEN idx % 4 = 0 THEN '"a ""b"", c"' ELSE 'plain' END || ',x,point,' || px || ',' || py || ',' || CASE WHEN idx % 3 <> 0 THEN CAST(idx % 3 AS VARCHAR) WHEN idx % 2 <> 0 THEN '1' ELSE '' END AS line FROM px WHERE idx < 40"""),
+        "geojson_import": _with("SELECT 'p' || idx AS name, 'point' AS type, py::DOUBLE AS lat, px + 0.5::DOUBLE AS lon, 0 AS n_vertices FROM px UNION ALL SELECT 'Imported', 'polygon', round((py + 1) / 3, 6), round(8.0::DOUBLE / 3, 6), 3 FROM px"),
+        "csv_export": _with("""SELECT idx AS label_id, CASE WHEN idx % 4 = 0 THEN '"a ""b"", c"' ELSE 'plain' END || ',x,point,' || px || ',' || py || ',' || CASE WHEN idx % 3 <> 0 THEN CAST(idx % 3 AS VARCHAR) WHEN idx % 2 <> 0 THEN '1' ELSE '' END AS line FROM px"""),
         "geojson_export": _with("""SELECT idx AS label_id, '{"type":"Feature","properties":{"name":"<l&' || idx || '>","code":"c","color":"#0a64ff"},"geometry":' || CASE WHEN idx % 2 = 0
-THEN '{"type":"Polygon","coordinates":[[[' || px || ',' || py || '],[' || (px + 1) || ',' || py || '],[' || px || ',' || (py + 1) || '],[' || px || ',' || py || ']]]}' ELSE '{"type":"Point","coordinates":[' || (px * 2) || ',' || py || ']}' END || '}' AS feature FROM px WHERE idx < 30"""),
+THEN '{"type":"Polygon","coordinates":[[[' || px || ',' || py || '],[' || (px + 1) || ',' || py || '],[' || px || ',' || (py + 1) || '],[' || px || ',' || py || ']]]}' ELSE '{"type":"Point","coordinates":[' || (px * 2) || ',' || py || ']}' END || '}' AS feature FROM px"""),
         "kml_export": _with("""SELECT idx AS label_id, '<Placemark><name>&lt;l&amp;' || idx || '&gt;</name><Style><LineStyle><color>ffff640a</color></LineStyle></Style>' || CASE WHEN idx % 2 = 0
 THEN '<Polygon><outerBoundaryIs><LinearRing><coordinates>' || px || ',' || py || ',0 ' || (px + 1) || ',' || py || ',0 ' || px || ',' || (py + 1) || ',0 ' || px || ',' || py || ',0</coordinates></LinearRing></outerBoundaryIs></Polygon>'
-ELSE '<Point><coordinates>' || (px * 2) || ',' || py || ',0</coordinates></Point>' END || '</Placemark>' AS placemark FROM px WHERE idx < 30"""),
+ELSE '<Point><coordinates>' || (px * 2) || ',' || py || ',0</coordinates></Point>' END || '</Placemark>' AS placemark FROM px"""),
         "private_share": _with("""s AS (SELECT 'm' || label AS name, CASE WHEN idx % 2 = 0 THEN 'k' END AS code, 'point' AS type, emb[1] AS e FROM px WHERE idx % 3 <> 0
 UNION ALL SELECT 'm' || label, CASE WHEN idx % 2 = 0 THEN 'k' END, 'point', emb[1] FROM px, range(2) WHERE idx % 5 = 0 UNION ALL SELECT 's', NULL, 'similarity', emb[1] FROM px WHERE idx % 4 = 0)""",
             "SELECT name, code, type, count(*) AS n, round(sum(e), 5) AS total FROM s GROUP BY ALL"),

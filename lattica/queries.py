@@ -285,9 +285,10 @@ def change_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def change_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The colour of each pixel's change, from 0 to one and a half medians."""
-    ids = _changes(spark, sf_dir)
-    v = F.col("idx") % 101 / 100.0
-    return ids.select("idx", *(g.viridis(v, k).alias(n) for k, n in enumerate("rgb")))
+    found = _changes(spark, sf_dir)
+    top = F.broadcast(found.agg((F.percentile("distance", F.lit(0.5)) * 1.5).alias("top")))
+    v = F.when(F.col("top") > 0, F.least(F.lit(1.0), F.col("distance") / F.col("top"))).otherwise(0.0)
+    return found.crossJoin(top).select("idx", *(g.viridis(v, k).alias(n) for k, n in enumerate("rgb")))
 
 
 # Geometry and raster
