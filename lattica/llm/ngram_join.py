@@ -6,9 +6,12 @@ may have differing shingles: in one order for all, large blocks first and freque
 ones last, one of the first blocks of both sets then has to be equal, and only pairs
 with such a block are multiplied at all. Their overlap is accumulated over a first
 part of the columns, pairs that the sizes of what is left cannot bring to the needed
-overlap are discarded, and the others are counted to the end. Pairs are first formed
-with one pivot of each set only, the one that shares most, and later between different
-components only, so that a large group of near copies never yields all its pairs.
+overlap are discarded, and the others are counted to the end. Before a pair is formed at
+all, its overlap is bounded by the incidence matrix folded to FOLDED columns modulo two:
+each column in which two folded rows differ holds a shingle that only one set has. Pairs
+are first formed with one pivot of each set only, the one that shares most, and later
+between different components only, so that a large group of near copies never yields all
+its pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +35,11 @@ _FINE = 5
 _MANY = 20
 #: Hashes below this are the first part of the columns, an eighth.
 _PART = np.uint64(1 << 61)
+#: Nodes of rows without an id are numbered from here.
+_NO_ID = 1 << 62
+#: Columns of the folded incidence matrix, a row of which bounds overlaps; eight numbers of 64 bits.
+FOLDED = 512
+_FOLDS = tuple(f"f{i}" for i in range(FOLDED // 64))
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -137,6 +145,24 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), _long(np.concatenate(rows) if rows else np.zeros(0, np.uint64)))
 
 
+def folded(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of 64-bit numbers for each set: its incidence row folded to FOLDED columns, modulo two."""
+    out = np.zeros((len(sets), len(_FOLDS)), np.uint64)
+    n = np.array([len(x) for x in sets], np.int64)
+    if n.sum():
+        hashes, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        column = (hashes & np.uint64(FOLDED - 1)).astype(np.int64)
+        odd = np.bincount(of * FOLDED + column, minlength=len(sets) * FOLDED).reshape(-1, FOLDED) & 1
+        out = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view(np.uint64)
+    return out
+
+
+def _within(a: str, b: str, percent: int) -> str:
+    """SQL: whether the folded rows of two sets let them be linked; ``a`` and ``b`` name a column of each side."""
+    differing = " + ".join(f"bit_count({a.format(x)} ^ {b.format(x)})" for x in _FOLDS)
+    return f"{100 + percent} * ({differing}) <= {100 - percent} * ({a.format('n')} + {b.format('n')})"
+
+
 def _keys(sets: list[np.ndarray]) -> list[np.ndarray]:
     """A 128-bit key of each set, in two halves."""
     return [np.array([c.mix(x ^ np.uint64(salt)).sum(dtype=np.uint64) for x in sets], np.uint64) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
@@ -159,9 +185,12 @@ def _each_chunk(k: int, make: Callable[[pa.RecordBatch, list[np.ndarray]], dict[
 def _measured(rows: DataFrame, k: int) -> DataFrame:
     def make(part: pa.RecordBatch, sets: list[np.ndarray]) -> dict[str, pa.Array]:
         k1, k2 = map(_long, _keys(sets))
-        return {"doc_id": part.column("doc_id"), "n": pa.array([len(x) for x in sets], pa.int64()), "k1": k1, "k2": k2}
+        rows = folded(sets)
+        folds = {x: _long(np.ascontiguousarray(rows[:, i])) for i, x in enumerate(_FOLDS)}
+        return {"id": part.column("id"), "doc_id": part.column("doc_id"), "n": pa.array([len(x) for x in sets], pa.int64()), "k1": k1, "k2": k2} | folds
 
-    return c.checkpointed(c.map_batches(rows.select("doc_id", "text"), _each_chunk(k, make), "doc_id long, n long, k1 long, k2 long"))
+    kind = "id long, doc_id long, n long, k1 long, k2 long" + "".join(f", {x} long" for x in _FOLDS)
+    return c.checkpointed(c.map_batches(rows.select("id", "doc_id", "text"), _each_chunk(k, make), kind))
 
 
 def _count_frequent(k: int, percent: int) -> Callable:
@@ -248,11 +277,14 @@ def _with_pivots(mixed: DataFrame, hubs: bool, percent: int) -> DataFrame:
     Of each token the pivot is the set that shares most, or one by hash.
     """
     counted = mixed.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    share = mixed.join(counted, "token").groupBy("cid").agg((-F.sum("c")).alias("rank")) if hubs else mixed.select("cid", F.xxhash64("cid").alias("rank")).distinct()
+    if hubs:
+        share = mixed.join(counted, "token").groupBy("cid").agg((-F.sum("c")).alias("rank"))
+    else:
+        share = mixed.select("cid", F.xxhash64("cid").alias("rank")).distinct()
     ranked = c.checkpointed(mixed.join(share, "cid"))
-    pivots = ranked.groupBy("token").agg(F.min(F.struct("rank", "cid", "n", "label")).alias("p"))
-    tried = ranked.select("token", "cid", "n", "label").join(pivots, "token").where("label <> p.label").where(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
-    chosen = tried.groupBy("cid", "n").agg(F.min("p").alias("p"))
+    pivots = ranked.groupBy("token").agg(F.min(F.struct("rank", "cid", "n", "label", *_FOLDS)).alias("p"))
+    tried = ranked.join(pivots, "token").where("label <> p.label").where(_within("{}", "p.{}", percent))
+    chosen = tried.groupBy("cid", "n").agg(F.min(F.struct("p.rank", "p.cid", "p.n")).alias("p"))
     return chosen.select(F.col("cid").alias("a"), F.col("p.cid").alias("b"), F.col("n").alias("n_a"), F.col("p.n").alias("n_b"))
 
 
@@ -261,14 +293,19 @@ def _all_pairs(mixed: DataFrame, percent: int) -> DataFrame:
 
     A pair that shares the token before it too is found there. At the first common
     token all blocks before it differ, each by a shingle at least, so their number in
-    both orders together bounds the overlap.
+    both orders together bounds the overlap, as the folded rows do. Of each token the
+    largest component meets the others only: its own sets are never paired.
     """
-    x, y = (mixed.select("token", *(F.col(v).alias(f"{v}_{s}") for v in ("cid", "n", "label", "before", "mask"))) for s in "ab")
+    sizes = mixed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    largest = sizes.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("top"))
+    kept = ("cid", "n", "label", "before", "mask", *_FOLDS)
+    side = lambda s: mixed.select("token", *(F.col(v).alias(f"{v}_{s}") for v in kept))
+    others = side("a").join(largest, "token").where("label_a <> top")
     joined = (
-        x.join(y, "token")
-        .where("cid_a < cid_b and label_a <> label_b and (before_a = 0 or before_a <> before_b)")
-        .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+        others.join(side("b"), "token")
+        .where("label_a <> label_b and (label_b = top or cid_a < cid_b) and (before_a = 0 or before_a <> before_b)")
         .where(f"{100 + percent} * bit_count(mask_a | mask_b) <= {100 - percent} * (n_a + n_b)")
+        .where(_within("{}_a", "{}_b", percent))
     )
     return joined.select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), "n_a", "n_b").distinct()
 
@@ -280,16 +317,21 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     characters other than ASCII white space, A-Z in lower case; shingles are k words,
     or the whole sequence of a shorter text. A null text or one without words has an
     empty set and is linked with nothing. A repeated row is linked with its twin; rows
-    of one doc_id are one node. Other columns are not looked at; an empty table gives
-    an empty result.
+    of one doc_id are one node. A row of null doc_id is a node of its text, after all
+    ids: the component's number is then its smallest id, or one made of a text if none
+    of its rows has an id. Other columns are not looked at; an empty table gives an
+    empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("doc_id", F.coalesce("id", F.expr("shiftrightunsigned(xxhash64(text), 2)") + _NO_ID))
     measured = _measured(rows, k)
-    classes = c.checkpointed(measured.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("cid")))
+    each = measured.where("n > 0").groupBy("k1", "k2")
+    classes = c.checkpointed(each.agg(F.min("doc_id").alias("cid"), F.min("n").alias("n"), *(F.min(x).alias(x) for x in _FOLDS)))
     shared, postings = _posted(rows, k, percent)
-    live = c.checkpointed(
-        postings.join(shared, "token", "left_semi").join(classes.select(F.col("cid").alias("doc_id")).distinct(), "doc_id", "left_semi").select("token", "before", "mask", F.col("doc_id").alias("cid"), "n").distinct()
-    )
+    known = classes.select(F.col("cid").alias("doc_id")).distinct()
+    live = postings.join(shared, "token", "left_semi").join(known, "doc_id", "left_semi")
+    live = c.checkpointed(live.select("token", "before", "mask", F.col("doc_id").alias("cid"), "n").distinct())
+    folds = classes.select("cid", "n", *_FOLDS)
     roots = None
     for step in range(4):
         label = F.col("cid") if roots is None else F.coalesce("root", "cid")
@@ -299,7 +341,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         postings, pairs = several.agg(F.sum("c"), F.sum(F.expr("c * (c - 1) / 2"))).first()
         if not postings:
             break
-        mixed = c.checkpointed(labelled.join(several.select("token"), "token"))
+        mixed = c.checkpointed(labelled.join(several.select("token"), "token").join(folds, ["cid", "n"]))
         last = step and (pairs <= _MANY * postings or step == 3)
         links = _linked(_all_pairs(mixed, percent) if last else _with_pivots(mixed, step == 0, percent), rows, k, percent)
         roots = c.checkpointed(components(links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
@@ -309,4 +351,5 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     if roots is not None:
         members = members.join(roots, members["component_id"] == roots["node"], "left").select("m1", "m2", F.coalesce("root", "component_id").alias("component_id"))
     found = measured.join(members, (F.col("n") > 0) & (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component_id", "doc_id"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))

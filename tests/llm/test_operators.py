@@ -107,6 +107,35 @@ def test_ngram_join_of_a_large_group(spark):
     assert [x[2] for x in got(ngram_join.ngram_jaccard_join(df, 3, 90))] == root
 
 
+def test_ngram_join_of_rows_without_an_id(spark):
+    base = " ".join("w%d" % i for i in range(80))
+    near = base + " end"
+    rows = [(None, base), (4, near), (2, base + " end stop"), (None, "only one without id here"), (None, "only one without id here"), (None, None), (9, "")]
+    found = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    by = collections.defaultdict(list)
+    for r in found:
+        by[r["n_shingles"]].append((r["doc_id"], r["component_id"]))
+    assert by[78] == [(None, 2)] and by[79] == [(4, 2)] and by[80] == [(2, 2)]
+    assert len(by[3]) == 2 and len({x[1] for x in by[3]}) == 1 and by[3][0][0] is None
+    assert sorted(by[0], key=str) == [(9, 9), (None, None)]
+
+
+def test_folded_rows_bound_differences():
+    import random
+
+    import numpy as np
+
+    r = random.Random(1)
+    sets = [np.unique(np.array([r.getrandbits(64) for _ in range(n)], np.uint64)) for n in (0, 1, 5, 300, 2000)]
+    sets.append(np.unique(np.concatenate([sets[3][:280], sets[2]])))
+    rows = ngram_join.folded(sets)
+    bits = np.unpackbits(rows.view(np.uint8), axis=1)
+    for a in range(len(sets)):
+        for b in range(len(sets)):
+            assert (bits[a] ^ bits[b]).sum() <= len(np.setxor1d(sets[a], sets[b]))
+    assert 15 <= (bits[3] ^ bits[5]).sum() <= 25
+
+
 def test_pii(docs, rows):
     tagger = pii.train(pii.labelled_texts(200))
     found = pii.find_pii(docs, tagger)
