@@ -1,11 +1,12 @@
 """Deletion of runs of lines that occurred before, by winnowing, in DataFrame functions only.
 
-Lines with a word are numbered within their text and hashed. Of every window of
-``min_lines`` lines the least hash is a fingerprint, so that each run of that many
-lines has one. Fingerprints are counted; around those found elsewhere the matches
-are extended: every window that has the fingerprint is compared, by a 128-bit key,
-with its first occurrence, and windows that hang together form a run as long as it
-goes both ways. A line of ``long_words`` words or more is a window of its own.
+Lines with a word are hashed once per text, and the hashes are kept as arrays. The least
+hash of every window of ``min_lines`` lines is a fingerprint, so that each run of that
+many lines is sure to hold one; a line of ``long_words`` words or more is one by itself.
+Only fingerprints are counted. Where one is found twice its positions are joined, with
+the hashes of the lines around it, and the match is extended both ways: each window on
+either side that this fingerprint stands for is compared by a 128-bit key with its first
+occurrence. Windows that hang together form a run as long as it goes.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_ROW, _GONE, _PARTS, _REST = "__row", "__gone", "__parts", "__rest"
+from . import common as c
+
 _WORD = r"[^\\x20\\x09-\\x0D]"
+_NONE = "cast(array() as array<int>)"
 
 
 def _once(x: Column) -> Column:
@@ -22,41 +25,53 @@ def _once(x: Column) -> Column:
     return F.explode(F.array(x))
 
 
-def _windows(rows: DataFrame, min_lines: int, long_words: int) -> DataFrame:
-    """Windows of each text: fingerprint, key, number of the first line, and the lines' places."""
-    return (
-        rows.select("rk", "doc_id", _once(F.split("text", "\n", -1)).alias("parts"))
-        .select("rk", "doc_id", "parts", _once(F.expr(f"filter(sequence(0, size(parts) - 1), i -> parts[i] rlike '{_WORD}')")).alias("places"))
-        .where("size(places) > 0")
-        .select("rk", "doc_id", "places", _once(F.expr("transform(places, i -> parts[i])")).alias("lines"))
-        .select("rk", "doc_id", "places", "lines", _once(F.expr("transform(lines, x -> xxhash64(x))")).alias("hashes"))
-        .select(
-            "rk",
-            "doc_id",
-            F.expr(
-                f"""concat(
-                transform(if(size(lines) >= {min_lines}, sequence(1, size(lines) - {min_lines} + 1), cast(array() as array<int>)), k -> struct(
-                  k as k, array_min(slice(hashes, k, {min_lines})) as mark, slice(places, k, {min_lines}) as at,
-                  xxhash64(slice(lines, k, {min_lines})) as key, xxhash64('line', slice(lines, k, {min_lines})) as key2)),
-                transform(filter(sequence(1, size(lines)), k -> length(lines[k - 1]) >= {2 * long_words - 1} and regexp_count(lines[k - 1], '{_WORD}+') >= {long_words}), k -> struct(
-                  k as k, hashes[k - 1] as mark, slice(places, k, 1) as at,
-                  xxhash64(slice(lines, k, 1)) as key, xxhash64('line', slice(lines, k, 1)) as key2)))"""
-            ).alias("windows"),
-        )
-        .select("rk", "doc_id", F.expr("inline(windows)"))
-    )
+def line_hashes(rows: DataFrame, long_words: int) -> DataFrame:
+    """Each text's lines with a word: arrays of places, two hashes, and whether a line is long."""
+    lines = f"""filter(transform(split(text, '\\n', -1), (x, i) -> struct(
+        i as at, xxhash64(x) as h1, xxhash64('line', x) as h2, x rlike '{_WORD}' as word,
+        length(x) >= {2 * long_words - 1} and regexp_count(x, '{_WORD}+') >= {long_words} as long)), x -> x.word)"""
+    found = rows.select("r1", "r2", "doc_id", _once(F.expr(lines)).alias("lines")).where("size(lines) > 0")
+    return found.select("r1", "r2", "doc_id", "lines.at", "lines.h1", "lines.h2", "lines.long")
+
+
+def fingerprints(lines: DataFrame, min_lines: int) -> DataFrame:
+    """One row per fingerprint: mark, its text, and the lines around it.
+
+    ``a``, ``b`` and ``at`` hold hashes and places from line ``s`` of the text on; ``ks``
+    are the first lines of the windows of ``size`` lines that the fingerprint stands for.
+    """
+    w = min_lines
+    starts = f"if(size(h1) >= {w}, sequence(1, size(h1) - {w} + 1), {_NONE})"
+    least = f"k - 1 + array_position(slice(h1, k, {w}), array_min(slice(h1, k, {w})))"
+    best = lines.withColumn("best", _once(F.expr(f"transform({starts}, k -> cast({least} as int))")))
+    first, last = f"greatest(1, p - {w - 1})", f"least(p, size(h1) - {w - 1})"
+    marks = f"""concat(
+        transform(array_distinct(best), p -> struct(
+            p as p, {first} as s, {w} as size, filter(sequence({first}, {last}), k -> best[k - 1] = p) as ks)),
+        transform(filter(sequence(1, size(h1)), k -> long[k - 1]), p -> struct(p as p, p as s, 1 as size, array(p) as ks)))"""
+    each = best.select("r1", "r2", "doc_id", "at", "h1", "h2", F.expr(f"inline({marks})"))
+    around = [F.expr(f"slice({x}, s, 2 * size - 1)").alias(y) for x, y in (("h1", "a"), ("h2", "b"), ("at", "at"))]
+    return each.select(F.expr("h1[p - 1]").alias("mark"), "r1", "r2", "doc_id", "s", "size", "ks", *around)
+
+
+def extended(found: DataFrame) -> DataFrame:
+    """The windows around fingerprints, with their keys."""
+    part = "slice({}, k - s + 1, size)"
+    return found.withColumn("k", F.explode("ks")).select(
+        "r1", "r2", "doc_id", "k", F.expr(part.format("at")).alias("at"),
+        F.expr(f"xxhash64(size, {part.format('a')})").alias("key"), F.expr(f"xxhash64(size, {part.format('b')})").alias("key2"),
+    )
 
 
 def repeated_lines(rows: DataFrame, min_lines: int, long_words: int) -> DataFrame:
-    """Places of the lines of each row (rk, doc_id, text) that lie in a later occurrence of a run."""
-    windows = _windows(rows, min_lines, long_words)
-    keyed = windows.groupBy("mark", "key", "key2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
-    shared = keyed.groupBy("mark").agg(F.sum("n").alias("found")).where("found > 1").select("mark")
-    first = keyed.where("n > 1").join(shared, "mark", "left_semi").drop("n")
-    again = windows.join(first, ["mark", "key", "key2"])
-    first_line = again.where("doc_id = first_doc").groupBy("mark", "key", "key2").agg(F.min("k").alias("first_k"))
-    later = again.join(first_line, ["mark", "key", "key2"]).where("doc_id > first_doc or k > first_k")
-    return later.groupBy("rk").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("gone"))
+    """Places of the lines of each row (r1, r2, doc_id, text) that lie in a later occurrence of a run."""
+    lines = c.stored(line_hashes(rows, long_words))
+    marks = fingerprints(lines, min_lines)
+    shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
+    windows = c.stored(extended(marks.join(shared, "mark", "left_semi")))
+    seen = windows.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "k")).alias("first"))
+    later = windows.join(seen.where("n > 1"), ["key", "key2"]).where("struct(doc_id, k) > first")
+    return later.groupBy("r1", "r2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, min_lines: int = 2, long_words: int = 50) -> DataFrame:
@@ -67,25 +82,38 @@ def line_dedup(docs: DataFrame, min_lines: int = 2, long_words: int = 50) -> Dat
     Lines without words are passed over in matching and kept. Returns doc_id, text (the
     rest), n_lines, n_deleted, n_runs, one row per input row. A null or empty text
     stays as it is, with one line or none; a row repeated with id and text is the same
-    document and fares alike; rows of null doc_id come last. Other columns are not
-    looked at; an empty table gives an empty result.
+    document and fares alike; rows of null doc_id come last. Of a run that stands at the
+    same line of two texts without an id, or of two texts of one id, both copies are
+    first, and stay. Other columns are not looked at; an empty table gives an empty
+    result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rest_of_lines(rows, min_lines, long_words).select(
+    found, name = rest_of_lines(rows, min_lines, long_words)
+    runs = "aggregate({0}.gone, struct(-2 as last, 0 as n), (s, i) -> struct(i as last, s.n + if(i > s.last + 1, 1, 0) as n), s -> s.n)"
+    return found.select(
         "doc_id",
-        F.col(_REST).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(_PARTS)).cast("long").alias("n_lines"),
-        F.size(_GONE).cast("long").alias("n_deleted"),
-        F.expr(f"cast(aggregate({_GONE}, struct(-2 as last, 0 as n), (s, i) -> struct(i as last, s.n + if(i > s.last + 1, 1, 0) as n), s -> s.n) as long)").alias("n_runs"),
+        F.col(f"{name}.rest").alias("text"),
+        F.expr(f"cast(coalesce({_N_LINES}, 0) as long)").alias("n_lines"),
+        F.size(f"{name}.gone").cast("long").alias("n_deleted"),
+        F.expr(f"cast({runs.format(name)} as long)").alias("n_runs"),
     )
 
 
-def rest_of_lines(docs: DataFrame, min_lines: int = 2, long_words: int = 50) -> DataFrame:
-    """All columns of the documents, their lines, the places of deleted ones, and the text that is left."""
-    rows = docs.withColumn(_ROW, F.xxhash64("doc_id", "text"))
-    sources = rows.where("text is not null").select(F.col(_ROW).alias("rk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), "text")
-    gone = repeated_lines(sources, min_lines, long_words).select(F.col("rk").alias(_ROW), F.col("gone").alias(_GONE))
-    joined = rows.join(gone, _ROW, "left").withColumn(_GONE, F.coalesce(_GONE, F.expr("cast(array() as array<int>)")))
-    joined = joined.select(*docs.columns, _GONE, _once(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias(_PARTS))
-    kept = F.expr(f"transform(array_except(sequence(0, size({_PARTS}) - 1), {_GONE}), i -> {_PARTS}[i])")
-    return joined.withColumn(_REST, F.when(F.size(_GONE) == 0, F.col("text")).otherwise(F.array_join(kept, "\n")))
+_N_LINES = "1 + length(text) - length(replace(text, '\\n', ''))"
+
+
+def rest_of_lines(docs: DataFrame, min_lines: int = 2, long_words: int = 50) -> tuple[DataFrame, str]:
+    """All columns of the documents and a struct of the places of deleted lines (gone) and what is left (rest).
+
+    Also returns the struct's name, which no column of the documents has.
+    """
+    r1, r2, held = c.fresh(docs, "r1", "r2", "lines")
+    rows = docs.withColumns({r1: F.xxhash64("doc_id", "text"), r2: F.xxhash64(F.lit("row"), "doc_id", "text")})
+    texts = rows.where("text is not null")
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id")
+    gone = repeated_lines(texts.select(F.col(r1).alias("r1"), F.col(r2).alias("r2"), number, "text"), min_lines, long_words)
+    joined = rows.join(gone.select(F.col("r1").alias(r1), F.col("r2").alias(r2), F.col("gone").alias(held)), [r1, r2], "left")
+    left = "transform(array_except(sequence(0, size(x) - 1), {0}), i -> x[i])".format(held)
+    rest = F.expr(f"if({held} is null, text, array_join(transform(array(split(text, '\\n', -1)), x -> {left})[0], '\\n'))")
+    both = F.struct(F.coalesce(F.col(held), F.expr(_NONE)).alias("gone"), rest.alias("rest"))
+    return joined.select(*docs.columns, both.alias(held)), held

@@ -202,6 +202,41 @@ def test_line_dedup(docs, rows):
     assert sorted(found) == sorted(want)
 
 
+def test_line_fingerprints_are_fewer_than_lines_and_cover_every_window(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(i, 0, i, "\n".join("line %d" % r.randrange(10**6) for _ in range(200))) for i in range(10)]
+    for w in (2, 4, 8):
+        hashed = line_dedup.line_hashes(spark.createDataFrame(rows, "r1 long, r2 long, doc_id long, text string"), 50)
+        marks = line_dedup.fingerprints(hashed, w).collect()
+        assert len(marks) < 10 * 200 * 2.3 / (w + 1)
+        windows = collections.Counter((m["doc_id"], k) for m in marks for k in m["ks"])
+        assert set(windows) == {(i, k) for i in range(10) for k in range(1, 200 - w + 2)} and set(windows.values()) == {1}
+
+
+@pytest.mark.parametrize("w", [2, 5])
+def test_a_run_of_lines_is_found_at_any_offset(spark, w):
+    run = ["shared line %d" % k for k in range(w)]
+    own = lambda i, n: ["own %d %d" % (i, k) for k in range(n)]
+    texts = [own(i, i) + run + own(100 + i, 12 - i) for i in range(12)]
+    df = spark.createDataFrame([(i, "\n".join(t), "x") for i, t in enumerate(texts)], "doc_id long, text string, lines string")
+    found = {r["doc_id"]: r for r in line_dedup.line_dedup(df, w).collect()}
+    assert found[0]["n_deleted"] == 0 and found[0]["text"] == "\n".join(texts[0])
+    for i in range(1, 12):
+        assert (found[i]["n_deleted"], found[i]["n_runs"]) == (w, 1)
+        assert found[i]["text"] == "\n".join(x for x in texts[i] if x not in run)
+    short = spark.createDataFrame([(i, "\n".join(own(i, 2) + run[: w - 1] + own(50 + i, 2))) for i in range(4)], "doc_id long, text string")
+    assert all(r["n_deleted"] == 0 for r in line_dedup.line_dedup(short, w).collect())
+
+
+def test_line_dedup_keeps_columns_of_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b\nc d", "q", 1), (2, "a b\nc d\ne", "r", 2)], "doc_id long, text string, lines string, r1 int")
+    found, name = line_dedup.rest_of_lines(df)
+    assert name not in df.columns
+    assert sorted((r["lines"], r["r1"], r[name]["rest"]) for r in found.collect()) == [("q", 1, "a b\nc d"), ("r", 2, "e")]
+
+
 @pytest.mark.parametrize("block_bytes", [8 << 20, 400])
 def test_decontaminate(spark, docs, rows, block_bytes):
     long = rows[6][1]
