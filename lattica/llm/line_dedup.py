@@ -68,9 +68,10 @@ def repeated_lines(rows: DataFrame, min_lines: int, long_words: int) -> DataFram
     lines = c.stored(line_hashes(rows, long_words))
     marks = fingerprints(lines, min_lines)
     shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
+    shared = c.stored(shared)  # joined as it lies, so that a frequent fingerprint's positions can be split
     windows = c.stored(extended(marks.join(shared, "mark", "left_semi")))
     seen = windows.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "k")).alias("first"))
-    later = windows.join(seen.where("n > 1"), ["key", "key2"]).where("struct(doc_id, k) > first")
+    later = windows.join(c.stored(seen.where("n > 1")), ["key", "key2"]).where("struct(doc_id, k) > first")
     return later.groupBy("r1", "r2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("gone"))
 
 

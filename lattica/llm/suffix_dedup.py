@@ -27,12 +27,15 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
 
-_CORE = 48
+#: Bytes of an anchor's gram, and the share of a window that it takes at most.
+_CORE, _SHARE = 48, 4
+#: Scopes and blocks of a batch are numbered together in steps of this; no window has as many bytes.
+_STEP = 1 << 20
 _RUN_BYTES = 16 << 20
 _BUCKET_BYTES = 8 << 20
 _PREFIX = 64
@@ -42,8 +45,13 @@ _BLOCK = 8
 _ELSEWHERE = -(1 << 60)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, size: int, core: int = _CORE) -> tuple[np.ndarray, ...]:
+def core_of(size: int) -> int:
+    return min(_CORE, size // _SHARE)
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     """Text number, anchor, first and last window of every scope of a chunk, and a hasher."""
+    core = core_of(size)
     hashed = c.Hasher(data)
     n, w = len(data), size - core + 1
     none = np.zeros(0, np.int64)
@@ -75,8 +83,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, size: int, core: int = _CORE)
 def _scopes(data: np.ndarray, offsets: np.ndarray, size: int):
     text, anchor, first, last, hashed = anchors(data, offsets, size)
     end = last + size
-    core = hashed(anchor, anchor + _CORE)
-    shape = ((anchor - first) * 1_000 + (end - first)).astype(np.uint64)
+    core = hashed(anchor, anchor + core_of(size))
+    shape = ((anchor - first) * _STEP + (end - first)).astype(np.uint64)
     s1 = c.mix(hashed(first, end) ^ c.mix(shape))
     middle = (first + end) // 2
     s2 = c.mix(hashed(first, middle) + np.uint64(3) * hashed(middle, end)) ^ core
@@ -118,38 +126,45 @@ def _candidates(size: int, settled, contested, chosen):
     return run
 
 
-def _blocks(size: int):
+def _blocks(size: int, passed=None):
     """A fingerprint for each block of contested windows, of what its windows have in common.
 
     Blocks are counted from the anchor. Where that string is found once, no window of
-    the block is repeated.
+    the block is repeated. A filter lets only some fingerprints through.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             which, at, hashed, rel = _laid_out(batch, size, None)
             block = (rel[which] - at[1]) // _BLOCK
-            one = np.unique(which * 1_000 + block)
-            which, block = one // 1_000, one % 1_000
+            one = np.unique(which * _STEP + block + _STEP // 2)
+            which, block = one // _STEP, one % _STEP - _STEP // 2
             start = at[2][which] + rel[which] - _BLOCK * block
             fp = c.mix(hashed(start, start - _BLOCK + 1 + size) ^ (block + 1).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([_long(fp), pa.array(batch.column("mid").to_numpy()[which]), _long(block)], names=["fp", "mid", "block"])
+            yield _passing(fp, batch, which, block, "block", passed)
 
     return run
 
 
-def _windows(size: int):
+def _windows(size: int, passed=None):
     """A fingerprint for each contested window of the blocks that may have repeated ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             which, at, hashed, _ = _laid_out(batch, size, batch.column("blocks").to_pylist())
-            mids = pa.array(batch.column("mid").to_numpy()[which])
-            yield pa.RecordBatch.from_arrays([_long(hashed(at[0], at[0] + size)), mids, _long(at[1])], names=["fp", "mid", "at"])
+            yield _passing(hashed(at[0], at[0] + size), batch, which, at[1], "at", passed)
 
     return run
 
 
+def _passing(fp: np.ndarray, batch: pa.RecordBatch, which: np.ndarray, at: np.ndarray, name: str, passed) -> pa.RecordBatch:
+    """Fingerprints with their scope and place, of those that a filter lets through."""
+    if passed is not None:
+        take = passed.value(fp)
+        fp, which, at = fp[take], which[take], at[take]
+    return pa.RecordBatch.from_arrays([_long(fp), pa.array(batch.column("mid").to_numpy()[which]), _long(at)], names=["fp", "mid", name])
+
+
 def _laid_out(batch: pa.RecordBatch, size: int, blocks: list[list[int]] | None):
     """The windows of the batch's scopes: number of the scope, places (in all bytes, in the scope, of the scope), hasher, anchors."""
     bodies = batch.column("body").to_pylist()
@@ -160,8 +175,8 @@ def _laid_out(batch: pa.RecordBatch, size: int, blocks: list[list[int]] | None):
     which = np.repeat(np.arange(len(bodies)), counts)
     inner = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
     if blocks is not None:
-        wanted = np.concatenate([np.array(x, np.int64) + 1_000 * i for i, x in enumerate(blocks)])
-        keep = np.isin(which * 1_000 + (rel[which] - inner) // _BLOCK, wanted)
+        wanted = np.concatenate([np.array(x, np.int64) + _STEP * i for i, x in enumerate(blocks)])
+        keep = np.isin(which * _STEP + (rel[which] - inner) // _BLOCK, wanted)
         which, inner = which[keep], inner[keep]
     return which, (offsets[which] + inner, inner, offsets), c.Hasher(np.frombuffer(b"".join(bodies), np.uint8)), rel
 
@@ -248,6 +263,11 @@ def merge_runs(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, b
             node //= 2
 
 
+def place_mask(size: int) -> int:
+    """Low bits that hold any place of a window in its scope; the others are left to a hash."""
+    return (1 << size.bit_length()) - 1
+
+
 def _sorted_runs(size: int, splitters: list[bytes]):
     """Suffixes of runs of windows with the same partners, sorted and front-coded by bucket.
 
@@ -281,6 +301,7 @@ def _sorted_runs(size: int, splitters: list[bytes]):
             }
             at = to
 
+    mask = place_mask(size)
     schema = pa.schema([("bucket", pa.int32()), ("run", pa.int64()), ("entry", pa.int32()), ("rk", pa.int64()), ("start", pa.int64()), ("lcps", pa.binary()), ("sizes", pa.binary()), ("tails", pa.binary()), ("many", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +309,7 @@ def _sorted_runs(size: int, splitters: list[bytes]):
         total, run_id = 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for rk, first, body, repeated in zip(*(batch.column(x).to_pylist() for x in ("rk", "first", "body", "repeated")), strict=True):
-                places = sorted((x & 511, x >> 9) for x in repeated)
+                places = sorted((x & mask, x & ~mask) for x in repeated)
                 begun = 0
                 for i in range(1, len(places) + 1):
                     if i == len(places) or places[i][0] != places[i - 1][0] + 1 or places[i][1] != places[i - 1][1]:
@@ -335,15 +356,18 @@ def _merged(size: int):
 
 
 def _contested_spans(members: DataFrame, size: int) -> DataFrame:
-    def shared(found: DataFrame) -> DataFrame:
-        same = Window.partitionBy("fp")
-        return found.withColumn("n", F.count(F.lit(1)).over(same)).withColumn("sig", F.bit_xor(F.xxhash64("mid")).over(same)).where("n > 1")
-
-    blocks = shared(c.map_batches(members.select("mid", "rel", "body"), _blocks(size), "fp long, mid long, block long"))
-    blocks = blocks.groupBy("mid").agg(F.collect_list(F.col("block").cast("smallint")).alias("blocks"))
+    def shared(rows: DataFrame, make, kind: str) -> DataFrame:
+        """Fingerprints found twice, with a number for who has them; counted before any is dealt out."""
+        counted = c.map_batches(rows, make(size), kind).groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("mid")).alias("sig"))
+        counted = c.checkpointed(counted.where("n > 1").select("fp", "sig"))
+        passed = rows.sparkSession.sparkContext.broadcast(c.KeyFilter(counted, "fp"))
+        return c.map_batches(rows, make(size, passed), kind).join(counted, "fp")
+
+    blocks = shared(members.select("mid", "rel", "body"), _blocks, "fp long, mid long, block long")
+    blocks = blocks.groupBy("mid").agg(F.collect_list(F.col("block").cast("int")).alias("blocks"))
     members = c.checkpointed(members.join(blocks, "mid"))
-    windows = c.map_batches(members.select("mid", "rel", "body", "blocks"), _windows(size), "fp long, mid long, at long")
-    repeated = shared(windows).groupBy("mid").agg(F.collect_list(F.expr("sig & ~511L | at")).alias("repeated"))
+    windows = shared(members.select("mid", "rel", "body", "blocks"), _windows, "fp long, mid long, at long")
+    repeated = windows.groupBy("mid").agg(F.collect_list(F.expr(f"sig & ~{place_mask(size)}L | at")).alias("repeated"))
     ready = members.join(repeated, "mid").select("rk", "first", "body", "repeated")
     total = members.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     buckets = max(1, total // _BUCKET_BYTES)
@@ -434,8 +458,11 @@ def suffix_dedup(docs: DataFrame, size: int = 200) -> DataFrame:
     text and overlap it; all is judged on the input. Returns doc_id, n_bytes, n_removed,
     n_spans, kept_sha256 and kept (binary), one row per input row. A null text is empty;
     texts shorter than ``size`` stay whole; repeated rows are copies of each other.
-    Other columns are not looked at; an empty table gives an empty result.
+    Other columns are not looked at; an empty table gives an empty result. ``size`` is
+    from 8 to 100000 bytes.
     """
+    if not 8 <= size <= 100_000:
+        raise ValueError(f"size {size} is not from 8 to 100000")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("rk", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     spans = repeated_spans(rows.select("rk", "text"), size).groupBy("rk").agg(F.collect_list(F.struct("start", "end")).alias("spans"))

@@ -329,21 +329,27 @@ def test_bpe_of_odd_texts(text):
     assert decoded == t.decode(ids, skip_special_tokens=False)
 
 
-def test_suffix_dedup(docs, rows):
+@pytest.mark.parametrize("size", [200, 30, 900])
+def test_suffix_dedup(docs, rows, size):
     where = collections.Counter()
     data = [(r[0], (r[1] or "").encode()) for r in rows]
     for _, b in data:
-        for i in range(len(b) - 199):
-            where[b[i : i + 200]] += 1
+        for i in range(len(b) - size + 1):
+            where[b[i : i + size]] += 1
     want = []
     for doc, b in data:
         gone = bytearray(len(b))
-        for i in range(len(b) - 199):
-            if where[b[i : i + 200]] > 1:
-                gone[i : i + 200] = b"\1" * 200
+        for i in range(len(b) - size + 1):
+            if where[b[i : i + size]] > 1:
+                gone[i : i + size] = b"\1" * size
         kept = bytes(x for x, g in zip(b, gone) if not g)
         want.append((doc, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(kept)))
-    assert got(suffix_dedup.suffix_dedup(docs).drop("kept")) == sorted(want)
+    assert got(suffix_dedup.suffix_dedup(docs, size).drop("kept")) == sorted(want)
+
+
+def test_suffix_dedup_refuses_sizes_without_room_for_an_anchor(docs):
+    with pytest.raises(ValueError):
+        suffix_dedup.suffix_dedup(docs, 7)
 
 
 def test_loser_tree_merges():
