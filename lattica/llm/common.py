@@ -71,9 +71,9 @@ class KeyFilter:
         self.bits = 1 << min(self.MOST_BITS.bit_length() - 1, max(16, (16 * n).bit_length()))
         bit = F.col(key).bitwiseAND(self.bits - 1).alias("bit")
         words = keys.select(bit).selectExpr("shiftright(bit, 6) as word", "shiftleft(1L, cast(bit & 63 as int)) as flags")
-        found = words.groupBy("word").agg(F.bit_or("flags").alias("flags")).toPandas()
+        found = words.groupBy("word").agg(F.bit_or("flags").alias("flags")).toArrow()  # two numbers a word, no Row objects
         self.words = np.zeros(self.bits // 64, np.int64)
-        self.words[found["word"].to_numpy(np.int64)] = found["flags"].to_numpy(np.int64)
+        self.words[found["word"].to_numpy()] = found["flags"].to_numpy()
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         bit = (keys.view(np.uint64) & np.uint64(self.bits - 1)).astype(np.int64)
