@@ -129,15 +129,15 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 OP6_SQL = r"""
 WITH docs AS (SELECT row_number() OVER () AS id, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 items AS (SELECT CAST(item_id AS VARCHAR) AS item, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM benchmark),
-dw AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs)),
-iw AS (SELECT item, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT item, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM items)),
-sizes AS (SELECT DISTINCT least(n, 13) AS m FROM iw),
-dwin AS (SELECT id, m, pos, string_agg(word, ' ') OVER (PARTITION BY id, m ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS win, count(*) OVER (PARTITION BY id, m ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM dw, sizes WHERE m = 13),
-iwin AS (SELECT item, string_agg(word, ' ') OVER (PARTITION BY item ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS win, count(*) OVER (PARTITION BY item ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS k FROM iw),
-found AS (SELECT id, pos, item FROM (SELECT * FROM dwin WHERE k = 13) JOIN (SELECT DISTINCT item, win FROM iwin WHERE k = 13) USING (win)),
-hits AS (SELECT id, count(DISTINCT pos + j) AS n_hit FROM (SELECT DISTINCT id, pos FROM found), (SELECT unnest(range(13)) AS j) GROUP BY id),
+dw AS (SELECT id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs),
+iw AS (SELECT item, w, least(len(w), 13) AS m FROM (SELECT item, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM items) WHERE len(w) > 0),
+iwin AS (SELECT DISTINCT item, m, unnest(list_transform(range(1, len(w) - m + 2), lambda p: array_to_string(w[p:p + m - 1], ' '))) AS win FROM iw),
+wins AS (SELECT id, m, list_transform(range(1, len(w) - m + 2), lambda p: array_to_string(w[p:p + m - 1], ' ')) AS l FROM dw, (SELECT DISTINCT m FROM iw) WHERE len(w) >= m),
+dwin AS (SELECT id, m, unnest(l) AS win, generate_subscripts(l, 1) AS pos FROM wins),
+found AS (SELECT id, pos, m, item FROM dwin JOIN iwin USING (m, win)),
+hits AS (SELECT id, count(DISTINCT at) AS n_hit FROM (SELECT DISTINCT id, unnest(range(pos, pos + m)) AS at FROM (SELECT DISTINCT id, pos, m FROM found)) GROUP BY id),
 named AS (SELECT id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM found GROUP BY id),
-counts AS (SELECT id, count(*) AS n_words FROM dw GROUP BY id)
+counts AS (SELECT id, len(w) AS n_words FROM dw)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(n_words, 0) AS contaminated
 FROM docs LEFT JOIN counts USING (id) LEFT JOIN hits USING (id) LEFT JOIN named USING (id)
