@@ -69,10 +69,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, offsets in c.chunks(batch, "text"):
             counts = count_rules(data, offsets)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("source"), *(pa.array(counts[k].astype(np.int64)) for k in _COUNTS)],
-                names=["doc_id", "source", *_COUNTS],
-            )
+            kept = [x for x in part.schema.names if x != "text"]
+            cols = [*(part.column(x) for x in kept), *(pa.array(counts[k].astype(np.int64)) for k in _COUNTS)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*kept, *_COUNTS])
 
 
 def host_verdicts(docs: DataFrame, host: str, failed: Column, max_rate: float = 0.5) -> DataFrame:
@@ -92,22 +91,24 @@ def host_verdicts(docs: DataFrame, host: str, failed: Column, max_rate: float =
 
 
 def quality_rules(
-    docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, max_host_rate: float = 0.5
+    docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, max_host_rate: float = 0.5, key: str | None = None
 ) -> DataFrame:
     """Counts and verdict of every document, from doc_id, text and source.
 
     Returns doc_id, source, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, host_rate, kept, one row per input row. A null or
     empty text has no words and so fails; a null source is a host of its own; a
-    repeated row counts each time; other columns are not looked at; an empty table
-    gives an empty result.
+    repeated row counts each time; other columns are not looked at, but for one that
+    ``key`` may name, a number that is returned too; an empty table gives an empty
+    result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, source string, " + ", ".join(f"{k} long" for k in _COUNTS)
+    more = [key] if key else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), *(F.col(x).cast("long").alias(x) for x in more))
+    schema = "doc_id long, source string, " + "".join(f"{x} long, " for x in more) + ", ".join(f"{k} long" for k in _COUNTS)
     counted = c.checkpointed(c.map_batches(rows, _measure, schema))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     counted = counted.withColumn("base_failed", failed)
     hosts = host_verdicts(counted, "source", F.col("base_failed"), max_host_rate).withColumnRenamed("source", "host")
     return counted.join(hosts, counted["source"].eqNullSafe(hosts["host"]), "left").select(
-        "doc_id", "source", *_COUNTS, "base_failed", "host_rate", (~F.col("base_failed") & F.col("host_kept")).alias("kept")
+        "doc_id", "source", *more, *_COUNTS, "base_failed", "host_rate", (~F.col("base_failed") & F.col("host_kept")).alias("kept")
     )
