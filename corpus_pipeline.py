@@ -8,29 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import bpe_encode
-from lattica.llm.common import read, stored
+from lattica.llm.common import fresh, read, stored
 from lattica.llm.decontaminate import search
 from lattica.llm.line_dedup import rest_of_lines
 from lattica.llm.ngram_join import ngram_jaccard_join
 from lattica.llm.quality_rules import quality_rules
 from lattica.llm.queries import WORD_BPE, vocabulary
 
-_ROW = "__row"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep. Rows alike in id, text and source fare alike."""
-    rows = docs.withColumn(_ROW, F.xxhash64("doc_id", "text", "source"))
-    judged = quality_rules(rows.select(F.col(_ROW).alias("doc_id"), "text", "source"))
-    kept = judged.where("kept").select(F.col("doc_id").alias(_ROW)).distinct()
-    return rows.join(kept, _ROW, "left_semi").select(docs.columns)
+    """Documents that the rules keep. Rows alike in id, text and source, by a key of 128 bits, fare alike."""
+    r1, r2 = fresh(docs, "r1", "r2")
+    rows = docs.withColumns({r1: F.xxhash64("doc_id", "text", "source"), r2: F.xxhash64(F.lit("row"), "doc_id", "text", "source")})
+    judged = quality_rules(rows.select(F.col(r1).alias("doc_id"), F.col(r2).alias("r2"), "text", "source"), key="r2")
+    kept = judged.where("kept").select(F.col("doc_id").alias(r1), F.col("r2").alias(r2)).distinct()
+    return rows.join(kept, [r1, r2], "left_semi").select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without runs of lines that occurred before; n_chars follows the text."""
-    found = rest_of_lines(docs)
-    columns = [F.col("__rest").alias("text") if x == "text" else F.length("__rest").cast(docs.schema["n_chars"].dataType).alias("n_chars") if x == "n_chars" else F.col(x) for x in docs.columns]
-    return found.select(columns)
+    found, name = rest_of_lines(docs)
+    rest = F.col(f"{name}.rest")
+    new = {"text": rest.alias("text"), "n_chars": F.length(rest).cast(docs.schema["n_chars"].dataType).alias("n_chars")}
+    return found.select([new.get(x, F.col(x)) for x in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,18 +40,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows alike in id and text are one document. Those without an id are documents like
     others, told apart by text; in a group they come after all ids.
     """
-    rows = docs.withColumn(_ROW, F.xxhash64("doc_id", "text"))
-    ids = stored(rows.groupBy(_ROW).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
-    found = ngram_jaccard_join(rows.select(F.col(_ROW).alias("doc_id"), "text"))
-    grouped = found.groupBy(F.col("doc_id").alias(_ROW)).agg(F.min("component_id").alias("component_id")).join(ids, _ROW)
-    kept = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", _ROW)).alias("first")).select(f"first.{_ROW}")
-    left = rows.join(kept, _ROW, "left_semi").select(docs.columns)
+    (row,) = fresh(docs, "r1")
+    rows = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    ids = stored(rows.groupBy(row).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
+    found = ngram_jaccard_join(rows.select(F.col(row).alias("doc_id"), "text"))
+    grouped = found.groupBy(F.col("doc_id").alias(row)).agg(F.min("component_id").alias("component_id")).join(ids, row)
+    kept = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", row)).alias("first")).select(f"first.{row}")
+    left = rows.join(kept, row, "left_semi").select(docs.columns)
+    # without a repeated row there is nothing to drop, and no shuffle of the texts
     return left.dropDuplicates(["doc_id", "text"]) if ids.where("n > 1").limit(1).count() else left
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    return search(docs, read(spark, sf_dir, "benchmark")).where("not __found_contaminated").select(docs.columns)
+    found, name = search(docs, read(spark, sf_dir, "benchmark"))
+    return found.where(~F.col(f"{name}.contaminated")).select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +70,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe encoding", encoding),
 ]
 
-#: SQL cannot express the third and the last stage; tests compare them with brute force.
+#: SQL cannot express the third and the last stage; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL: str | None = None
 
 
