@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vec import l2sq, mean_vector
+from ..functions.vec import l2sq, mean_vector, once
 from ..session import small
-from .search import packed
+from .search import nearest_rows, packed_blocks
 
 
 def hash_sample(pixels: DataFrame, n: int, seed: int = 42) -> DataFrame:
@@ -37,8 +37,12 @@ def kmeans(pixels: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, DataFr
 
 def assign(pixels: DataFrame, centres: DataFrame) -> DataFrame:
     """Cluster of the nearest centroid, the lower number of equal ones: adds cluster and d2."""
-    each = pixels.select("idx", "emb").crossJoin(small(centres)).select("idx", "cluster", l2sq("emb", "centroid").alias("d2"))
-    best = each.groupBy("idx").agg(F.min(F.struct("d2", "cluster")).alias("best"))
+    blocks, n = packed_blocks(centres.select("cluster", F.col("centroid").alias("emb")), ("emb", "cluster"))
+    near = F.array_min(F.transform("queries", lambda q: F.struct(l2sq(F.col("emb"), q["emb"]).alias("d2"), q["cluster"].alias("cluster"))))
+    if n == 1:
+        return pixels.crossJoin(F.broadcast(blocks)).select(*pixels.columns, once(near).alias("best")).select(*pixels.columns, "best.cluster", "best.d2")
+    each = pixels.select("idx", "emb").crossJoin(small(blocks, 64)).select("idx", near.alias("best"))
+    best = each.groupBy("idx").agg(F.min("best").alias("best"))
     return pixels.join(best.select("idx", "best.cluster", "best.d2"), "idx")
 
 
@@ -81,21 +85,10 @@ def principal_components(pixels: DataFrame, k: int = 3, most: int = 40_000) -> t
 
 
 def knn_graph(pixels: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest other pixels of each query (idx, emb), by rank: the graph that layouts start from.
-
-    Pixels and queries meet in packed blocks; of each block of pixels a query keeps k, and these are ranked.
-    """
-    of = packed(pixels, ("idx", "emb")).select(F.col("queries").alias("pixels"))
-    each = of.crossJoin(small(packed(queries, ("idx", "emb")).select("queries"), 64))
-
-    def best(q: Column) -> Column:
-        others = F.filter("pixels", lambda p: p["idx"] != q["idx"])
-        near = F.transform(others, lambda p: F.struct(l2sq(p["emb"], q["emb"]).alias("d2"), p["idx"].alias("idx")))
-        return F.struct(q["idx"].alias("source"), F.slice(F.array_sort(near), 1, k).alias("near"))
-
-    kept = each.select(F.inline(F.transform("queries", best))).select("source", F.inline("near")).select("source", "idx", "d2")
+    """The k nearest other pixels of each query (idx, emb), by rank: the graph that layouts start from."""
+    near = nearest_rows(pixels, queries, k + 1).where("source <> idx")
     rank = F.row_number().over(Window.partitionBy("source").orderBy("d2", "idx"))
-    return kept.withColumn("rank", rank).where(F.col("rank") <= k)
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("source", "idx", "d2", "rank")
 
 
 def neighbourhood(pixels: DataFrame, reach: int = 1) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vec import l2sq
 from ..session import small
+from .search import nearest_rows
 
 PERCENTS = (1, 3, 5, 10, 20, 30, 50, 80)
 #: Names that a run may ask for, of which the last three look at neighbourhoods.
@@ -34,19 +34,17 @@ def stratified(rows: DataFrame, total: int, mode: str, key: str = "idx", seed: i
     """A sample by class, in the order of a hash of the key."""
     sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(key, F.lit(seed)), key)))
-    return ranked.join(F.broadcast(quotas(sizes, total, mode).drop("n")), "label").where("rank <= quota").drop("rank", "quota")
+    return ranked.join(small(quotas(sizes, total, mode).drop("n")), "label").where("rank <= quota").drop("rank", "quota")
 
 
 def spatial_split(points: DataFrame, train: DataFrame, test: DataFrame) -> DataFrame:
     """Points (idx, lat, lon) with split: train if in a training box, else test if in a test box; others go."""
 
-    def hit(boxes: DataFrame, name: str) -> DataFrame:
-        b = small(boxes)
-        inside = F.col("lat").between(b["south"], b["north"]) & F.col("lon").between(b["west"], b["east"])
-        return points.join(b, inside, "left_semi").select("idx", F.lit(name).alias(name))
-
-    marked = points.join(hit(train, "train"), "idx", "left").join(hit(test, "test"), "idx", "left")
-    return marked.withColumn("split", F.coalesce("train", "test")).drop("train", "test").where("split is not null")
+    packed = lambda boxes, name: boxes.agg(F.collect_list(F.struct("south", "west", "north", "east")).alias(name))
+    both = packed(train, "train").crossJoin(packed(test, "test"))  # boxes are drawn by hand: one row
+    hit = lambda name: F.exists(name, lambda b: F.col("lat").between(b["south"], b["north"]) & F.col("lon").between(b["west"], b["east"]))
+    split = F.when(hit("train"), "train").when(hit("test"), "test")
+    return points.crossJoin(F.broadcast(both)).withColumn("split", split).drop("train", "test").where("split is not null")
 
 
 def knn(train: DataFrame, test: DataFrame, k: int = 5, regression: str | None = None) -> DataFrame:
@@ -55,9 +53,8 @@ def knn(train: DataFrame, test: DataFrame, k: int = 5, regression: str | None =
     Ties of distance go to the smaller idx, ties of votes to the smaller label.
     """
     target = regression or "label"
-    t = small(test.select(F.col("idx").alias("test_idx"), F.col("emb").alias("q")))
-    near = train.select("idx", "emb", F.col(target).alias("target")).crossJoin(t).select("test_idx", "idx", "target", l2sq("emb", "q").alias("d2"))
-    kept = near.withColumn("rank", F.row_number().over(Window.partitionBy("test_idx").orderBy("d2", "idx"))).where(F.col("rank") <= k)
+    near = nearest_rows(train.select("idx", "emb", F.col(target).cast("double").alias("target")), test.select("idx", "emb"), k, "target")
+    kept = near.select(F.col("source").alias("test_idx"), "target" if regression else F.col("target").cast(train.schema[target].dataType).alias("target"))
     if regression:
         return kept.groupBy("test_idx").agg(F.avg("target").alias("prediction")).withColumnRenamed("test_idx", "idx")
     votes = kept.groupBy("test_idx", "target").agg(F.count(F.lit(1)).alias("votes"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vec import l2sq
+from ..functions.vec import l2sq, once
 from ..model import Grid
 from ..session import small
 from . import geom, search
@@ -28,10 +28,14 @@ def classify(pixels: DataFrame, labels: DataFrame) -> DataFrame:
     shapes = active.where("type = 'polygon' and vertices is not null").select(F.struct("label_id", "class").alias("polygon"), "vertices")
     inside = geom.rasterise(pixels.select("idx", "px", "py"), shapes).groupBy("idx").agg(F.max_by("polygon.class", "polygon.label_id").alias("by_polygon"))
     sources = active.where("threshold > 0").select("label_id", "class", "threshold", F.col("embedding").alias("source"))
-    near = pixels.select("idx", "emb").crossJoin(small(sources)).select("idx", "class", "label_id", "threshold", l2sq("emb", "source").alias("d2")).where("d2 <= threshold * threshold")
-    closest = near.groupBy("idx").agg(F.min(F.struct("d2", "label_id", "class")).alias("best")).select("idx", F.col("best.class").alias("by_distance"))
-    out = pixels.select("idx", "px", "py").join(inside, "idx", "left").join(closest, "idx", "left")
-    return out.select("idx", "px", "py", F.coalesce("by_polygon", "by_distance", F.lit(-1)).alias("class"))
+    given = sources.select("label_id", "class", F.col("source").alias("emb"), (F.col("threshold") * F.col("threshold")).alias("t2"))
+    blocks, n = search.packed_blocks(given, ("emb", "t2", "label_id", "class"))
+    each = F.transform("queries", lambda q: F.struct(l2sq(F.col("emb"), q["emb"]).alias("d2"), q["label_id"].alias("label_id"), q["class"].alias("class"), q["t2"].alias("t2")))
+    best = F.array_min(F.filter(each, lambda x: x["d2"] <= x["t2"]))
+    near = pixels.join(small(blocks, 64), how="left").select("idx", "px", "py", once(best).alias("best"))  # one pass where there is one block
+    if n > 1:
+        near = near.groupBy("idx", "px", "py").agg(F.min("best").alias("best"))
+    return near.join(inside, "idx", "left").select("idx", "px", "py", F.coalesce("by_polygon", "best.class", F.lit(-1)).alias("class"))
 
 
 def class_threshold(labels: DataFrame) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vec import l2sq, once
@@ -11,7 +15,7 @@ from ..session import small
 
 #: The clicked pixel, then its neighbours in the order in which they are tried.
 NEIGHBOURS = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1))
-#: Query vectors packed in one row for minimum distances.
+#: Query vectors packed in one row for distances in the JVM.
 BLOCK = 256
 
 
@@ -30,20 +34,81 @@ def range_search(pixels: DataFrame, query: Column, threshold: float, grid: Grid)
     return near.select("idx", "px", "py", grid.lat(F.col("px"), F.col("py")).alias("lat"), grid.lon(F.col("px"), F.col("py")).alias("lon"), F.sqrt("d2").alias("distance"))
 
 
-def packed(queries: DataFrame, kept: tuple[str, ...] = ("emb", "t2")) -> DataFrame:
-    """Query vectors (emb, and t2 if there) in rows of BLOCK at most."""
+def packed_blocks(queries: DataFrame, kept: tuple[str, ...] = ("emb", "t2")) -> tuple[DataFrame, int]:
+    """Query vectors (emb, and t2 if there) in rows of about BLOCK, and how many rows these are at most."""
     fields = [x for x in kept if x in queries.columns]
     n = max(1, -(-queries.count() // BLOCK))
     dealt = queries.select(F.pmod(F.xxhash64(*queries.columns), F.lit(n)).alias("block"), *fields)
-    return dealt.groupBy("block").agg(F.collect_list(F.struct(*fields)).alias("queries"))
+    return dealt.groupBy("block").agg(F.collect_list(F.struct(*fields)).alias("queries")), n
+
+
+def packed(queries: DataFrame, kept: tuple[str, ...] = ("emb", "t2")) -> DataFrame:
+    return packed_blocks(queries, kept)[0]
+
+
+def nearest_rows(rows: DataFrame, queries: DataFrame, k: int, value: str | None = None, block: int = 1024) -> DataFrame:
+    """The k nearest rows (idx, emb) of each query (idx, emb) by distance, then idx: source, idx, d2, and a value of the row.
+
+    Blocks of rows meet blocks of queries, as two matrices in an Arrow batch; a task keeps
+    k rows for each query it has seen, and only these are shuffled and ranked.
+    """
+    named = F.col(value).cast("double") if value else F.lit(0.0)
+    n_queries, n_rows = queries.count(), rows.count()
+    deal = lambda df, n, *more: df.select(F.pmod(F.xxhash64("idx"), F.lit(max(1, -(-n // block)))).alias("block"), "idx", "emb", *more)
+    left = deal(rows, n_rows, named.alias("v")).groupBy("block").agg(F.collect_list(F.struct("idx", "v")).alias("r"), F.flatten(F.collect_list("emb")).alias("rv"))
+    right = deal(queries, n_queries).groupBy("block").agg(F.collect_list("idx").alias("q"), F.flatten(F.collect_list("emb")).alias("qv"))
+    left = left.select("r.idx", "r.v", "rv")
+    right = small(right.select(F.col("block").alias("b"), "q", "qv"), 64)
+    kept = left.crossJoin(right).mapInArrow(_keep_nearest(k), "source long, idx long, v double, d2 double")
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("d2", "idx"))
+    out = kept.withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.select("source", "rank", "idx", "d2", *([F.col("v").alias(value)] if value else []))
+
+
+def _keep_nearest(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, ...]] = {}
+        for batch in batches:
+            at = {x: batch.column(x) for x in batch.schema.names}
+            for i in range(batch.num_rows):
+                ids, v, q = (at[x][i].values.to_numpy(zero_copy_only=False) for x in ("idx", "v", "q"))
+                if not len(ids) or not len(q):
+                    continue
+                a = at["rv"][i].values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                b = at["qv"][i].values.to_numpy(zero_copy_only=False).reshape(len(q), -1)
+                before = held.get(at["b"][i].as_py())
+                found = tuple(np.concatenate(x, axis=1) for x in zip(before[1:], _nearest(a, ids, v, b, k), strict=True)) if before else _nearest(a, ids, v, b, k)
+                order = np.lexsort((found[1], found[0]), axis=1)[:, :k]
+                held[at["b"][i].as_py()] = (q, *(np.take_along_axis(x, order, 1) for x in found))
+        for q, d2, ids, v in held.values():
+            cols = [np.repeat(q, d2.shape[1]), ids.ravel(), v.ravel(), d2.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["source", "idx", "v", "d2"])
+
+    return run
+
+
+def _nearest(a: np.ndarray, ids: np.ndarray, v: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Distances, ids and values of the nearest rows of ``a`` to each row of ``b``, k or, where ties need it, all."""
+    rough = (b * b).sum(1)[:, None] + (a * a).sum(1)[None] - 2 * (b @ a.T)
+    m = min(len(a), k + 8)
+    take = np.argpartition(rough, m - 1, axis=1)[:, :m]
+    if m < len(a):  # products round: whoever is as near as the last one chosen has to be chosen too
+        last = np.partition(np.take_along_axis(rough, take, 1), k - 1, axis=1)[:, k - 1]
+        slack = 1e-9 * (1 + np.abs(rough).max(1))
+        if ((rough <= (last + slack)[:, None]).sum(1) > m).any():
+            take = np.tile(np.arange(len(a)), (len(b), 1))
+    d2 = np.empty(take.shape)
+    for j in range(take.shape[1]):
+        d2[:, j] = ((a[take[:, j]] - b) ** 2).sum(1)
+    return d2, ids[take], v[take]
 
 
 def min_sq_distances(pixels: DataFrame, queries: DataFrame) -> DataFrame:
     """Least squared distance of each pixel to the query vectors; nothing without queries."""
-    blocks = packed(queries)
+    blocks, n = packed_blocks(queries)
     d2 = F.array_min(F.transform("queries", lambda q: l2sq(F.col("emb"), q["emb"])))
     each = pixels.crossJoin(small(blocks, 64)).select("idx", "px", "py", once(d2).alias("d2"))
-    return each.groupBy("idx", "px", "py").agg(F.min("d2").alias("d2"))
+    return each if n == 1 else each.groupBy("idx", "px", "py").agg(F.min("d2").alias("d2"))
 
 
 def matches(distances: DataFrame, threshold: float) -> DataFrame:
@@ -54,8 +119,9 @@ def matches(distances: DataFrame, threshold: float) -> DataFrame:
 def multi_search(pixels: DataFrame, queries: DataFrame) -> DataFrame:
     """Pixels near any query (emb, t2: squared threshold of its own), once each, at distance 0."""
     near = F.exists("queries", lambda q: l2sq(F.col("emb"), q["emb"]) <= q["t2"])
-    hits = pixels.crossJoin(small(packed(queries), 64)).where(near)
-    return hits.select("idx", "px", "py").distinct().withColumn("distance", F.lit(0.0))
+    blocks, n = packed_blocks(queries)
+    hits = pixels.crossJoin(small(blocks, 64)).where(near).select("idx", "px", "py")
+    return (hits if n == 1 else hits.distinct()).withColumn("distance", F.lit(0.0))
 
 
 def match_stats(found: DataFrame, total: int) -> DataFrame:
