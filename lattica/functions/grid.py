@@ -70,3 +70,8 @@ def palette_index(code: Column, size: int = 20) -> Column:
     wrap = lambda x: F.pmod(x + F.lit(2**31), F.lit(2**32)) - F.lit(2**31)
     hashed = F.aggregate(letters, F.lit(0).cast("long"), lambda h, x: wrap(h * 31 + F.ascii(x)))
     return F.pmod(F.abs(hashed), F.lit(size)).cast("int")
+
+
+def place_key(lat: Column, lon: Column) -> Column:
+    """A place to six decimals, by which points of two sources meet."""
+    return F.format_string("%.6f,%.6f", lat, lon)

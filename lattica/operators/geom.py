@@ -61,3 +61,20 @@ def vertex_mean(polygons: DataFrame) -> DataFrame:
 def overlaps(a: str, b: str) -> Column:
     """Whether two boxes (west, south, east, north of structs) share some area."""
     return F.expr(f"{a}.west < {b}.east and {a}.east > {b}.west and {a}.south < {b}.north and {a}.north > {b}.south")
+
+
+def geojson_box(documents: DataFrame) -> DataFrame:
+    """West, south, east and north of all places in the features of GeoJSON texts ``value``; pairs beyond the globe are passed over."""
+    kind = "struct<features:array<struct<geometry:struct<coordinates:string>>>>"
+    features = documents.select(F.explode(F.from_json("value", kind)["features"]).alias("f")).where("f.geometry.coordinates is not null")
+    found = F.regexp_extract_all(F.col("f.geometry.coordinates"), F.lit(r"(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"))
+    numbers = features.select(F.transform(found, lambda x: x.cast("double")).alias("x")).where("size(x) > 1")
+    pairs = F.transform(F.sequence(F.lit(1), F.floor(F.size("x") / 2).cast("int")), lambda i: F.struct(F.element_at("x", 2 * i - 1).alias("lon"), F.element_at("x", 2 * i).alias("lat")))
+    at = numbers.select(F.inline(pairs)).where("abs(lat) <= 90 and abs(lon) <= 180")
+    box = at.agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
+    return box.where("west is not null")
+
+
+def box_order(box: DataFrame) -> DataFrame:
+    """A box as the list that splits take: south, west, north, east."""
+    return box.select(F.array("south", "west", "north", "east").alias("box"))

@@ -58,7 +58,7 @@ def nearest_rows(rows: DataFrame, queries: DataFrame, k: int, value: str | None
     left = deal(rows, n_rows, named.alias("v")).groupBy("block").agg(F.collect_list(F.struct("idx", "v")).alias("r"), F.flatten(F.collect_list("emb")).alias("rv"))
     right = deal(queries, n_queries).groupBy("block").agg(F.collect_list("idx").alias("q"), F.flatten(F.collect_list("emb")).alias("qv"))
     left = left.select("r.idx", "r.v", "rv")
-    right = small(right.select(F.col("block").alias("b"), "q", "qv"), 64)
+    right = small(right.select(F.col("block").alias("b"), "q", "qv"), 128)
     kept = left.crossJoin(right).mapInArrow(_keep_nearest(k), "source long, idx long, v double, d2 double")
     rank = F.row_number().over(Window.partitionBy("source").orderBy("d2", "idx"))
     out = kept.withColumn("rank", rank).where(F.col("rank") <= k)

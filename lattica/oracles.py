@@ -166,6 +166,24 @@ UNION ALL SELECT 'm' || label, CASE WHEN idx % 2 = 0 THEN 'k' END, 'point', emb[
         "progress_latest": "SELECT user_id, event_id, CAST(least(100, floor(value / 20.0::DOUBLE * 100)) AS INTEGER) AS percent FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
         "status_edges": "SELECT event_id, user_id, s AS \"on\" FROM (SELECT event_id, user_id, event_type = 'purchase' AS s, coalesce(lag(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts), false) AS b FROM events) WHERE s <> b",
         "rate_attempts": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS attempts FROM events",
+        "rate_limit": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS moment, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT event_id, user_id, n, [moment] AS held, true AS allowed, 0::BIGINT AS retry_after FROM e WHERE n = 1
+UNION ALL SELECT event_id, user_id, n, CASE WHEN len(h) < 5 THEN list_append(h, moment) ELSE h END, len(h) < 5, CASE WHEN len(h) < 5 THEN 0 ELSE greatest(1, CAST(trunc(86400 - (moment - h[1])) AS BIGINT)) END
+FROM (SELECT e.*, list_filter(r.held, lambda t: e.moment - t < 86400) AS h FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT event_id, user_id, allowed, retry_after FROM r""",
+        "name_rules": """WITH n AS (SELECT *, event_type || CASE WHEN event_id % 7 = 0 THEN ' x' ELSE '' END AS base, CASE WHEN event_id % 3 = 0 THEN '' ELSE '_v' || (event_id % 20) END AS tail FROM events),
+h AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(base || tail, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: ((a * 31 + b + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS hashed FROM n)
+SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN 'u' || user_id || '_x_at_' || event_type || '-org_net' END AS folder, event_id % 7 <> 0 AS valid, base, CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 20 END AS INTEGER) AS variant,
+  CASE event_id % 4 WHEN 0 THEN round((event_id % 256) / 255.0::DOUBLE, 6) WHEN 1 THEN round(170 / 255.0::DOUBLE, 6) WHEN 2 THEN round((event_id % 256) / 255.0::DOUBLE, 6) END AS red, CAST(abs(hashed) % 20 AS INTEGER) AS palette FROM h""",
+        "pixel_table": _with(CHANGED, "SELECT idx, round(emb[1], 6) AS first FROM year2 WHERE idx % 3 = 1 AND px >= 3 AND px < 20 AND py >= 2 AND py < 15"),
+        "codebook_table": _with(STAGES, "SELECT t.idx, round(sum(a.value), 5) AS total FROM tiled t JOIN first a ON a.tile = t.tile AND a.code = t.i1 GROUP BY t.idx"),
+        "label_file": """SELECT CASE WHEN event_id % 4 = 0 THEN 'a, "' || event_type || '"' || chr(10) || 'b' ELSE event_type END AS name, CAST(event_id % 3 AS VARCHAR) AS code, count(*) AS n, round(sum(value), 4) AS lat, round(sum(user_id::DOUBLE), 4) AS lon FROM events WHERE event_id % 6 <> 0 GROUP BY 1, 2""",
+        "event_file": "SELECT event_type AS event, CASE WHEN event_id % 3 <> 0 THEN 'm' || (user_id % 5) END AS model, count(*) AS n, round(sum(value), 4) AS score FROM events WHERE event_type <> 'heartbeat' GROUP BY 1, 2",
+        "geojson_extent": _with("spots(lon, lat) AS (SELECT CASE WHEN px < 3 THEN px - 3 - 0.25::DOUBLE ELSE px - 3 + 0.25 END, -(py + 0.5::DOUBLE) FROM px UNION ALL SELECT px, 95 FROM px UNION ALL SELECT -(px % 7), py % 80 FROM px)",
+            "SELECT min(lat) AS south, min(lon) AS west, max(lat) AS north, max(lon) AS east FROM spots WHERE abs(lat) <= 90 AND abs(lon) <= 180"),
+        "place_keys": _with(AT, "SELECT idx, printf('%.6f,%.6f', lat, lon) AS key, label AS colour FROM placed WHERE idx % 6 = 0"),
+        "class_map": _with(NEIGHBOURS, "c AS (SELECT label, row_number() OVER (ORDER BY label) AS class_id FROM (SELECT DISTINCT label FROM train))",
+            "SELECT px, py, CAST(c.class_id AS INTEGER) AS class_id FROM predicted p JOIN px USING (idx) JOIN c ON c.label = p.prediction"),
         "coverage": _with("t AS (SELECT CAST(2018 + idx % 7 AS INTEGER) AS year, px * 0.1::DOUBLE AS w, py * 0.1::DOUBLE AS s FROM px)",
             "SELECT CAST(y AS INTEGER) AS year, count(t.year) AS n_tiles FROM range(2018, 2026) r(y) LEFT JOIN t ON t.year = y AND w < 1.45 AND w + 0.1::DOUBLE > 0.35 AND s < 1.35 AND s + 0.1::DOUBLE > 0.25 GROUP BY y"),
         "tile_cleanup": _with("t AS (SELECT idx AS tile, px * 0.1::DOUBLE AS w, py * 0.1::DOUBLE AS s FROM px)",

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate
 from ..operators.geom import rasterise
+from ..sinks.tables import class_raster
 
 
 def labelled_pixels(pixels: DataFrame, polygons: DataFrame) -> DataFrame:
@@ -39,3 +40,14 @@ def curve_points(scores: DataFrame, train_pixels: str, total: int) -> DataFrame:
         "low": F.greatest(F.lit(0.0), F.col("mean_f1") - F.col("std_f1")),
         "high": F.least(F.lit(1.0), F.col("mean_f1") + F.col("std_f1")),
     })
+
+
+def class_map(labelled: DataFrame, pixels: DataFrame, name: str = "nn", **params) -> DataFrame:
+    """A raster of classes: a model of all labelled rows (idx, emb, label) over every pixel.
+
+    Classes are numbered from 1 in the order of their labels.
+    """
+    found = evaluate.fit_predict(name, labelled, pixels.drop("label"), **params)
+    seen = labelled.select(F.col("label").alias("class")).where("class is not null").distinct()
+    classes = seen.withColumn("class_id", F.row_number().over(Window.partitionBy().orderBy("class")))  # as few as classes
+    return class_raster(found, classes)

@@ -12,11 +12,14 @@ from .functions import text as tx
 from .functions.vec import bounds, by_dimension, dequantise, literal, mean_vector
 from .model import GRID, pixels, second_year
 from .operators import catalog, change, cluster, evaluate, geom, labels, quant, raster, search
+from .plans import evaluation
 from .plans.evaluation import labelled_pixels
+from .session import scratch, small
 from .sinks import tables as sink_tables
 from .sinks import texts
-from .sources.labels import labels_from_geojson, labels_from_table
+from .sources.labels import labels_from_geojson, labels_from_table, read_labels
 from .sources.schemes import filter_scheme, scheme_from_lines
+from .sources.tables import read_codebooks, read_pixels
 from .streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -390,6 +393,82 @@ def viewport_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.select("probe", _r("west"), _r("south"), _r("east"), _r("north"), F.round(mb, 3).alias("mb"))
 
 
+# Tables written and read again
+
+
+@query
+def pixel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels by viewport and year; one viewport's year and box read back."""
+    p = pixels(spark, sf_dir)
+    years = [x.select(F.concat(F.lit("v"), F.col("idx") % 3).alias("viewport_id"), F.lit(y).alias("year"), "py", "px", "idx", "emb") for y, x in ((2023, p), (2024, second_year(p)))]
+    path = scratch(spark, "pixels")
+    sink_tables.write_pixels(years[0].unionByName(years[1]), path)
+    return read_pixels(spark, path, "v1", [2024], (3, 2, 20, 15)).select("idx", F.round(F.col("emb")[0], 6).alias("first"))
+
+
+@query
+def codebook_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quantised structure as tables, and what its pixels decode to."""
+    p = pixels(spark, sf_dir)
+    tiled = _tiled(p, _height(p))
+    book = quant.quantise_codebook(mean_vector(tiled.select("tile", F.col("i1").alias("code"), "emb"), "tile", "code"))
+    owned = lambda df: df.withColumns({"viewport_id": F.lit("v1"), "year": F.lit(2024)})
+    folder = scratch(spark, "codebooks")
+    sink_tables.write_codebooks(owned(book.drop("low", "high")), owned(book.groupBy("tile").agg(F.first("low").alias("low"), F.first("high").alias("high"))), owned(tiled.select("idx", "px", "py", "tile", "i1")), folder)
+    first, codes = read_codebooks(spark, folder, "v1", 2024)
+    return quant.reconstruct(codes, first).select("idx", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+@query
+def label_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point labels of CSV files with quotes and line ends in fields."""
+    path = scratch(spark, "labels") + ".csv"
+    rows = _events(spark, sf_dir).select(
+        F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('a, "'), "event_type", F.lit('"\nb'))).otherwise(F.col("event_type")).alias("Name"),
+        F.when(F.col("event_id") % 6 == 0, "abc").otherwise(F.col("value").cast("string")).alias("lat"),
+        F.col("user_id").alias("lon"),
+        (F.col("event_id") % 3).alias("code"),
+    )
+    rows.write.csv(path, header=True, escape='"')
+    found = read_labels(spark, path)
+    return found.groupBy("name", "code").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("lat"), 4).alias("lat"), F.round(F.sum("lon"), 4).alias("lon"))
+
+
+@query
+def event_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as lines, and read as such."""
+    path = scratch(spark, "events")
+    rows = _events(spark, sf_dir).select(F.col("event_type").alias("event"), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("m"), F.col("user_id") % 5)).alias("model"), F.col("value").alias("score"))
+    texts.write_events(rows, path)
+    found = ev.parse_lines(spark.read.text(path))
+    return found.groupBy("event", "model").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("score"))
+
+
+@query
+def geojson_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box of all features, in the order that splits take."""
+    feature = '{"type":"Feature","geometry":{"type":"%s","coordinates":%s}}'
+    point, line = feature % ("Point", "[%d.25,-%d.5]"), feature % ("LineString", "[[%d,95],[-%d,%d]]")
+    text = F.format_string('{"features":[' + point + "," + line + ',{"type":"Feature","geometry":null}]}', F.col("px") - 3, "py", "px", F.col("px") % 7, F.col("py") % 80)
+    return geom.box_order(geom.geojson_box(pixels(spark, sf_dir).select(text.alias("value")))).select(*(F.col("box")[k].alias(x) for k, x in enumerate(("south", "west", "north", "east"))))
+
+
+@query
+def place_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels that meet points of another source by places of six decimals."""
+    p = pixels(spark, sf_dir)
+    key = lambda shift: g.place_key(GRID.lat(F.col("px"), F.col("py")) + shift, GRID.lon(F.col("px"), F.col("py")))
+    other = p.where("idx % 3 = 0").select(key(F.when(F.col("idx") % 2 == 0, 1e-8).otherwise(2e-6)).alias("key"), F.col("label").alias("colour"))
+    return p.select("idx", key(F.lit(0.0)).alias("key")).join(other, "key").select("idx", "key", "colour")
+
+
+@query
+def class_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all pixels by a model of the labelled ones, as a raster."""
+    p = pixels(spark, sf_dir)
+    return evaluation.class_map(p.where("idx % 5 <> 0"), p.where("idx % 5 = 0")).select("px", "py", F.col("class_id").cast("int").alias("class_id"))
+
+
 # Labels
 
 
@@ -567,21 +646,30 @@ def point_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours of points by class, the last class on top."""
     p = pixels(spark, sf_dir).select("idx", "label")
     colours = labels.colour_index(F.col("label"), p, 7)
-    hits = p.join(F.broadcast(colours), p["label"] == colours["value"]).where("label > 1").select("idx", F.col("label").alias("ord"), F.col("colour"))
+    hits = p.join(small(colours), p["label"] == colours["value"]).where("label > 1").select("idx", F.col("label").alias("ord"), F.col("colour"))
     return labels.coloured(p.select("idx"), hits.unionByName(hits.where("idx % 3 = 0").select("idx", (F.col("ord") + 20).alias("ord"), (F.col("colour") + 100).alias("colour"))))
 
 
-@query
-def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folder names, valid names, variants, colours."""
-    t = spark.createDataFrame(TEXTS, "email string, name string, css string")
+def names(t: DataFrame) -> DataFrame:
+    """Folder, validity, base and variant, red and palette place of rows (email, name, css)."""
     red = F.round(g.css_channel(F.col("css"), 0), 6)
+    kept = [x for x in t.columns if x not in ("email", "name", "css")]
     return t.select(
-        tx.email_folder(F.col("email")).alias("folder"), tx.valid_name(F.col("name")).alias("valid"), tx.variant_base(F.col("name")).alias("base"), tx.variant_index(F.col("name")).alias("variant"),
+        *kept, tx.email_folder(F.col("email")).alias("folder"), tx.valid_name(F.col("name")).alias("valid"), tx.variant_base(F.col("name")).alias("base"), tx.variant_index(F.col("name")).alias("variant"),
         red.alias("red"), g.palette_index(F.col("name")).alias("palette"),
     )
 
 
+@query
+def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folder names, valid names, variants, colours, one row per event."""
+    i = F.col("event_id")
+    email = F.when(i % 11 == 0, "!!").otherwise(F.concat(F.lit(" U"), "user_id", F.lit(".x@"), "event_type", F.lit("-Org.net ")))
+    name = F.concat("event_type", F.when(i % 7 == 0, " x").otherwise(""), F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("_v"), i % 20)))
+    css = F.when(i % 4 == 0, F.concat(F.lit("#"), F.lpad(F.hex(i % 256), 2, "0"), F.lit("8000"))).when(i % 4 == 1, "#abc").when(i % 4 == 2, F.concat(F.lit("rgb("), i % 256, F.lit(", 2, 3)"))).otherwise("red")
+    return names(_events(spark, sf_dir).select("event_id", email.alias("email"), name.alias("name"), css.alias("css")))
+
+
 @query
 def client_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T6."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,14 @@ def session(name: str = "lattica", master: str | None = None, **settings: str) -
     return builder.getOrCreate()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a table, in the shared folder of spark.checkpoint.dir; a local one only where the session names none."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lattica-checkpoint-"))
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     """``df`` marked for broadcast if it has ``most`` rows or fewer, else as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -56,3 +56,13 @@ def placemarks(labels: DataFrame) -> DataFrame:
     style = F.concat(F.lit("<Style><LineStyle><color>"), colour, F.lit("</color></LineStyle></Style>"))
     name = F.concat(F.lit("<name>"), xml_text(F.col("name")), F.lit("</name>"))
     return labels.select("label_id", F.concat(F.lit("<Placemark>"), name, style, F.when(F.size("vertices") >= 3, polygon).otherwise(point), F.lit("</Placemark>")).alias("placemark"))
+
+
+def event_lines(events: DataFrame) -> DataFrame:
+    """One JSON object a line for each row, without its null fields: column value."""
+    return events.select(F.to_json(F.struct(*events.columns)).alias("value"))
+
+
+def write_events(events: DataFrame, path: str) -> None:
+    """Event lines added to a folder of text files."""
+    event_lines(events).write.mode("append").text(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vec import dequantise
+
 #: The codebook settings of a source without any, and of a viewport's file that leaves some out.
 SOURCE_DEFAULTS = {"tile": 512, "k": 20, "k2": 256, "metric": "L2"}
 VIEWPORT_DEFAULTS = {"tile": 64, "k": 256, "k2": None, "metric": "L2"}
@@ -34,6 +36,13 @@ def read_pixels(spark: SparkSession, path: str, viewport: str, years: list[int]
     return found
 
 
+def read_codebooks(spark: SparkSession, folder: str, viewport: str, year: int) -> tuple[DataFrame, DataFrame]:
+    """Decoded codebook (tile, code, vec) and pixel codes of a viewport's year, from the tables of a quantised structure."""
+    mine = lambda name: spark.read.parquet(f"{folder}/{name}").where((F.col("viewport_id") == viewport) & (F.col("year") == year)).drop("viewport_id", "year")
+    book = mine("codebook").join(mine("codebook_scale"), "tile")
+    return book.select("tile", "code", dequantise("q", "low", "high").alias("vec")), mine("pixel_code")
+
+
 def missing_years(requested: DataFrame, done: DataFrame) -> DataFrame:
     """Requested (viewport_id, year) that no table holds yet."""
     return requested.join(done.select("viewport_id", "year").distinct(), ["viewport_id", "year"], "left_anti")

@@ -53,7 +53,8 @@ def test_random_start_queries_have_all_rows(spark):
 
 
 def test_name_rules(spark):
-    rows = {r["base"]: r.asDict() for r in queries.queries()["name_rules"](spark, SF).collect()}
+    given = spark.createDataFrame(queries.TEXTS, "email string, name string, css string")
+    rows = {r["base"]: r.asDict() for r in queries.names(given).collect()}
     assert rows["nn"]["folder"] == "ab_c_at_d-e_org" and rows["nn"]["variant"] == 2 and rows["nn"]["red"] == 1.0
     assert rows["mlp"]["folder"] is None and rows["mlp"]["variant"] == 10
     assert not rows["Name With Space"]["valid"] and rows["Name With Space"]["red"] is None
