@@ -135,7 +135,7 @@ iwin AS (SELECT DISTINCT item, m, unnest(list_transform(range(1, len(w) - m + 2)
 wins AS (SELECT id, m, list_transform(range(1, len(w) - m + 2), lambda p: array_to_string(w[p:p + m - 1], ' ')) AS l FROM dw, (SELECT DISTINCT m FROM iw) WHERE len(w) >= m),
 dwin AS (SELECT id, m, unnest(l) AS win, generate_subscripts(l, 1) AS pos FROM wins),
 found AS (SELECT id, pos, m, item FROM dwin JOIN iwin USING (m, win)),
-hits AS (SELECT id, count(DISTINCT at) AS n_hit FROM (SELECT DISTINCT id, unnest(range(pos, pos + m)) AS at FROM (SELECT DISTINCT id, pos, m FROM found)) GROUP BY id),
+hits AS (SELECT id, count(DISTINCT place) AS n_hit FROM (SELECT DISTINCT id, unnest(range(pos, pos + m)) AS place FROM (SELECT DISTINCT id, pos, m FROM found)) GROUP BY id),
 named AS (SELECT id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM found GROUP BY id),
 counts AS (SELECT id, len(w) AS n_words FROM dw)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
