@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
@@ -91,11 +93,25 @@ def knn_graph(pixels: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("source", "idx", "d2", "rank")
 
 
-def neighbourhood(pixels: DataFrame, reach: int = 1) -> DataFrame:
-    """Vectors of the (2 reach + 1)^2 pixels around each, row by row, end to end; gaps beyond the edge repeat the centre."""
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    wide = pixels.select("idx", "px", "py", F.explode(steps).alias("dy")).withColumn("dx", F.explode(steps))
-    wide = wide.select("idx", "dy", "dx", (F.col("px") + F.col("dx")).alias("px"), (F.col("py") + F.col("dy")).alias("py"))
-    found = wide.join(pixels.select("px", "py", F.col("emb").alias("near")), ["px", "py"], "left").join(pixels.select("idx", "emb"), "idx")
-    held = F.array_sort(F.collect_list(F.struct("dy", "dx", F.coalesce("near", "emb").alias("v"))))
-    return found.groupBy("idx").agg(F.flatten(F.transform(held, lambda x: x["v"])).alias("features"))
+def neighbourhood(pixels: DataFrame, reach: int = 1, tile: int = 32) -> DataFrame:
+    """Vectors of the (2 reach + 1)^2 pixels around each, row by row, end to end; gaps beyond the edge repeat the centre.
+
+    Each vector goes to its tile, and to those next to it if it lies in their margin: a group
+    has (tile + 2 reach)^2 pixels at most.
+    """
+    tiles = lambda p: F.sequence(F.floor((F.col(p) - reach) / tile), F.floor((F.col(p) + reach) / tile))
+    held = pixels.select("idx", "px", "py", "emb", F.explode(tiles("px")).alias("tx")).withColumn("ty", F.explode(tiles("py")))
+    steps = range(-reach, reach + 1)
+
+    def around(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows["px"].to_numpy() - key[0] * tile
+        y = rows["py"].to_numpy() - key[1] * tile
+        vectors = np.stack(rows["emb"].to_numpy())
+        at = np.full((tile + 2 * reach, tile + 2 * reach), -1)
+        at[y + reach, x + reach] = np.arange(len(rows))
+        own = np.flatnonzero((x >= 0) & (x < tile) & (y >= 0) & (y < tile))
+        near = [at[y[own] + reach + dy, x[own] + reach + dx] for dy in steps for dx in steps]
+        found = [vectors[np.where(n < 0, own, n)] for n in near]
+        return pd.DataFrame({"idx": rows["idx"].to_numpy()[own], "features": pd.Series(list(np.concatenate(found, axis=1)), dtype=object)})
+
+    return held.groupBy("tx", "ty").applyInPandas(around, f"idx {pixels.schema['idx'].dataType.simpleString()}, features array<double>")

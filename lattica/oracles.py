@@ -75,6 +75,12 @@ tried AS (SELECT probe, ord, CAST(trunc((lon - (-1.0)) / 0.01) AS INTEGER) + dx
         "vq_decode": _with(STAGES, f"SELECT tile, code, CAST(dim AS INTEGER) AS dim, {round_dims} AS value FROM first"),
         "rvq_reconstruct": _with(STAGES, "SELECT t.idx, round(sum(a.value + b.value), 5) AS total, round(max(a.value + b.value) FILTER (WHERE a.dim = 0), 6) AS first FROM tiled t JOIN first a ON a.tile = t.tile AND a.code = t.i1 JOIN second b ON b.tile = t.tile AND b.code = t.i2 AND b.dim = a.dim WHERE t.px BETWEEN 3 AND 12 AND t.py BETWEEN 2 AND 17 GROUP BY t.idx"),
         "linear_fastpath": _with(STAGES, "SELECT t.idx, round(sum((a.value + b.value) / (a.dim + 1)), 6) AS score FROM tiled t JOIN first a ON a.tile = t.tile AND a.code = t.i1 JOIN second b ON b.tile = t.tile AND b.code = t.i2 AND b.dim = a.dim GROUP BY t.idx"),
+        "codebook_training": _with(TILED, "d AS (SELECT tile, idx, unnest(emb) AS v, generate_subscripts(emb, 1) AS dim FROM tiled)", "s AS (SELECT tile, sum(v) AS spread FROM (SELECT tile, dim, var_pop(v) * count(*) AS v FROM d GROUP BY ALL) GROUP BY tile)",
+            "SELECT tile, count(*) AS n, CAST(least(5, count(DISTINCT emb)) AS INTEGER) AS codes, round(any_value(spread), 4) AS spread, true AS lessens FROM tiled JOIN s USING (tile) GROUP BY tile"),
+        "vector_choice": _with(STAGES, "ends AS (SELECT dim, min(v) AS low, max(v) AS high FROM (SELECT unnest(emb) AS v, generate_subscripts(emb, 1) AS dim FROM px) GROUP BY dim)",
+            "book AS (SELECT dim, min(value) AS low, max(value) AS high FROM first GROUP BY dim)",
+            "sums AS (SELECT 2022 AS year, count(*) AS dims, sum(low) AS low, sum(high) AS high FROM ends UNION ALL SELECT 2023, count(*), sum(low), sum(high) FROM ends UNION ALL SELECT 2024, count(*), sum(low), sum(high) FROM book)",
+            "SELECT CAST(year AS INTEGER) AS year, idx, CAST(dims AS INTEGER) AS dims, round(low, 5) AS low, round(high, 5) AS high FROM sums CROSS JOIN px"),
         "vq_assemble": "SELECT CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py, arg_max(ord * 100 + i, ord) AS code FROM (SELECT ord, i, least((ord % 2) * 4, 3) + i % 4 AS px, least((ord // 2) * 4, 5) + i // 4 AS py FROM range(6) o(ord), range(16) r(i)) GROUP BY ALL",
         "change_distance": _with(CHANGED, "SELECT idx, px, py, round(distance, 6) AS distance FROM changed"),
         "change_stats": _with(CHANGED, "SELECT count(*) AS matched, round(min(distance), 6) AS min_distance, round(max(distance), 6) AS max_distance, round(avg(distance), 6) AS mean_distance, round(median(distance), 6) AS median_distance FROM changed"),

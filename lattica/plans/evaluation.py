@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluate
+from ..operators import cluster, evaluate
 from ..operators.geom import rasterise
 from ..sinks.tables import class_raster
 
@@ -51,3 +51,13 @@ def class_map(labelled: DataFrame, pixels: DataFrame, name: str = "nn", **params
     seen = labelled.select(F.col("label").alias("class")).where("class is not null").distinct()
     classes = seen.withColumn("class_id", F.row_number().over(Window.partitionBy().orderBy("class")))  # as few as classes
     return class_raster(found, classes)
+
+
+def synthetic_truth(pixels: DataFrame, classes: int = 16, kind: str = "random", seed: int = 42) -> DataFrame:
+    """Pixels with made-up labels, to check scores by: "random" ones tell a model nothing, "clusters" are those of k-means."""
+    bare = pixels.drop("label")
+    if kind == "random":
+        return bare.withColumn("label", F.pmod(F.xxhash64("idx", F.lit(seed)), F.lit(classes)).cast("int"))
+    if kind == "clusters":
+        return cluster.kmeans(bare, classes, seed)[0].withColumnRenamed("cluster", "label")
+    raise ValueError(f"no truth of the kind {kind}")

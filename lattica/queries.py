@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from .functions import grid as g
 from .functions import text as tx
-from .functions.vec import bounds, by_dimension, dequantise, literal, mean_vector
+from .functions.vec import bounds, by_dimension, dequantise, l2sq, literal, mean_vector
 from .model import GRID, pixels, second_year
-from .operators import catalog, change, cluster, evaluate, geom, labels, quant, raster, search
-from .plans import evaluation
+from .operators import catalog, change, cluster, codebook, evaluate, geom, labels, quant, raster, search
+from .plans import evaluation, ingest
 from .plans.evaluation import labelled_pixels
 from .session import scratch, small
 from .sinks import tables as sink_tables
 from .sinks import texts
 from .sources.labels import labels_from_geojson, labels_from_table, read_labels
 from .sources.schemes import filter_scheme, scheme_from_lines
-from .sources.tables import read_codebooks, read_pixels
+from .sources.tables import codebook_config, read_codebooks, read_pixels, read_vectors
 from .streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -419,6 +419,47 @@ def codebook_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quant.reconstruct(codes, first).select("idx", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
+@query
+def codebook_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7: codebooks of two stages by tile; squared distances to the tile's mean, and whether no stage adds to them."""
+    p = pixels(spark, sf_dir)
+    tiled = _tiled(p, _height(p)).select("idx", "tile", "emb")
+    codes, first, second = codebook.train_stages(tiled, codebook_config({"k": 5, "k2": 4}))
+    mean = mean_vector(tiled, "tile").select("tile", F.col("emb").alias("mean"))
+    one, two = (b.select("tile", F.col("code").alias(i), F.col("vec").alias(v)) for b, i, v in ((first, "i1", "v1"), (second, "i2", "v2")))
+    seen = tiled.join(codes, ["idx", "tile"]).join(small(one), ["tile", "i1"]).join(small(two), ["tile", "i2"]).join(small(mean), "tile")
+    both = F.zip_with("v1", "v2", lambda a, b: a + b)
+    sums = seen.groupBy("tile").agg(
+        F.count(F.lit(1)).alias("n"),
+        *(F.sum(l2sq("emb", c)).alias(a) for c, a in (("mean", "s0"), ("v1", "s1"), (both, "s2"))),
+    )
+    sizes = first.groupBy("tile").agg(F.count(F.lit(1)).cast("int").alias("codes"))
+    falls = (F.col("s1") <= F.col("s0") + 1e-9) & (F.col("s2") <= F.col("s1") + 1e-9)
+    return sums.join(sizes, "tile").select("tile", "n", "codes", F.round("s0", 4).alias("spread"), falls.alias("lessens"))
+
+
+@query
+def vector_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years kept as codebooks, as bytes and as vectors, each read by the first of its tables."""
+    p = pixels(spark, sf_dir)
+    folder = scratch(spark, "vectors")
+    owned = lambda df, year: df.withColumns({"viewport_id": F.lit("v1"), "year": F.lit(year)})
+    sink_tables.write_pixels(owned(p, 2022).unionByName(owned(p, 2023)).drop("label"), f"{folder}/pixel")
+    coded, scales = ingest.quantised_years(owned(p, 2023).drop("label"))
+    sink_tables.write_pixels(coded, f"{folder}/pixel_byte")
+    scales.write.partitionBy("viewport_id", "year").parquet(f"{folder}/pixel_byte_scale")
+    tiled = _tiled(p, _height(p))
+    book = quant.quantise_codebook(mean_vector(tiled.select("tile", F.col("i1").alias("code"), "emb"), "tile", "code"))
+    ends = book.groupBy("tile").agg(F.first("low").alias("low"), F.first("high").alias("high"))
+    sink_tables.write_codebooks(owned(book.drop("low", "high"), 2024), owned(ends, 2024), owned(tiled.select("idx", "px", "py", "tile", "i1"), 2024), folder)
+    out = None
+    for year in (2022, 2023, 2024):
+        low, high = (F.aggregate(x, F.lit(0.0), lambda s, v: s + v) for x in ("low", "high"))
+        row = read_vectors(spark, folder, "v1", year).select(F.lit(year).alias("year"), "idx", F.size("q").alias("dims"), F.round(low, 5).alias("low"), F.round(high, 5).alias("high"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query
 def label_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point labels of CSV files with quotes and line ends in fields."""
@@ -820,6 +861,17 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(r.select(F.lit("rf_reg").alias("model"), F.col("rmse").alias("score")))
 
 
+@query
+def truth_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of exact neighbours on made-up truth; near chance on random labels, high on clusters."""
+    out = None
+    for kind in ("random", "clusters"):
+        truth = evaluation.synthetic_truth(pixels(spark, sf_dir), 16, kind).select("idx", "emb", "label")
+        row = evaluate.f1_summary(evaluate.fit_predict("nn", *_folds(truth))).select(F.lit(kind).alias("kind"), _r("macro_f1", 4), _r("accuracy", 4))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query
 def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5: scores of exact neighbours on growing shares of the training rows."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vec import dequantise
+from ..operators.quant import quantise_pixels, reconstruct
 
 #: The codebook settings of a source without any, and of a viewport's file that leaves some out.
 SOURCE_DEFAULTS = {"tile": 512, "k": 20, "k2": 256, "metric": "L2"}
@@ -43,6 +44,34 @@ def read_codebooks(spark: SparkSession, folder: str, viewport: str, year: int) -
     return book.select("tile", "code", dequantise("q", "low", "high").alias("vec")), mine("pixel_code")
 
 
+def read_vectors(spark: SparkSession, folder: str, viewport: str, year: int) -> DataFrame:
+    """Codes 0..255 of a viewport's year (idx, px, py, q, low, high), from the first of these tables that holds it.
+
+    codebook, codebook_scale and pixel_code (decoded, then quantised again to the nearest code);
+    pixel_byte and pixel_byte_scale (codes as stored); pixel (vectors, codes cut). A year that is
+    nowhere, or all of whose values are zero, raises ValueError.
+    """
+    mine = lambda name: read_pixels(spark, f"{folder}/{name}", viewport, [year]).drop("viewport_id", "year")
+
+    def holds(name: str) -> bool:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path) and not mine(name).isEmpty()
+
+    if holds("pixel_code"):
+        book, codes = read_codebooks(spark, folder, viewport, year)
+        found = quantise_pixels(reconstruct(codes, book).withColumnRenamed("vec", "emb"), nearest=True)
+    elif holds("pixel_byte"):
+        found = mine("pixel_byte").crossJoin(F.broadcast(mine("pixel_byte_scale")))
+    elif holds("pixel"):
+        found = quantise_pixels(mine("pixel"))
+    else:
+        raise ValueError(f"no vectors of {viewport} in {year}")
+    out = found.select("idx", "px", "py", "q", "low", "high")
+    if out.where(F.exists("low", lambda x: x != 0) | F.exists("high", lambda x: x != 0)).isEmpty():
+        raise ValueError(f"all vectors of {viewport} in {year} are zero")
+    return out
+
+
 def missing_years(requested: DataFrame, done: DataFrame) -> DataFrame:
     """Requested (viewport_id, year) that no table holds yet."""
     return requested.join(done.select("viewport_id", "year").distinct(), ["viewport_id", "year"], "left_anti")
