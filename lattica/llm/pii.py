@@ -458,7 +458,7 @@ def find_pii(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """Personal data in every whole text.
 
     Returns doc_id, n_email, n_ip, n_card, n_phone (spans of the rules), base_sha256,
-    spans (of rules and tagger) as text, one row per input row. Positions are code
+    spans (of rules and tagger) as text, and their number, one row per input row. Positions are code
     points, ends exclusive. A null or empty text has none; repeated rows fare alike.
     Other columns are not looked at; an empty table gives an empty result. Without a
     tagger one is trained on made-up labelled windows.
@@ -481,8 +481,9 @@ def find_pii(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
                         counts[k, i] = sum(x[0] == kind for x in rules)
                     digest.append(hashlib.sha256(_written(rules).encode()).hexdigest())
                     spans.append(_written(rules + extra))
-                cols = [part.column("doc_id"), *map(pa.array, counts), pa.array(digest), pa.array(spans)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                total = pa.array([len(rules) + len(extra) for rules, extra in zip(base, more, strict=True)], pa.int64())
+                cols = [part.column("doc_id"), *map(pa.array, counts), pa.array(digest), pa.array(spans), total]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return c.map_batches(rows, run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return c.map_batches(rows, run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_spans long")

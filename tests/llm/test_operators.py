@@ -144,6 +144,7 @@ def test_pii(docs, rows):
         spans = base_spans(r[1] or "")
         want.append((r[0], *(sum(s[0] == k for s in spans) for k in pii.KINDS), sha(",".join("%s:%d:%d" % s for s in spans))))
     assert got(found, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == sorted(want)
+    assert all(n == len([x for x in spans.split(",") if x]) for spans, n in got(found, "spans", "n_spans"))
 
 
 def base_spans(text):
