@@ -42,15 +42,20 @@ def assign(pixels: DataFrame, centres: DataFrame) -> DataFrame:
     blocks, n = packed_blocks(centres.select("cluster", F.col("centroid").alias("emb")), ("emb", "cluster"))
     near = F.array_min(F.transform("queries", lambda q: F.struct(l2sq(F.col("emb"), q["emb"]).alias("d2"), q["cluster"].alias("cluster"))))
     if n == 1:
-        return pixels.crossJoin(F.broadcast(blocks)).select(*pixels.columns, once(near).alias("best")).select(*pixels.columns, "best.cluster", "best.d2")
-    each = pixels.select("idx", "emb").crossJoin(small(blocks, 64)).select("idx", near.alias("best"))
+        return pixels.crossJoin(blocks).select(*pixels.columns, once(near).alias("best")).select(*pixels.columns, "best.cluster", "best.d2")
+    each = pixels.select("idx", "emb").crossJoin(blocks).select("idx", near.alias("best"))
     best = each.groupBy("idx").agg(F.min("best").alias("best"))
     return pixels.join(best.select("idx", "best.cluster", "best.d2"), "idx")
 
 
-def cluster_sizes(assigned: DataFrame) -> DataFrame:
+def shares(sizes: DataFrame) -> DataFrame:
+    """Sizes (n, one row per cluster) with their share in percent, one decimal."""
     total = F.sum("n").over(Window.partitionBy())
-    return assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumn("pct", F.round(F.col("n") / total * 100, 1))
+    return sizes.withColumn("pct", F.round(F.col("n") / total * 100, 1))
+
+
+def cluster_sizes(assigned: DataFrame) -> DataFrame:
+    return shares(assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
 
 
 def medoids(assigned: DataFrame) -> DataFrame:

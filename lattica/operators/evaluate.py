@@ -15,6 +15,7 @@ from .search import nearest_rows
 
 PERCENTS = (1, 3, 5, 10, 20, 30, 50, 80)
 #: Names that a run may ask for, of which the last three look at neighbourhoods.
+#: Boosted trees are MLlib's: gbt and gbt_reg, which the names of runs stand for too.
 MODELS = ("nn", "rf", "xgboost", "mlp", "nn_reg", "rf_reg", "xgboost_reg", "mlp_reg", "spatial_mlp", "spatial_mlp_5x5", "unet")
 
 
@@ -100,14 +101,14 @@ def model_of(name: str, classes: int, inputs: int, **params):
     """The estimator that a run's model name stands for."""
     if name == "rf":
         return RandomForestClassifier(numTrees=params.get("n_estimators", 100), maxDepth=min(30, params.get("max_depth") or 12), seed=42)
-    if name == "xgboost":
+    if name in ("gbt", "xgboost"):
         one = GBTClassifier(maxIter=params.get("n_estimators", 20), maxDepth=params.get("max_depth", 6), stepSize=params.get("learning_rate", 0.3), seed=42)
         return OneVsRest(classifier=one, parallelism=4)
     if name == "mlp":
         return MultilayerPerceptronClassifier(layers=[inputs, *params.get("hidden", (64, 32)), classes], maxIter=params.get("max_iter", 200), seed=42)
     if name == "rf_reg":
         return RandomForestRegressor(numTrees=params.get("n_estimators", 100), maxDepth=min(30, params.get("max_depth") or 12), seed=42)
-    if name == "xgboost_reg":
+    if name in ("gbt_reg", "xgboost_reg"):
         return GBTRegressor(maxIter=params.get("n_estimators", 20), maxDepth=params.get("max_depth", 6), stepSize=params.get("learning_rate", 0.3), seed=42)
     raise ValueError(f"no model named {name}")
 
@@ -172,7 +173,7 @@ def check_config(config: dict) -> list[str]:
     wrong = [f"missing {k}" for k in ("$schema", "shapefile", "fields") if not config.get(k)]
     wrong += ["a field has no name" for f in config.get("fields") or () if not f.get("name")]
     for name in config.get("classifiers") or {}:
-        if name not in MODELS:
+        if name not in (*MODELS, "gbt", "gbt_reg"):
             wrong.append(f"unknown model {name}")
         elif name in MODELS[-3:]:
             wrong.append(f"{name} needs neighbourhoods")

@@ -32,7 +32,7 @@ def classify(pixels: DataFrame, labels: DataFrame) -> DataFrame:
     blocks, n = search.packed_blocks(given, ("emb", "t2", "label_id", "class"))
     each = F.transform("queries", lambda q: F.struct(l2sq(F.col("emb"), q["emb"]).alias("d2"), q["label_id"].alias("label_id"), q["class"].alias("class"), q["t2"].alias("t2")))
     best = F.array_min(F.filter(each, lambda x: x["d2"] <= x["t2"]))
-    near = pixels.join(small(blocks, 64), how="left").select("idx", "px", "py", once(best).alias("best"))  # one pass where there is one block
+    near = pixels.join(blocks, how="left").select("idx", "px", "py", once(best).alias("best"))  # one pass where there is one block
     if n > 1:
         near = near.groupBy("idx", "px", "py").agg(F.min("best").alias("best"))
     return near.join(inside, "idx", "left").select("idx", "px", "py", F.coalesce("by_polygon", "best.class", F.lit(-1)).alias("class"))
@@ -96,8 +96,12 @@ def recomputed(pixels: DataFrame, labels: DataFrame, grid: Grid) -> DataFrame:
     """Pixels of saved labels: the frozen set, else matches of the stored embedding, else of the one at its place."""
     at = labels.where("pixel_coords is null and embedding is null and lat is not null").select(F.col("label_id").alias("probe"), "lat", "lon")
     read = search.extract(pixels, at, grid).select(F.col("probe").alias("label_id"), F.col("emb").alias("read"))
-    sources = small(labels.where("pixel_coords is null").join(read, "label_id", "left").select("label_id", "threshold", F.coalesce("embedding", "read").alias("source")).where("source is not null"))
-    near = pixels.select("idx", "emb").crossJoin(sources).where(l2sq("emb", "source") <= F.col("threshold") * F.col("threshold")).select("label_id", "idx")
+    source = F.coalesce("embedding", "read")
+    given = labels.where("pixel_coords is null").join(read, "label_id", "left").where(source.isNotNull())
+    blocks, _ = search.packed_blocks(given.select("label_id", source.alias("emb"), (F.col("threshold") * F.col("threshold")).alias("t2")), ("label_id", "emb", "t2"))
+    hits = F.filter("queries", lambda q: l2sq(F.col("emb"), q["emb"]) <= q["t2"])
+    each = pixels.select("idx", "emb").crossJoin(blocks).select("idx", F.explode(F.transform(hits, lambda q: q["label_id"])).alias("label_id"))
+    near = each.select("label_id", "idx")
     frozen = labels.select("label_id", F.inline("pixel_coords")).join(pixels.select("idx", "px", "py"), ["px", "py"]).select("label_id", "idx")
     return near.unionByName(frozen)
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..functions.vec import l2sq, once
 from ..model import Grid
@@ -17,6 +18,8 @@ from ..session import small
 NEIGHBOURS = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1))
 #: Query vectors packed in one row for distances in the JVM.
 BLOCK = 256
+#: Blocks of queries sent to every task at once.
+SENT = 64
 
 
 def extract(pixels: DataFrame, probes: DataFrame, grid: Grid) -> DataFrame:
@@ -35,22 +38,28 @@ def range_search(pixels: DataFrame, query: Column, threshold: float, grid: Grid)
 
 
 def packed_blocks(queries: DataFrame, kept: tuple[str, ...] = ("emb", "t2")) -> tuple[DataFrame, int]:
-    """Query vectors (emb, and t2 if there) in rows of about BLOCK, and how many rows these are at most."""
+    """Query vectors (emb, and t2 if there) in rows of about BLOCK, and how many rows these are at most.
+
+    One job tells whether one block holds all, and fetches it; SENT blocks are sent to every task.
+    """
     fields = [x for x in kept if x in queries.columns]
-    n = max(1, -(-queries.count() // BLOCK))
+    few = queries.select(fields)
+    first = few.limit(BLOCK + 1).collect()
+    if len(first) <= BLOCK:
+        one = StructType([StructField("block", LongType()), StructField("queries", ArrayType(few.schema))])
+        return F.broadcast(queries.sparkSession.createDataFrame([(0, first)] if first else [], one)), 1
+    n = -(-queries.count() // BLOCK)
     dealt = queries.select(F.pmod(F.xxhash64(*queries.columns), F.lit(n)).alias("block"), *fields)
-    return dealt.groupBy("block").agg(F.collect_list(F.struct(*fields)).alias("queries")), n
-
-
-def packed(queries: DataFrame, kept: tuple[str, ...] = ("emb", "t2")) -> DataFrame:
-    return packed_blocks(queries, kept)[0]
+    blocks = dealt.groupBy("block").agg(F.collect_list(F.struct(*fields)).alias("queries"))
+    return F.broadcast(blocks) if n <= SENT else blocks, n
 
 
-def nearest_rows(rows: DataFrame, queries: DataFrame, k: int, value: str | None = None, block: int = 1024) -> DataFrame:
+def nearest_rows(rows: DataFrame, queries: DataFrame, k: int, value: str | None = None, block: int = 1024, sent: int = SENT) -> DataFrame:
     """The k nearest rows (idx, emb) of each query (idx, emb) by distance, then idx: source, idx, d2, and a value of the row.
 
     Blocks of rows meet blocks of queries, as two matrices in an Arrow batch; a task keeps
-    k rows for each query it has seen, and only these are shuffled and ranked.
+    k rows for each query it has seen, and only these are shuffled and ranked. ``sent`` blocks
+    of queries are broadcast at once; more of them are as many passes over the rows' blocks.
     """
     named = F.col(value).cast("double") if value else F.lit(0.0)
     n_queries, n_rows = queries.count(), rows.count()
@@ -58,8 +67,13 @@ def nearest_rows(rows: DataFrame, queries: DataFrame, k: int, value: str | None
     left = deal(rows, n_rows, named.alias("v")).groupBy("block").agg(F.collect_list(F.struct("idx", "v")).alias("r"), F.flatten(F.collect_list("emb")).alias("rv"))
     right = deal(queries, n_queries).groupBy("block").agg(F.collect_list("idx").alias("q"), F.flatten(F.collect_list("emb")).alias("qv"))
     left = left.select("r.idx", "r.v", "rv")
-    right = small(right.select(F.col("block").alias("b"), "q", "qv"), 128)
-    kept = left.crossJoin(right).mapInArrow(_keep_nearest(k), "source long, idx long, v double, d2 double")
+    right = right.select(F.col("block").alias("b"), "q", "qv")
+    n_blocks = max(1, -(-n_queries // block))
+    kept = None
+    for at in range(0, n_blocks, sent):
+        part = right if n_blocks <= sent else right.where(F.col("b").between(at, at + sent - 1))
+        found = left.crossJoin(F.broadcast(part)).mapInArrow(_keep_nearest(k), "source long, idx long, v double, d2 double")
+        kept = found if kept is None else kept.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("source").orderBy("d2", "idx"))
     out = kept.withColumn("rank", rank).where(F.col("rank") <= k)
     return out.select("source", "rank", "idx", "d2", *([F.col("v").alias(value)] if value else []))
@@ -107,12 +121,12 @@ def min_sq_distances(pixels: DataFrame, queries: DataFrame) -> DataFrame:
     """Least squared distance of each pixel to the query vectors; nothing without queries."""
     blocks, n = packed_blocks(queries)
     d2 = F.array_min(F.transform("queries", lambda q: l2sq(F.col("emb"), q["emb"])))
-    each = pixels.crossJoin(small(blocks, 64)).select("idx", "px", "py", once(d2).alias("d2"))
+    each = pixels.crossJoin(blocks).select("idx", "px", "py", once(d2).alias("d2"))
     return each if n == 1 else each.groupBy("idx", "px", "py").agg(F.min("d2").alias("d2"))
 
 
-def matches(distances: DataFrame, threshold: float) -> DataFrame:
-    """min_sq_distances() cut at a threshold; keep those persisted to cut again."""
+def matches(distances: DataFrame, threshold: float | Column) -> DataFrame:
+    """min_sq_distances() cut at a threshold, or at one of each row."""
     return distances.where(F.col("d2") <= threshold * threshold)
 
 
@@ -120,7 +134,7 @@ def multi_search(pixels: DataFrame, queries: DataFrame) -> DataFrame:
     """Pixels near any query (emb, t2: squared threshold of its own), once each, at distance 0."""
     near = F.exists("queries", lambda q: l2sq(F.col("emb"), q["emb"]) <= q["t2"])
     blocks, n = packed_blocks(queries)
-    hits = pixels.crossJoin(small(blocks, 64)).where(near).select("idx", "px", "py")
+    hits = pixels.crossJoin(blocks).where(near).select("idx", "px", "py")
     return (hits if n == 1 else hits.distinct()).withColumn("distance", F.lit(0.0))
 
 

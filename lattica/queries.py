@@ -99,9 +99,9 @@ def sim_min_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sim_rethreshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances computed once and cut at two thresholds."""
     p = pixels(spark, sf_dir)
-    d = search.min_sq_distances(p, _seeds(p).select("emb")).persist()
-    both = [search.matches(d, t).select(F.lit(t).alias("threshold"), "idx") for t in (1.2, 1.25)]
-    return both[0].unionByName(both[1])
+    d = search.min_sq_distances(p, _seeds(p).select("emb"))
+    both = d.select("idx", "d2", F.explode(literal((1.2, 1.25))).alias("threshold"))
+    return search.matches(both, F.col("threshold")).select("threshold", "idx")
 
 
 @query
@@ -728,8 +728,8 @@ def client_address(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes, medoids and radii."""
     p = pixels(spark, sf_dir)
-    a = cluster.assign(p, _centroids(p)).persist()
-    return cluster.medoids(a).join(cluster.cluster_sizes(a).select("cluster", "pct"), "cluster").select("cluster", "medoid", _r("radius"), "n", "pct")
+    found = cluster.shares(cluster.medoids(cluster.assign(p, _centroids(p))))
+    return found.select("cluster", "medoid", _r("radius"), "n", "pct")
 
 
 @query
@@ -807,7 +807,7 @@ def _regressed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2 (nn_reg), M16."""
-    r = _regressed(spark, sf_dir).persist()
+    r = _regressed(spark, sf_dir)
     return evaluate.regression_scores(r).crossJoin(evaluate.plot_range(r)).select(*(_r(x, 4) for x in ("r2", "rmse", "mae", "low", "high")))
 
 
@@ -876,7 +876,7 @@ def truth_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5: scores of exact neighbours on growing shares of the training rows."""
     out = None
-    for pct, name, scores in evaluate.learning_curve(pixels(spark, sf_dir).select("idx", "emb", "label"), percents=(10, 80)):
+    for pct, name, scores in evaluate.learning_curve(pixels(spark, sf_dir).select("idx", "emb", "label")):
         row = scores.select(F.lit(pct).alias("pct"), F.lit(name).alias("model"), F.round("macro_f1", 4).alias("score"))
         out = row if out is None else out.unionByName(row)
     return out

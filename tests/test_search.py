@@ -1,5 +1,7 @@
 """Lookup and search on tiny literal grids, and the property that thresholds cut cached distances rightly."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +145,27 @@ def test_config_and_types(spark):
     assert [evaluate.field_type(truth, f) for f in ("habitat", "carbon", "code")] == ["classification", "regression", "classification"]
     events = evaluate.dry_run(truth, [{"name": "habitat"}, {"name": "none"}], [2024], ["nn"])
     assert [e["event"] for e in events] == ["dry_run", "error"] and events[0]["unique_values"] == 1
+
+
+def test_passes_over_blocks_agree(spark):
+    """Few blocks at a time, or all at once: the same neighbours, without a cartesian product."""
+    r = random.Random(5)
+    v = [r.uniform(-5, 5) for _ in range(90 * 4)]
+    p = spark.createDataFrame([(i, i % 10, i // 10, v[i * 4 : i * 4 + 4]) for i in range(90)], PIXELS)
+    found = search.nearest_rows(p, p.where("idx < 40"), 3, block=8, sent=2)
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString()
+    once = search.nearest_rows(p, p.where("idx < 40"), 3)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, once.collect()))
+    want = {(a, b) for a in range(40) for _, b in sorted((sum((x - y) ** 2 for x, y in zip(v[a * 4 : a * 4 + 4], v[b * 4 : b * 4 + 4])), b) for b in range(90))[:3]}
+    assert {(r["source"], r["idx"]) for r in found.collect()} == want
+
+
+def test_many_query_vectors(spark):
+    """More vectors than a block holds are found as well as few."""
+    r = random.Random(6)
+    v = [r.uniform(-5, 5) for _ in range(600 * 2)]
+    p = spark.createDataFrame([(i, i % 30, i // 30, v[i * 2 : i * 2 + 2]) for i in range(600)], PIXELS)
+    q = p.where("idx % 2 = 0").select("emb", F.lit(0.01).alias("t2"))
+    want = {i for i in range(600) if any((v[2 * i] - v[2 * j]) ** 2 + (v[2 * i + 1] - v[2 * j + 1]) ** 2 <= 0.01 for j in range(0, 600, 2))}
+    assert {r["idx"] for r in search.multi_search(p, q).collect()} == want
+    assert {r["idx"] for r in search.min_sq_distances(p, q.select("emb")).where("d2 = 0").collect()} >= set(range(0, 600, 2))
