@@ -687,7 +687,7 @@ def point_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours of points by class, the last class on top."""
     p = pixels(spark, sf_dir).select("idx", "label")
     colours = labels.colour_index(F.col("label"), p, 7)
-    hits = p.join(small(colours), p["label"] == colours["value"]).where("label > 1").select("idx", F.col("label").alias("ord"), F.col("colour"))
+    hits = p.join(small(colours), F.col("label") == F.col("value")).where("label > 1").select("idx", F.col("label").alias("ord"), F.col("colour"))
     return labels.coloured(p.select("idx"), hits.unionByName(hits.where("idx % 3 = 0").select("idx", (F.col("ord") + 20).alias("ord"), (F.col("colour") + 100).alias("colour"))))
 
 

@@ -34,5 +34,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def small(df: DataFrame, most: int = 10_000) -> DataFrame:
-    """``df`` marked for broadcast if it has ``most`` rows or fewer, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """``df`` marked for broadcast if it has ``most`` rows or fewer, else as it is.
+
+    What is small enough to travel with the plan (1 MB) is fetched by the job that counts
+    it, and not computed again; its columns have to be referred to by name.
+    """
+    held = df.limit(most + 1).toArrow()
+    if held.num_rows > most:
+        return df
+    if held.nbytes > 1 << 20:
+        return F.broadcast(df)
+    return F.broadcast(df.sparkSession.createDataFrame(held, df.schema))

@@ -58,4 +58,4 @@ def write_results(results: DataFrame, path: str) -> None:
 
 def class_raster(predicted: DataFrame, classes: DataFrame) -> DataFrame:
     """Class ids 1..n of pixels by the order of class names; 0 where nothing is predicted."""
-    return predicted.join(small(classes), predicted["prediction"] == classes["class"], "left").select("px", "py", F.coalesce("class_id", F.lit(0)).alias("class_id"))
+    return predicted.join(small(classes.select(F.col("class").alias("prediction"), "class_id")), "prediction", "left").select("px", "py", F.coalesce("class_id", F.lit(0)).alias("class_id"))
