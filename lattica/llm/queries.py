@@ -12,6 +12,8 @@ from .chat import chat_digests
 from .classifier import quality_classifier
 from .common import read
 from .decontaminate import decontaminate
+from .fill_in_middle import fill_in_middle, restored
+from .importance import importance_resample
 from .line_dedup import line_dedup
 from .ngram_join import ngram_jaccard_join
 from .pii import find_pii
@@ -160,6 +162,67 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = restored(fill_in_middle(read(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+cut AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+    CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM docs
+), placed AS (SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS p, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS m FROM cut),
+parts AS (
+  SELECT doc_id, text, n, array_to_string(w[1:p], '') AS pre, array_to_string(w[p + 1:m], '') AS mid, array_to_string(w[m + 1:], '') AS suf,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM placed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+words AS (SELECT id, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs),
+each_ AS (SELECT id, unnest(w) AS word FROM words),
+wanted AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+), tab AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t
+), bytes AS (
+  SELECT word, list_transform(range(CAST(length(hex(encode(word))) // 2 AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT)) AS b
+  FROM (SELECT word FROM each_ UNION SELECT word FROM wanted)
+), hashed AS (
+  SELECT word, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) % 10000 AS bucket FROM bytes, tab
+), sums AS (
+  SELECT bucket, CAST(sum(s) AS BIGINT) AS s, CAST(sum(t) AS BIGINT) AS t FROM (
+    SELECT bucket, 1 AS s, 0 AS t FROM each_ JOIN hashed USING (word) UNION ALL SELECT bucket, 0, 1 FROM wanted JOIN hashed USING (word)
+  ) GROUP BY bucket
+), whole AS (SELECT CAST(coalesce(sum(s), 0) AS BIGINT) AS all_s, CAST(coalesce(sum(t), 0) AS BIGINT) AS all_t FROM sums),
+gains AS (
+  SELECT bucket, CAST(floor(1000.0::DOUBLE * ln(CAST((t + 1) * (all_s + 10000) AS DOUBLE) / CAST((s + 1) * (all_t + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM sums, whole
+), weights AS (
+  SELECT id, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM each_ JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY id
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000.0::DOUBLE * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM words LEFT JOIN weights USING (id)
+), placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= n * 10 // 100 THEN place END AS rank FROM placed
+"""
+
+
 _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_chat_formatting,
     op2_quality_rules,
@@ -171,6 +234,8 @@ _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op8_token_counts,
     op9_bpe_encoding,
     op10_suffix_array_dedup,
+    op11_fill_in_middle,
+    op12_importance_resampling,
 )
 
 
@@ -184,4 +249,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": OP2_SQL,
         "op5_line_dedup": OP5_SQL,
         "op6_benchmark_decontamination": OP6_SQL,
+        "op11_fill_in_middle": OP11_SQL,
+        "op12_importance_resampling": OP12_SQL,
     }
