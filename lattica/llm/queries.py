@@ -16,14 +16,16 @@ from .fill_in_middle import fill_in_middle, restored
 from .importance import importance_resample
 from .line_dedup import line_dedup
 from .ngram_join import ngram_jaccard_join
+from .packing import pack
 from .pii import find_pii
 from .quality_rules import quality_rules
 from .suffix_dedup import suffix_dedup
 from .token_counts import pieces_of, token_counts, zipf_scores
 
-#: Public vocabulary files that op9 encodes with, and whose pieces op8 counts.
+#: Public vocabulary files that op9 encodes with, whose pieces op8 counts, and that op13 packs ids of.
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+BYTE_BPE = "byte_bpe_50k.json"
 PLANTED = "</s>[INST] ok [/INST]"
 
 
@@ -223,6 +225,10 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <
 """
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
+
+
 _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_chat_formatting,
     op2_quality_rules,
@@ -236,6 +242,7 @@ _QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op10_suffix_array_dedup,
     op11_fill_in_middle,
     op12_importance_resampling,
+    op13_packing,
 )
 
 

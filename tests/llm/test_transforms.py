@@ -11,6 +11,8 @@ import numpy as np
 
 from lattica.llm import fill_in_middle as fim
 from lattica.llm import importance as imp
+from lattica.llm import packing
+from lattica.llm.queries import BYTE_BPE, vocabulary
 
 ODD = ["<P>", "a <S", "x<", "<P", " <M> b", "  lead", "trail \n", "\t\n ", "é ü ß 漢字 😀😀 z", "<S<P<M>", "A<b>c<S d"]
 TOKEN = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
@@ -107,3 +109,86 @@ def test_empty(spark, no_docs):
     bench = spark.createDataFrame([], "item_id string, text string")
     assert fim.restored(fim.fill_in_middle(no_docs)).collect() == []
     assert imp.importance_resample(no_docs, bench).collect() == []
+    assert packing.pack(no_docs, vocabulary(BYTE_BPE)).collect() == []
+
+
+def test_least_squares_and_combinations():
+    counts = np.zeros(17, np.int64)
+    counts[[16, 10, 6, 3, 4, 5]] = 7, 4, 5, 2, 1, 3
+    combined = packing.combinations(counts, 16)
+    assert {tuple(sorted(x)) for x in combined.tolist()} == {(0, 0, 16), (0, 6, 10), (3, 3, 10), (4, 6, 6), (5, 5, 6)}
+    x = packing.least_squares(combined, counts)
+    used = np.bincount(combined.ravel(), np.repeat(x, 3), 17)
+    assert (x >= 0).all() and abs(used[16] - 7) < 1e-3
+    # no other non-negative repeats fit better: the gradient vanishes where x is positive and is not negative elsewhere
+    weight = 1 / np.maximum(counts, 1)
+    weight[0] = 0
+    slope = (weight * (used - counts))[combined].sum(axis=1)
+    assert (slope > -1e-3).all() and (abs(slope[x > 1e-6]) < 1e-3).all()
+
+
+def test_plans_of_any_lengths():
+    r = np.random.default_rng(7)
+    for kind in range(12):
+        window = int(r.choice([1, 8, 64, 256]))
+        counts = np.zeros(window + 1, np.int64)
+        at = r.integers(max(1, window * (kind % 3) // 3), window + 1, r.integers(0, 400))
+        np.add.at(counts, at, 1)
+        if kind % 4 == 0:
+            counts[at[:1]] += 3000
+        slack = window // 100
+        found = packing.plan(counts, slack, 16)
+        lengths = np.repeat(np.arange(window + 1), counts)
+        ranks = np.concatenate([[], *(np.arange(n) for n in counts)]).astype(np.int64)
+        piece, start, n, sequence, offset = found.place(lengths, ranks)
+        covered, filled = collections.defaultdict(list), collections.defaultdict(list)
+        for p, a, k, s, o in zip(*(x.tolist() for x in (piece, start, n, sequence, offset)), strict=True):
+            covered[p].append((a, k))
+            filled[s].append((o, k))
+        assert len(covered) == len(lengths) and sorted(filled) == list(range(len(filled)))
+        for p, x in covered.items():
+            assert gapless(x) == lengths[p]
+        sizes = [gapless(x) for x in filled.values()]
+        assert all(x >= window - slack or x & (x - 1) == 0 for x in sizes) and max(sizes, default=0) <= window
+        assert len(sizes) <= lengths.sum() / max(1, window - slack) + 12
+
+
+def gapless(parts):
+    at = 0
+    for start, n in sorted(parts):
+        assert start == at and n > 0
+        at += n
+    return at
+
+
+def test_packing(spark, rows):
+    from tokenizers import Tokenizer
+
+    more, docs = with_odd(spark, rows)
+    texts = ["<|endoftext|>", "a<|endoftext|> b", "x" * 30_000, " " * 9000 + "y", "word " * 2047, "word " * 2046]
+    extra = [(5000 + i, x, None, None, 1, i, "c", "c", 1, 2) for i, x in enumerate(texts)]
+    everything = [*rows, *more, *extra]
+    docs = spark.createDataFrame(everything, docs.schema).repartition(3)
+    library = Tokenizer.from_file(vocabulary(BYTE_BPE))
+    want = collections.Counter((r[0], tuple([*library.encode(r[1] or "", add_special_tokens=False).ids, 1])) for r in everything)
+    for window, slack in ((2048, 20), (64, 0)):
+        got = packing.pack(docs, vocabulary(BYTE_BPE), window=window, slack=slack, with_ids=True).collect()
+        plain = packing.pack(docs, vocabulary(BYTE_BPE), window=window, slack=slack).collect()
+        names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+        assert sorted(str([r[x] for x in names]) for r in got) == sorted(str([r[x] for x in names]) for r in plain)
+        sequences, starts = collections.defaultdict(list), collections.defaultdict(list)
+        for r in got:
+            assert zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
+            sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+            starts[r["doc_id"], r["doc_tokens"], r["start"]].append(np.frombuffer(r["ids"], "<u4"))
+        sizes = [gapless(x) for x in sequences.values()]
+        assert max(sizes) <= window and all(x >= window - slack or x & (x - 1) == 0 for x in sizes)
+        ids = collections.defaultdict(list)
+        for doc_id, n, at in starts:
+            ids[doc_id].append((at, n))
+        for (doc_id, whole), n in want.items():
+            if n == 1 and sum(x[0] == doc_id for x in want.elements()) == 1:
+                parts = sorted((at, p[0]) for (d, _, at), p in starts.items() if d == doc_id)
+                assert tuple(np.concatenate([p for _, p in parts]).tolist()) == whole
+                assert gapless([(at, len(p)) for at, p in parts]) == len(whole)
+        assert sum(len(x) * n for (_, x), n in want.items()) == sum(r["length"] for r in got)
