@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vec import l2sq
+from ..session import stored
+from .quantile import quantiles
 
 BINS = ("Stable", "Minor change", "Moderate change", "Major change")
 
@@ -17,17 +19,24 @@ def change(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def change_stats(changes: DataFrame) -> DataFrame:
-    return changes.agg(
+    held = stored(changes.select("distance"))
+    return held.agg(
         F.count(F.lit(1)).alias("matched"), F.min("distance").alias("min_distance"), F.max("distance").alias("max_distance"),
-        F.avg("distance").alias("mean_distance"), F.percentile("distance", F.lit(0.5)).alias("median_distance"),
+        F.avg("distance").alias("mean_distance"), F.lit(median(held)).cast("double").alias("median_distance"),
     )
 
 
+def median(changes: DataFrame) -> float | None:
+    """The exact median distance; null and NaN are passed over."""
+    return quantiles(changes, {"distance": [0.5]})["distance"][0]
+
+
 def change_bins(changes: DataFrame) -> DataFrame:
     """Counts of the four bins around the median, empty ones too."""
     spark = changes.sparkSession
-    m = changes.agg(F.percentile("distance", F.lit(0.5)).alias("m"), F.max("distance").alias("top"), F.count(F.lit(1)).alias("total"))
-    one = F.broadcast(m)
+    changes = stored(changes.select("distance"))
+    middle = F.lit(median(changes)).cast("double").alias("m")
+    one = F.broadcast(changes.agg(middle, F.max("distance").alias("top"), F.count(F.lit(1)).alias("total")))
     bin_ = F.when(F.col("distance") < F.col("m") * 0.5, 0).when(F.col("distance") < F.col("m"), 1).when(F.col("distance") < F.col("m") * 1.5, 2).otherwise(3)
     counted = changes.crossJoin(one).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     names = spark.createDataFrame(list(enumerate(BINS)), "bin int, label string")

@@ -24,7 +24,8 @@ def classify(pixels: DataFrame, labels: DataFrame) -> DataFrame:
     active = labels.where("visible and embedding is not null")
     order = active.groupBy("name").agg(F.min("label_id").alias("at"))
     numbered = order.withColumn("class", F.row_number().over(Window.partitionBy().orderBy("at")) - 1)
-    active = small(active.join(numbered.select("name", "class"), "name"))
+    # frozen sets of pixels stay behind
+    active = small(active.join(numbered.select("name", "class"), "name").select("label_id", "name", "class", "type", "threshold", "embedding", "vertices"))
     shapes = active.where("type = 'polygon' and vertices is not null").select(F.struct("label_id", "class").alias("polygon"), "vertices")
     inside = geom.rasterise(pixels.select("idx", "px", "py"), shapes).groupBy("idx").agg(F.max_by("polygon.class", "polygon.label_id").alias("by_polygon"))
     sources = active.where("threshold > 0").select("label_id", "class", "threshold", F.col("embedding").alias("source"))

@@ -8,20 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Grid
+from ..session import small, stored
+from .quantile import quantiles
 
 
 def stretched(pixels: DataFrame, dimensions: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     """Bands of the first dimensions, cut at the 2nd and 98th percentile, as 0..255."""
-    bands = pixels.select("idx", "px", "py", *(F.col("emb")[d].alias(f"v{d}") for d in dimensions))
-    cuts = bands.agg(*(F.percentile(F.when(~F.isnan(f"v{d}"), F.col(f"v{d}")), F.array(F.lit(0.02), F.lit(0.98))).alias(f"p{d}") for d in dimensions))
-    out = bands.crossJoin(F.broadcast(cuts))
+    bands = stored(pixels.select("idx", "px", "py", *(F.col("emb")[d].alias(f"v{d}") for d in dimensions)))
+    cuts = quantiles(bands, {f"v{d}": [0.02, 0.98] for d in dimensions})
 
     def band(d: int) -> Column:
-        low, high = F.col(f"p{d}")[0], F.col(f"p{d}")[1]
-        v = F.greatest(low, F.least(high, F.col(f"v{d}")))
-        return F.when((high > low) & ~F.isnan(f"v{d}"), F.floor((v - low) / (high - low) * 255)).otherwise(0).cast("int").alias(f"band{d}")
+        low, high = cuts[f"v{d}"]
+        v = F.greatest(F.lit(low), F.least(F.lit(high), F.col(f"v{d}")))
+        if low is None or high <= low:
+            return F.lit(0).alias(f"band{d}")
+        return F.when(~F.isnan(f"v{d}"), F.floor((v - low) / (high - low) * 255)).otherwise(0).cast("int").alias(f"band{d}")
 
-    return out.select("idx", "px", "py", *(band(d) for d in dimensions))
+    return bands.select("idx", "px", "py", *(band(d) for d in dimensions))
 
 
 def level(image: DataFrame, width: int, height: int, k: int) -> DataFrame:
@@ -64,7 +67,7 @@ def crop(pixels: DataFrame, grid: Grid, west: float, south: float, east: float,
 
 def overlay(pixels: DataFrame, classes: DataFrame, colours: DataFrame) -> DataFrame:
     """Colours of assigned pixels (idx, class) over their box."""
-    return pixels.join(classes, "idx").join(F.broadcast(colours), "class").select("px", "py", "class", "colour")
+    return pixels.join(classes, "idx").join(small(colours), "class").select("px", "py", "class", "colour")
 
 
 def pixel_bounds(places: DataFrame, grid: Grid) -> DataFrame:

@@ -20,6 +20,11 @@ HEIGHT = "(SELECT max(py) + 1 FROM px)"
 TILED = f"""tiled AS (SELECT *, CAST(CASE WHEN py >= {HEIGHT} - 8 THEN CAST(ceil({HEIGHT} / 8.0) AS INTEGER) - 1 ELSE py // 8 END * 4 + CASE WHEN px >= 17 THEN 3 ELSE px // 8 END AS INTEGER) AS tile,
   CAST(idx % 7 AS INTEGER) AS i1, CAST(idx % 3 AS INTEGER) AS i2 FROM px)"""
 
+STARS = """star AS (SELECT idx AS polygon, k, px + 0.63::DOUBLE + (1.5 + (idx % 5) * 0.75::DOUBLE) * dx AS x, py + 0.57::DOUBLE + (1.5 + (idx % 5) * 0.75::DOUBLE) * dy AS y
+  FROM px, (VALUES (0, 0.0::DOUBLE, -1.0::DOUBLE), (1, 0.6, 0.8), (2, -0.95, -0.3), (3, 0.95, -0.3), (4, -0.6, 0.8)) c(k, dx, dy)),
+star_sides AS (SELECT a.polygon, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM star a JOIN star b ON a.polygon = b.polygon AND b.k = (a.k + 4) % 5),
+in_star AS (SELECT polygon, idx FROM px, star_sides WHERE (y1 > py + 0.5) <> (y2 > py + 0.5) AND px + 0.5 < (x2 - x1) * (py + 0.5 - y1) / (y2 - y1) + x1 GROUP BY polygon, idx HAVING count(*) % 2 = 1)"""
+
 
 def _book(name: str, code: str, factor: str) -> str:
     return f"""{name}_dims AS (SELECT tile, {code} AS code, unnest(emb) * {factor}::DOUBLE AS value, generate_subscripts(emb, 1) - 1 AS dim FROM tiled),
@@ -81,7 +86,9 @@ tried AS (SELECT probe, ord, CAST(trunc((lon - (-1.0)) / 0.01) AS INTEGER) + dx
             "book AS (SELECT dim, min(value) AS low, max(value) AS high FROM first GROUP BY dim)",
             "sums AS (SELECT 2022 AS year, count(*) AS dims, sum(low) AS low, sum(high) AS high FROM ends UNION ALL SELECT 2023, count(*), sum(low), sum(high) FROM ends UNION ALL SELECT 2024, count(*), sum(low), sum(high) FROM book)",
             "SELECT CAST(year AS INTEGER) AS year, idx, CAST(dims AS INTEGER) AS dims, round(low, 5) AS low, round(high, 5) AS high FROM sums CROSS JOIN px"),
-        "vq_assemble": "SELECT CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py, arg_max(ord * 100 + i, ord) AS code FROM (SELECT ord, i, least((ord % 2) * 4, 3) + i % 4 AS px, least((ord // 2) * 4, 5) + i // 4 AS py FROM range(6) o(ord), range(16) r(i)) GROUP BY ALL",
+        "vq_assemble": _with("n AS (SELECT (max(idx) + 5) // 5 * 8 - 2 AS h FROM px)",
+            "placed AS (SELECT idx, least((idx % 5) * 8, 29) + i % 8 AS px, least((idx // 5) * 8, h - 8) + i // 8 AS py, CAST(floor((emb[i + 1] + 1) * 100) AS INTEGER) AS code FROM px, n, range(64) r(i))",
+            "SELECT CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py, arg_max(code, idx) AS code FROM placed GROUP BY ALL"),
         "change_distance": _with(CHANGED, "SELECT idx, px, py, round(distance, 6) AS distance FROM changed"),
         "change_stats": _with(CHANGED, "SELECT count(*) AS matched, round(min(distance), 6) AS min_distance, round(max(distance), 6) AS max_distance, round(avg(distance), 6) AS mean_distance, round(median(distance), 6) AS median_distance FROM changed"),
         "change_bins": _with(CHANGED, """m AS (SELECT median(distance) AS m, max(distance) AS top, count(*) AS total FROM changed), bins(bin, label) AS (VALUES (0, 'Stable'), (1, 'Minor change'), (2, 'Moderate change'), (3, 'Major change')),
@@ -99,17 +106,24 @@ v AS (SELECT idx, t, CAST(least(floor(t), 5) AS INTEGER) AS k FROM scaled)""",
             "SELECT label, round(-1.0 + min(px) * 0.01::DOUBLE, 6) AS west, round(52.0 + (py + 1) * (-0.01)::DOUBLE, 6) AS south, round(-1.0 + (max(px) + 1) * 0.01::DOUBLE, 6) AS east, round(52.0 + py * (-0.01)::DOUBLE, 6) AS north FROM r GROUP BY label, py, island"),
         "outline_sides": _with("""s AS (SELECT label, px AS x1, py AS y1, px + 1 AS x2, py AS y2 FROM px UNION ALL SELECT label, px, py + 1, px + 1, py + 1 FROM px
 UNION ALL SELECT label, px, py, px, py + 1 FROM px UNION ALL SELECT label, px + 1, py, px + 1, py + 1 FROM px)""", "SELECT label, x1, y1, x2, y2 FROM s GROUP BY ALL HAVING count(*) = 1"),
-        "vertex_mean": _with(SHAPES, "SELECT polygon, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM corners GROUP BY polygon"),
+        "vertex_mean": _with(STARS, "SELECT polygon, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM star GROUP BY polygon"),
+        "polygon_cover": _with(STARS, "SELECT polygon, count(*) AS n, CAST(sum(idx) AS BIGINT) AS total, round(avg(emb[1]), 6) AS mean FROM in_star JOIN px USING (idx) GROUP BY polygon"),
+        "outline_rings": _with("""around AS (SELECT label, px + dx AS x, py + dy AS y, count(*) AS n, sum((2 - dx) * (1 + 3 * (1 - dy))) AS held FROM px, range(2) a(dx), range(2) b(dy) GROUP BY 1, 2, 3),
+corner AS (SELECT label, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND held IN (6, 9) THEN 2 ELSE 0 END) AS corners, sum(CASE WHEN n = 1 THEN 1 WHEN n = 3 THEN -1 WHEN n = 2 AND held IN (6, 9) THEN 2 ELSE 0 END) // 4 AS euler FROM around GROUP BY label),
+side AS (SELECT label, px + dx AS x, py AS y, 'v' AS kind FROM px, range(2) a(dx) UNION ALL SELECT label, px, py + dy, 'h' FROM px, range(2) b(dy)),
+outer_ AS (SELECT label, count(*) AS length FROM (SELECT label FROM side GROUP BY label, x, y, kind HAVING count(*) = 1) GROUP BY label)""",
+            "SELECT label, n AS area, CAST(corners AS BIGINT) AS corners, length, CAST(euler AS BIGINT) AS outer_less_holes FROM (SELECT label, count(*) AS n FROM px GROUP BY label) JOIN corner USING (label) JOIN outer_ USING (label)"),
         "percentile_stretch": _with("c AS (SELECT " + ", ".join(f"quantile_cont(emb[{d + 1}], 0.02) AS l{d}, quantile_cont(emb[{d + 1}], 0.98) AS h{d}" for d in range(3)) + " FROM px)",
             "SELECT idx, " + ", ".join(f"CAST(floor((greatest(l{d}, least(h{d}, emb[{d + 1}])) - l{d}) / (h{d} - l{d}) * 255) AS INTEGER) AS band{d}" for d in range(3)) + " FROM px, c"),
         "pyramid_level": _with(f"w AS (SELECT 6 AS w, {HEIGHT} AS h, {HEIGHT} // 4 AS lh)", "SELECT CAST(c AS INTEGER) AS col, CAST(r AS INTEGER) AS row, idx FROM w, range(6) a(c), range(1000) b(r) JOIN px ON true WHERE r < lh AND px = floor((c + 0.5) * (25.0::DOUBLE / 6)) AND py = floor((r + 0.5) * (h / lh))"),
         "enlarged": _with("SELECT idx, CAST(px * 3 + a AS INTEGER) AS px, CAST(py * 3 + b AS INTEGER) AS py FROM px, range(3) x(a), range(3) y(b)"),
         "tile_window": _with("SELECT CAST(c AS INTEGER) AS col, CAST(r AS INTEGER) AS row, idx FROM range(16) a(c), range(16) b(r), px WHERE px = floor((c + 0.5) * 8 / 16) + 5 AND py = floor((r + 0.5) * 10 / 16) + 5"),
         "crop": _with("SELECT idx, px - 5 AS px, py - 4 AS py FROM px WHERE px >= 5 AND px < 15 AND py >= 4 AND py < 11"),
-        "tile_bbox": "SELECT CAST(z AS INTEGER) AS z, round(z * 3 / pow(2.0, z) * 360 - 180, 6) AS west, round(degrees(atan(sinh(pi() * (1 - 2 * (z * 2 + 1) / pow(2.0, z))))), 6) AS north, CAST(greatest(0, least(5, floor((14 - z) / 2.0))) AS INTEGER) AS level FROM range(6, 18) r(z)",
+        "tile_bbox": _with("t AS (SELECT idx, CAST(6 + idx % 12 AS INTEGER) AS z, CAST(pow(2, 6 + idx % 12) AS BIGINT) AS side FROM px)",
+            "SELECT idx, z, round((idx * 3) % side / pow(2.0, z) * 360 - 180, 6) AS west, round(degrees(atan(sinh(pi() * (1 - 2 * ((idx * 2 + 1) % side) / pow(2.0, z))))), 6) AS north, CAST(greatest(0, least(5, floor((14 - z) / 2.0))) AS INTEGER) AS level FROM t"),
         "pixel_bounds": _with(AT, "SELECT idx, round(lon - 0.005, 6) AS west, round(lat - 0.005, 6) AS south, round(lon + 0.005, 6) AS east, round(lat + 0.005, 6) AS north FROM placed"),
-        "viewport_math": "WITH " + PROBES + """, b AS (SELECT probe, lon - 5 / (111.32::DOUBLE * cos(radians(lat))) AS west, lat - 3 / 111.32::DOUBLE AS south, lon + 5 / (111.32::DOUBLE * cos(radians(lat))) AS east, lat + 3 / 111.32::DOUBLE AS north FROM probes)
-SELECT probe, round(west, 6) AS west, round(south, 6) AS south, round(east, 6) AS east, round(north, 6) AS north, round((east - west) * 111320 * cos(radians((south + north) / 2)) / 10 * ((north - south) * 110540 / 10) * 128 * 4 * 0.4::DOUBLE / 1048576 * 3 * 2, 3) AS mb FROM b""",
+        "viewport_math": _with(AT, "b AS (SELECT idx, lon - 5 / (111.32::DOUBLE * cos(radians(lat))) AS west, lat - 3 / 111.32::DOUBLE AS south, lon + 5 / (111.32::DOUBLE * cos(radians(lat))) AS east, lat + 3 / 111.32::DOUBLE AS north FROM placed)",
+            "SELECT idx, round(west, 6) AS west, round(south, 6) AS south, round(east, 6) AS east, round(north, 6) AS north, round((east - west) * 111320 * cos(radians((south + north) / 2)) / 10 * ((north - south) * 110540 / 10) * 128 * 4 * 0.4::DOUBLE / 1048576 * 3 * (idx % 3 + 1), 3) AS mb FROM b"),
         "nearest_centroid": _with(ASSIGNED, "SELECT idx, cluster, round(d2, 6) AS d2 FROM assigned"),
         "classify": _with(SHAPES, LABELS, """ordered AS (SELECT name, row_number() OVER (ORDER BY min(label_id)) - 1 AS class FROM labels_ WHERE visible GROUP BY name),
 active AS (SELECT * FROM labels_ JOIN ordered USING (name) WHERE visible),
@@ -143,7 +157,10 @@ ELSE '<Point><coordinates>' || (px * 2) || ',' || py || ',0</coordinates></Point
 UNION ALL SELECT 'm' || label, CASE WHEN idx % 2 = 0 THEN 'k' END, 'point', emb[1] FROM px, range(2) WHERE idx % 5 = 0 UNION ALL SELECT 's', NULL, 'similarity', emb[1] FROM px WHERE idx % 4 = 0)""",
             "SELECT name, code, type, count(*) AS n, round(sum(e), 5) AS total FROM s GROUP BY ALL"),
         "shares": "SELECT 'user_' || user_id || '_at_x_org' AS owner, event_type AS viewport, max(event_id) AS submitted FROM events GROUP BY user_id, event_type HAVING max(event_id) % 2 = 0",
-        "schema_filter": "SELECT * FROM (VALUES (0, NULL, 'a', 'Top A'), (1, 0, 'a1', 'Sub Alpha'), (2, 1, 'a1a', 'Leaf')) v(node_id, parent_id, code, name)",
+        "schema_filter": """WITH RECURSIVE e AS (SELECT user_id, event_id, event_id % 4 AS level, event_type FROM events),
+n AS (SELECT a.user_id, a.event_id, a.event_type, max(b.event_id) AS parent FROM e a LEFT JOIN e b ON b.user_id = a.user_id AND b.event_id < a.event_id AND b.level < a.level GROUP BY ALL),
+shown AS (SELECT * FROM n WHERE event_type LIKE '%err%' UNION SELECT n.* FROM n JOIN shown s ON n.user_id = s.user_id AND n.event_id = s.parent)
+SELECT user_id, CAST(event_id AS INTEGER) AS node_id, CAST(parent AS INTEGER) AS parent_id, 'e' || event_id AS code, event_type AS name FROM shown""",
         "point_colours": _with("SELECT idx, CASE WHEN label > 1 THEN CAST(label % 7 + CASE WHEN idx % 3 = 0 THEN 100 ELSE 0 END AS INTEGER) END AS colour FROM px"),
         "client_address": "SELECT CASE WHEN event_id % 4 = 0 THEN 'r' || user_id WHEN event_id % 3 = 0 THEN 'f' || user_id WHEN event_id % 2 = 0 THEN 'peer' ELSE 'unknown' END AS address, count(*) AS n FROM events GROUP BY 1",
         "cluster_radius": _with(ASSIGNED, "SELECT cluster, arg_min(idx, d2) AS medoid, round(sqrt(max(d2)), 6) AS radius, count(*) AS n, round(count(*) / sum(count(*)) OVER () * 100, 1) AS pct FROM assigned GROUP BY cluster"),
@@ -177,6 +194,15 @@ r AS (SELECT event_id, user_id, n, [moment] AS held, true AS allowed, 0::BIGINT
 UNION ALL SELECT event_id, user_id, n, CASE WHEN len(h) < 5 THEN list_append(h, moment) ELSE h END, len(h) < 5, CASE WHEN len(h) < 5 THEN 0 ELSE greatest(1, CAST(trunc(86400 - (moment - h[1])) AS BIGINT)) END
 FROM (SELECT e.*, list_filter(r.held, lambda t: e.moment - t < 86400) AS h FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
 SELECT event_id, user_id, allowed, retry_after FROM r""",
+        "rate_release": """WITH RECURSIVE a AS (SELECT user_id, epoch_us(ts) / 1e6 AS moment, '+' || event_id AS row, CAST(NULL AS VARCHAR) AS frees FROM events
+UNION ALL SELECT user_id, epoch_us(ts + INTERVAL 90 MINUTES) / 1e6, '-' || event_id, '+' || event_id FROM events WHERE event_type = 'error'),
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY moment, row) AS n FROM a),
+r AS (SELECT user_id, n, row, [{'t': moment, 'r': row}] AS held, true AS allowed, 0::BIGINT AS retry_after FROM e WHERE n = 1
+UNION ALL SELECT user_id, n, row, CASE WHEN frees IS NOT NULL THEN list_filter(h, lambda x: x.r <> frees) WHEN len(h) < 3 THEN list_append(h, {'t': moment, 'r': row}) ELSE h END,
+  CASE WHEN frees IS NOT NULL THEN len(list_filter(h, lambda x: x.r = frees)) > 0 ELSE len(h) < 3 END,
+  CASE WHEN frees IS NOT NULL OR len(h) < 3 THEN 0 ELSE greatest(1, CAST(trunc(86400 - (moment - h[1].t)) AS BIGINT)) END
+FROM (SELECT e.*, list_filter(r.held, lambda x: e.moment - x.t < 86400) AS h FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id, row, allowed, retry_after FROM r""",
         "name_rules": """WITH n AS (SELECT *, event_type || CASE WHEN event_id % 7 = 0 THEN ' x' ELSE '' END AS base, CASE WHEN event_id % 3 = 0 THEN '' ELSE '_v' || (event_id % 20) END AS tail FROM events),
 h AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(base || tail, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: ((a * 31 + b + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS hashed FROM n)
 SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN 'u' || user_id || '_x_at_' || event_type || '-org_net' END AS folder, event_id % 7 <> 0 AS valid, base, CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 20 END AS INTEGER) AS variant,

@@ -11,14 +11,14 @@ from .functions import grid as g
 from .functions import text as tx
 from .functions.vec import bounds, by_dimension, dequantise, l2sq, literal, mean_vector
 from .model import GRID, pixels, second_year
-from .operators import catalog, change, cluster, codebook, evaluate, geom, labels, quant, raster, search
+from .operators import catalog, change, cluster, codebook, evaluate, geom, labels, quant, raster, rings, search
 from .plans import evaluation, ingest
 from .plans.evaluation import labelled_pixels
-from .session import scratch, small
+from .session import scratch, small, stored
 from .sinks import tables as sink_tables
 from .sinks import texts
 from .sources.labels import labels_from_geojson, labels_from_table, read_labels
-from .sources.schemes import filter_scheme, scheme_from_lines
+from .sources.schemes import filter_scheme, scheme_from_lines, with_paths
 from .sources.tables import codebook_config, read_codebooks, read_pixels, read_vectors
 from .streaming import events as ev
 
@@ -30,7 +30,8 @@ SEEDS = (0, 7, 42)
 TEXTS = (("Ab.c@d-e.org", "nn_v2", "#ff8000"), (" x@y.z ", "rf", "#abc"), ("!!", "mlp_v10", "rgb(1, 22, 255)"), ("q@q.q.q", "Name With Space", "red"))
 SHAPE = ((2.0, 2.0), (22.0, 2.0), (22.0, 8.0), (12.0, 8.0), (12.0, 16.0), (2.0, 16.0))
 TRIANGLE = ((14.0, 9.0), (24.0, 9.0), (19.0, 19.0))
-SCHEME = "a Top A\n    a1 Sub Alpha\n        a1a Leaf\n    a2 Sub Beta\nb Top B\n\tb1 Sub Gamma\nPlain name"
+#: Corners of a star around a pixel, which crosses itself, in parts of its radius.
+STAR = ((0.0, -1.0), (0.6, 0.8), (-0.95, -0.3), (0.95, -0.3), (-0.6, 0.8))
 TILE = 8
 CODES = 7
 
@@ -253,10 +254,12 @@ def linear_fastpath(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def vq_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V2: tiles that overlap at the edges, later ones on top."""
-    rows = spark.range(6).select((F.col("id") / 2).cast("int").alias("row"), (F.col("id") % 2).cast("int").alias("col"), F.col("id").alias("ord"))
-    tiles = rows.withColumn("codes", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.col("ord") * 100 + i))
-    return quant.assemble(tiles, 9, 7, 4).select("px", "py", "code")
+    """V2: every vector as a tile of codes, five in a row; tiles overlap at the edges, later ones on top."""
+    p = pixels(spark, sf_dir)
+    codes = F.transform("emb", lambda x: F.floor((x + 1) * 100).cast("int"))
+    tiles = p.select(F.floor(F.col("idx") / 5).cast("int").alias("row"), (F.col("idx") % 5).cast("int").alias("col"), F.col("idx").alias("ord"), codes.alias("codes"))
+    rows = -(-(p.agg(F.max("idx")).first()[0] + 1) // 5)
+    return quant.assemble(tiles, rows * 8 - 2, 5 * 8 - 3, 8).select("px", "py", "code")
 
 
 # Change
@@ -288,10 +291,10 @@ def change_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def change_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The colour of each pixel's change, from 0 to one and a half medians."""
-    found = _changes(spark, sf_dir)
-    top = F.broadcast(found.agg((F.percentile("distance", F.lit(0.5)) * 1.5).alias("top")))
-    v = F.when(F.col("top") > 0, F.least(F.lit(1.0), F.col("distance") / F.col("top"))).otherwise(0.0)
-    return found.crossJoin(top).select("idx", *(g.viridis(v, k).alias(n) for k, n in enumerate("rgb")))
+    found = stored(_changes(spark, sf_dir).select("idx", "distance"))
+    top = F.lit((change.median(found) or 0.0) * 1.5)
+    v = F.when(top > 0, F.least(F.lit(1.0), F.col("distance") / F.nullif(top, F.lit(0.0)))).otherwise(0.0)
+    return found.select("idx", *(g.viridis(v, k).alias(n) for k, n in enumerate("rgb")))
 
 
 # Geometry and raster
@@ -318,6 +321,30 @@ def polygon_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.multi_search(p, inside)
 
 
+def _stars(p: DataFrame) -> DataFrame:
+    """A polygon for every pixel: a star around its place, of five sizes."""
+    r = 1.5 + (F.col("idx") % 5) * 0.75
+    corner = lambda x, y: F.struct((F.col("px") + 0.63 + r * x).alias("x"), (F.col("py") + 0.57 + r * y).alias("y"))
+    return p.select(F.col("idx").alias("polygon"), F.array(*(corner(x, y) for x, y in STAR)).alias("vertices"))
+
+
+@query
+def polygon_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many polygons as pixels, joined by cells; pixels and the mean of their first dimension inside each."""
+    p = pixels(spark, sf_dir).select("idx", "px", "py", F.col("emb")[0].alias("first"))
+    inside = geom.rasterise(p, _stars(p))
+    return inside.groupBy("polygon").agg(F.count(F.lit(1)).alias("n"), F.sum("idx").alias("total"), F.round(F.avg("first"), 6).alias("mean"))
+
+
+@query
+def outline_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed rings around each label's pixels; their areas, corners and lengths, and rings less holes."""
+    found = rings.areas(rings.outlines(pixels(spark, sf_dir)))
+    return found.groupBy("label").agg(
+        F.sum("area").cast("long").alias("area"), F.sum("corners").alias("corners"), F.sum("length").cast("long").alias("length"), F.sum(F.when(F.col("hole"), -1).otherwise(1)).alias("outer_less_holes")
+    )
+
+
 @query
 def run_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of one label as rectangles in degrees."""
@@ -332,8 +359,8 @@ def outline_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def vertex_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G7."""
-    return geom.vertex_mean(_polygons(spark)).select("polygon", _r("x"), _r("y"))
+    """The place of a label for every pixel's star."""
+    return geom.vertex_mean(_stars(pixels(spark, sf_dir))).select("polygon", _r("x"), _r("y"))
 
 
 @query
@@ -370,10 +397,11 @@ def crop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tile_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corners of map tiles, and the image level for a zoom."""
-    t = spark.range(6, 18).select(F.col("id").cast("int").alias("z"))
-    x, y = F.col("z") * 3, F.col("z") * 2 + 1
-    return t.select("z", F.round(g.tile_lon(x, F.col("z")), 6).alias("west"), F.round(g.tile_lat(y, F.col("z")), 6).alias("north"), g.pyramid_level(F.col("z")).alias("level"))
+    """The corner of a map tile for every pixel, and the image level for its zoom."""
+    t = pixels(spark, sf_dir).select("idx", (F.lit(6) + F.col("idx") % 12).cast("int").alias("z"))
+    side = F.pow(F.lit(2.0), F.col("z")).cast("long")
+    x, y = (F.col("idx") * 3) % side, (F.col("idx") * 2 + 1) % side
+    return t.select("idx", "z", F.round(g.tile_lon(x, F.col("z")), 6).alias("west"), F.round(g.tile_lat(y, F.col("z")), 6).alias("north"), g.pyramid_level(F.col("z")).alias("level"))
 
 
 @query
@@ -385,12 +413,13 @@ def pixel_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def viewport_math(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes around places, and sizes on disk."""
-    at = spark.createDataFrame(PROBES, "probe int, lat double, lon double")
+    """A box around every pixel's place, and its size on disk for one to three years."""
+    p = pixels(spark, sf_dir)
+    at = p.select("idx", GRID.lat(F.col("px"), F.col("py")).alias("lat"), GRID.lon(F.col("px"), F.col("py")).alias("lon"))
     w, s, e, n = g.box_around(F.col("lat"), F.col("lon"), 10, 6)
-    boxes = at.select("probe", w.alias("west"), s.alias("south"), e.alias("east"), n.alias("north"))
-    mb = g.estimated_mb(F.col("west"), F.col("south"), F.col("east"), F.col("north"), F.lit(2))
-    return boxes.select("probe", _r("west"), _r("south"), _r("east"), _r("north"), F.round(mb, 3).alias("mb"))
+    boxes = at.select("idx", w.alias("west"), s.alias("south"), e.alias("east"), n.alias("north"))
+    mb = g.estimated_mb(F.col("west"), F.col("south"), F.col("east"), F.col("north"), F.col("idx") % 3 + 1)
+    return boxes.select("idx", _r("west"), _r("south"), _r("east"), _r("north"), F.round(mb, 3).alias("mb"))
 
 
 # Tables written and read again
@@ -672,14 +701,13 @@ def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def schema_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An indented scheme, and the nodes that a search shows."""
-    lines = spark.createDataFrame(list(enumerate(SCHEME.split("\n"))), "line_no int, value string")
-    nodes = scheme_from_lines(lines)
-    up = nodes.select(F.col("node_id").alias("pid"), F.col("code").alias("above"), F.col("parent_id").alias("gid"))
-    top = nodes.select(F.col("node_id").alias("tid"), F.col("code").alias("root"))
-    full = nodes.join(up, nodes["parent_id"] == up["pid"], "left").join(top, F.col("gid") == F.col("tid"), "left")
-    path = F.filter(F.array("root", "above", "code"), lambda x: x.isNotNull())
-    return filter_scheme(full.select("node_id", "parent_id", "code", "name", path.alias("path")), "LEAF").select("node_id", "parent_id", "code", "name")
+    """Each user's events as an indented scheme, and the nodes that a search shows."""
+    level = F.col("event_id") % 4
+    indent = F.when(F.col("event_id") % 3 == 0, F.repeat(F.lit("\t"), level.cast("int"))).otherwise(F.repeat(F.lit("    "), level.cast("int")))
+    line = F.concat(indent, F.lit("E"), "event_id", F.lit(" "), "event_type")
+    lines = _events(spark, sf_dir).select("user_id", F.col("event_id").alias("line_no"), line.alias("value"))
+    nodes = with_paths(scheme_from_lines(lines, "user_id"), 3, "user_id")
+    return filter_scheme(nodes, "ERR").select("user_id", "node_id", "parent_id", "code", "name")
 
 
 @query
@@ -932,6 +960,14 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.rate_limit(_events(spark, sf_dir), "user_id", "ts", "event_id", 5, 86_400).select("event_id", "user_id", "allowed", "retry_after")
 
 
+@query
+def rate_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: attempts with outcomes; an error gives its slot back 90 minutes later, others keep it."""
+    tried = _events(spark, sf_dir).withColumn("ended", F.col("ts") + F.expr("interval 90 minutes"))
+    log = ev.outcomes(tried, "user_id", "ts", "event_id", "ended", F.col("event_type") == "error")
+    return ev.rate_release(log, "user_id", "at", "row", "frees", 3, 86_400).select("user_id", "row", "allowed", "retry_after")
+
+
 def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pixels(spark, sf_dir)
     corner = p.select((F.lit(2018) + F.col("idx") % 7).cast("int").alias("year"), F.col("idx").alias("tile"), (F.col("px") * 0.1).alias("west"), (F.col("py") * 0.1).alias("south"))

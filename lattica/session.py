@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def session(name: str = "lattica", master: str | None = None, **settings: str) -> SparkSession:
@@ -33,15 +37,39 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
-def small(df: DataFrame, most: int = 10_000) -> DataFrame:
-    """``df`` marked for broadcast if it has ``most`` rows or fewer, else as it is.
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once, as a table in the shared folder."""
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
-    What is small enough to travel with the plan (1 MB) is fetched by the job that counts
-    it, and not computed again; its columns have to be referred to by name.
+
+def small(df: DataFrame, most: int = 10_000, most_bytes: int = 16 << 20) -> DataFrame:
+    """``df`` marked for broadcast if it has ``most`` rows and ``most_bytes`` bytes or fewer, else as it is.
+
+    One job both measures and fetches it: the task that holds the first rows stops at
+    either bound, so that the driver never gets more. What has been fetched travels with
+    the plan (up to 1 MB) and is not computed again; its columns have to be referred to
+    by name.
     """
-    held = df.limit(most + 1).toArrow()
-    if held.num_rows > most:
+    over = "__over"
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = size = 0
+        for batch in batches:
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            past = rows > most or size > most_bytes
+            kept = batch.slice(0, 1) if past else batch
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([past] * kept.num_rows, pa.bool_())], names=[*kept.schema.names, over])
+            if past:
+                return
+
+    names = [f"c{k}" for k in range(len(df.columns))]  # two columns may share a name
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(names, df.schema, strict=True)] + [StructField(over, BooleanType())])
+    held = df.toDF(*names).limit(most + 1).mapInArrow(bounded, schema).toArrow()
+    if pc.any(held[over]).as_py():
         return df
+    held = held.drop_columns([over])
     if held.nbytes > 1 << 20:
         return F.broadcast(df)
-    return F.broadcast(df.sparkSession.createDataFrame(held, df.schema))
+    return F.broadcast(df.sparkSession.createDataFrame(held, StructType([StructField(n, f.dataType) for n, f in zip(names, df.schema, strict=True)])).toDF(*df.columns))
