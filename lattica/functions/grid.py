@@ -21,6 +21,16 @@ def tile_lat(y: Column, z: Column) -> Column:
     return F.degrees(F.atan(F.sinh(F.lit(3.141592653589793) * (1 - 2 * y / F.pow(F.lit(2.0), z)))))
 
 
+def tile_x(lon: Column, z: Column) -> Column:
+    """Column of the map tile that holds a longitude."""
+    return F.floor((lon + 180.0) / 360.0 * F.pow(F.lit(2.0), z))
+
+
+def tile_y(lat: Column, z: Column) -> Column:
+    """Row of the map tile that holds a latitude."""
+    return F.floor((1 - F.asinh(F.tan(F.radians(lat))) / 3.141592653589793) / 2 * F.pow(F.lit(2.0), z))
+
+
 def pyramid_level(zoom: Column) -> Column:
     """Coarser by one level for two steps of zoom below 14."""
     return F.greatest(F.lit(0), F.least(F.lit(5), F.floor((F.lit(14) - zoom) / 2))).cast("int")

@@ -98,6 +98,39 @@ def knn_graph(pixels: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("source", "idx", "d2", "rank")
 
 
+def fuzzy_weights(graph: DataFrame, steps: int = 64) -> DataFrame:
+    """Weights of the edges of a neighbour graph (source, idx, d2, k edges a source): source, idx, weight.
+
+    An edge's weight falls off with its length beyond the source's shortest one, at a rate
+    that is found by bisection: the weights of a source's edges sum to the logarithm of
+    their number to base two.
+    """
+    length = F.sqrt("d2")
+    held = graph.groupBy("source").agg(F.collect_list(F.struct("idx", length.alias("d"))).alias("edges"))  # k edges
+    nearest = F.array_min(F.filter(F.transform("edges", lambda e: e["d"]), lambda d: d > 0))
+    known = held.withColumns({"near": F.coalesce(nearest, F.lit(0.0)), "goal": F.log2(F.size("edges").cast("double"))})
+    weight = lambda d, rate: F.when(d <= F.col("near"), 1.0).otherwise(F.exp((F.col("near") - d) / rate))
+    summed = lambda rate: F.aggregate("edges", F.lit(0.0), lambda s, e: s + weight(e["d"], rate))
+    none = F.lit(float("inf"))
+    state = lambda low, high, rate: F.struct(low.alias("low"), high.alias("high"), rate.alias("rate"))
+
+    def halve(s: Column, _: Column) -> Column:
+        above = summed(s["rate"]) > F.col("goal")
+        up = F.when(s["high"] == none, s["rate"] * 2).otherwise((s["rate"] + s["high"]) / 2)
+        return F.when(above, state(s["low"], s["rate"], (s["low"] + s["rate"]) / 2)).otherwise(state(s["rate"], s["high"], up))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state(F.lit(0.0), none, F.lit(1.0)), halve)["rate"]
+    rated = known.withColumn("rate", F.greatest(found, F.lit(1e-12)))
+    return rated.select("source", F.inline(F.transform("edges", lambda e: F.struct(e["idx"].alias("idx"), weight(e["d"], F.col("rate")).alias("weight")))))
+
+
+def fuzzy_union(weights: DataFrame) -> DataFrame:
+    """Undirected edges a < b: the weights of both directions as a probability that one of them holds."""
+    ends = weights.select(F.least("source", "idx").alias("a"), F.greatest("source", "idx").alias("b"), "weight").where("a <> b")
+    both = ends.groupBy("a", "b").agg(F.sum("weight").alias("s"), F.count(F.lit(1)).alias("n"), F.max("weight").alias("m"))
+    return both.select("a", "b", F.when(F.col("n") > 1, F.col("s") - F.col("m") * (F.col("s") - F.col("m"))).otherwise(F.col("s")).alias("weight"))
+
+
 def neighbourhood(pixels: DataFrame, reach: int = 1, tile: int = 32) -> DataFrame:
     """Vectors of the (2 reach + 1)^2 pixels around each, row by row, end to end; gaps beyond the edge repeat the centre.
 

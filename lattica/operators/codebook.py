@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vec import l2sq, once
 from ..session import scratch, small
+from .sample import lowest
 
 
 def train(tiled: DataFrame, k: int, per_code: int = 256, rounds: int = 20, seed: int = 42) -> DataFrame:
@@ -18,8 +19,8 @@ def train(tiled: DataFrame, k: int, per_code: int = 256, rounds: int = 20, seed:
     hash of idx, so that a task's memory does not follow the size of tiles. A tile of fewer
     distinct vectors than k has a code for each of them.
     """
-    first = Window.partitionBy("tile").orderBy(F.xxhash64("idx", F.lit(seed)), "idx")
-    sample = tiled.select("tile", "idx", "emb", F.row_number().over(first).alias("at")).where(F.col("at") <= per_code * k)
+    each = tiled.select("tile").distinct().withColumn("wanted", F.lit(per_code * k))
+    sample = lowest(tiled.select("tile", "idx", "emb"), ["tile"], each, "idx", seed, "at")
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         centres = _lloyd(np.stack(rows.sort_values("at")["emb"].to_numpy()), k, rounds)

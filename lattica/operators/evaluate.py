@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small
+from .sample import lowest
 from .search import nearest_rows
 
 PERCENTS = (1, 3, 5, 10, 20, 30, 50, 80)
@@ -34,8 +34,7 @@ def quotas(sizes: DataFrame, total: int, mode: str, least: int = 50) -> DataFram
 def stratified(rows: DataFrame, total: int, mode: str, key: str = "idx", seed: int = 42) -> DataFrame:
     """A sample by class, in the order of a hash of the key."""
     sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(key, F.lit(seed)), key)))
-    return ranked.join(small(quotas(sizes, total, mode).drop("n")), "label").where("rank <= quota").drop("rank", "quota")
+    return lowest(rows, ["label"], quotas(sizes, total, mode).select("label", F.col("quota").alias("wanted")), key, seed)
 
 
 def spatial_split(points: DataFrame, train: DataFrame, test: DataFrame) -> DataFrame:

@@ -57,11 +57,15 @@ def packed_blocks(queries: DataFrame, kept: tuple[str, ...] = ("emb", "t2")) ->
 def nearest_rows(rows: DataFrame, queries: DataFrame, k: int, value: str | None = None, block: int = 1024, sent: int = SENT) -> DataFrame:
     """The k nearest rows (idx, emb) of each query (idx, emb) by distance, then idx: source, idx, d2, and a value of the row.
 
+    Rows and queries whose vector is null or empty, or holds a null or NaN, are passed over.
     Blocks of rows meet blocks of queries, as two matrices in an Arrow batch; a task keeps
     k rows for each query it has seen, and only these are shuffled and ranked. ``sent`` blocks
     of queries are broadcast at once; more of them are as many passes over the rows' blocks.
     """
     named = F.col(value).cast("double") if value else F.lit(0.0)
+    # a vector that is not there, or has a gap, is near nothing
+    whole = F.col("emb").isNotNull() & (F.size("emb") > 0) & ~F.exists("emb", lambda x: x.isNull() | F.isnan(x))
+    rows, queries = rows.where(whole), queries.where(whole)
     n_queries, n_rows = queries.count(), rows.count()
     deal = lambda df, n, *more: df.select(F.pmod(F.xxhash64("idx"), F.lit(max(1, -(-n // block)))).alias("block"), "idx", "emb", *more)
     left = deal(rows, n_rows, named.alias("v")).groupBy("block").agg(F.collect_list(F.struct("idx", "v")).alias("r"), F.flatten(F.collect_list("emb")).alias("rv"))

@@ -25,6 +25,10 @@ STARS = """star AS (SELECT idx AS polygon, k, px + 0.63::DOUBLE + (1.5 + (idx %
 star_sides AS (SELECT a.polygon, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM star a JOIN star b ON a.polygon = b.polygon AND b.k = (a.k + 4) % 5),
 in_star AS (SELECT polygon, idx FROM px, star_sides WHERE (y1 > py + 0.5) <> (y2 > py + 0.5) AND px + 0.5 < (x2 - x1) * (py + 0.5 - y1) / (y2 - y1) + x1 GROUP BY polygon, idx HAVING count(*) % 2 = 1)"""
 
+LEVEL_ROWS = f"""lv AS (SELECT CAST(l AS INTEGER) AS level, greatest(1, 25 >> CAST(l AS INTEGER)) AS w, greatest(1, {HEIGHT} >> CAST(l AS INTEGER)) AS h, {HEIGHT} AS full_h FROM range(6) r(l)),
+places AS (SELECT level, c AS col, r AS row, CAST(floor((c + 0.5) * (25.0::DOUBLE / w)) AS BIGINT) AS px, CAST(floor((r + 0.5) * (full_h::DOUBLE / h)) AS BIGINT) AS py FROM lv, range(25) a(c), range(2000) b(r) WHERE c < w AND r < h),
+level_rows AS (SELECT level, col, row, idx, label FROM places JOIN px USING (px, py)), years(year) AS (VALUES (2023), (2024))"""
+
 
 def _book(name: str, code: str, factor: str) -> str:
     return f"""{name}_dims AS (SELECT tile, {code} AS code, unnest(emb) * {factor}::DOUBLE AS value, generate_subscripts(emb, 1) - 1 AS dim FROM tiled),
@@ -118,6 +122,17 @@ outer_ AS (SELECT label, count(*) AS length FROM (SELECT label FROM side GROUP B
         "pyramid_level": _with(f"w AS (SELECT 6 AS w, {HEIGHT} AS h, {HEIGHT} // 4 AS lh)", "SELECT CAST(c AS INTEGER) AS col, CAST(r AS INTEGER) AS row, idx FROM w, range(6) a(c), range(1000) b(r) JOIN px ON true WHERE r < lh AND px = floor((c + 0.5) * (25.0::DOUBLE / 6)) AND py = floor((r + 0.5) * (h / lh))"),
         "enlarged": _with("SELECT idx, CAST(px * 3 + a AS INTEGER) AS px, CAST(py * 3 + b AS INTEGER) AS py FROM px, range(3) x(a), range(3) y(b)"),
         "tile_window": _with("SELECT CAST(c AS INTEGER) AS col, CAST(r AS INTEGER) AS row, idx FROM range(16) a(c), range(16) b(r), px WHERE px = floor((c + 0.5) * 8 / 16) + 5 AND py = floor((r + 0.5) * 10 / 16) + 5"),
+        "image_levels": _with(LEVEL_ROWS, "SELECT 'here' AS viewport, year, level, col, row, label AS band, idx FROM level_rows, years"),
+        "tile_lookup": _with(AT, LEVEL_ROWS, """at_ AS (SELECT idx, CAST(8 + idx % 7 AS INTEGER) AS z, CAST(2023 + idx % 3 AS INTEGER) AS year, lat, lon FROM placed),
+req AS (SELECT DISTINCT year, z, CAST(floor((lon + 180) / 360 * pow(2.0, z)) AS BIGINT) AS x, CAST(floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * pow(2.0, z)) AS BIGINT) AS y FROM at_),
+box AS (SELECT req.*, CAST(greatest(0, least(5, floor((14 - z) / 2.0))) AS INTEGER) AS level, x / pow(2.0, z) * 360 - 180 AS west, (x + 1) / pow(2.0, z) * 360 - 180 AS east,
+  degrees(atan(sinh(pi() * (1 - 2 * y / pow(2.0, z))))) AS north, degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / pow(2.0, z))))) AS south FROM req),
+sized AS (SELECT box.*, 0.01::DOUBLE * (25.0::DOUBLE / w) AS a, (-0.01)::DOUBLE * (full_h::DOUBLE / h) AS e FROM box JOIN lv USING (level) JOIN years USING (year)),
+win AS (SELECT year, z, x, y, level, round_even((west + 1.0) / a, 0) AS x0, round_even((north - 52.0) / e, 0) AS y0, round_even((east + 1.0) / a - (west + 1.0) / a, 0) AS w, round_even((south - 52.0) / e - (north - 52.0) / e, 0) AS h FROM sized),
+spots AS (SELECT win.*, c, r, CAST(floor((c + 0.5) * w / 16) + x0 AS BIGINT) AS col, CAST(floor((r + 0.5) * h / 16) + y0 AS BIGINT) AS row FROM win, range(16) i(c), range(16) j(r) WHERE w > 0 AND h > 0),
+seen AS (SELECT year, z, x, y, count(*) AS n, CAST(sum(idx * (c + 16 * r)) AS BIGINT) AS total FROM spots JOIN level_rows USING (level, col, row) GROUP BY ALL)""",
+            "SELECT year, z, x, y, coalesce(n, 0) AS n, total FROM req LEFT JOIN seen USING (year, z, x, y)"),
+        "image_bounds": _with(f"n AS (SELECT {HEIGHT} AS h), years(year) AS (VALUES (2023), (2024))", "SELECT 'here' AS viewport, year, -1.0::DOUBLE AS west, round(52 - 0.01::DOUBLE * h, 6) AS south, round(-1 + 0.01::DOUBLE * 25, 6) AS east, 52.0::DOUBLE AS north, round((52 - 0.01::DOUBLE * h + 52) / 2, 6) AS center_lat, round((-1 + (-1 + 0.01::DOUBLE * 25)) / 2, 6) AS center_lon FROM n, years"),
         "crop": _with("SELECT idx, px - 5 AS px, py - 4 AS py FROM px WHERE px >= 5 AND px < 15 AND py >= 4 AND py < 11"),
         "tile_bbox": _with("t AS (SELECT idx, CAST(6 + idx % 12 AS INTEGER) AS z, CAST(pow(2, 6 + idx % 12) AS BIGINT) AS side FROM px)",
             "SELECT idx, z, round((idx * 3) % side / pow(2.0, z) * 360 - 180, 6) AS west, round(degrees(atan(sinh(pi() * (1 - 2 * ((idx * 2 + 1) % side) / pow(2.0, z))))), 6) AS north, CAST(greatest(0, least(5, floor((14 - z) / 2.0))) AS INTEGER) AS level FROM t"),
@@ -203,6 +218,18 @@ UNION ALL SELECT user_id, n, row, CASE WHEN frees IS NOT NULL THEN list_filter(h
   CASE WHEN frees IS NOT NULL OR len(h) < 3 THEN 0 ELSE greatest(1, CAST(trunc(86400 - (moment - h[1].t)) AS BIGINT)) END
 FROM (SELECT e.*, list_filter(r.held, lambda x: e.moment - x.t < 86400) AS h FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
 SELECT user_id, row, allowed, retry_after FROM r""",
+        "knn_weights": "WITH RECURSIVE " + PX + """,
+ranked AS (SELECT p.idx AS source, q.idx, list_distance(p.emb, q.emb) AS d, row_number() OVER (PARTITION BY p.idx ORDER BY list_distance(p.emb, q.emb), q.idx) AS k FROM px p JOIN px q ON p.idx <> q.idx),
+edge AS (SELECT source, idx, d, min(d) FILTER (WHERE d > 0) OVER (PARTITION BY source) AS near FROM ranked WHERE k <= 15),
+held AS (SELECT source, list(d) AS ds, min(near) AS near FROM edge GROUP BY source),
+half(source, step, low, high, rate) AS (SELECT source, 0, 0.0::DOUBLE, 'inf'::DOUBLE, 1.0::DOUBLE FROM held
+UNION ALL SELECT source, step + 1, CASE WHEN s > log2(15.0) THEN low ELSE rate END, CASE WHEN s > log2(15.0) THEN rate ELSE high END,
+  CASE WHEN s > log2(15.0) THEN (low + rate) / 2 WHEN high = 'inf'::DOUBLE THEN rate * 2 ELSE (rate + high) / 2 END
+FROM (SELECT half.*, list_sum(list_transform(ds, lambda d: CASE WHEN d <= near THEN 1.0::DOUBLE ELSE exp((near - d) / rate) END)) AS s FROM half JOIN held USING (source) WHERE step < 64)),
+w AS (SELECT source, idx, CASE WHEN d <= near THEN 1.0::DOUBLE ELSE exp((near - d) / rate) END AS weight FROM edge JOIN half USING (source) WHERE step = 64),
+undirected AS (SELECT least(source, idx) AS a, greatest(source, idx) AS b, 1 - product(1 - weight) AS weight FROM w GROUP BY ALL),
+share AS (SELECT source, count(*) AS degree, round(sum(weight), 4) AS mass FROM (SELECT a AS source, weight FROM undirected UNION ALL SELECT b, weight FROM undirected) GROUP BY source)
+SELECT source, count(*) AS n, round(log2(15.0), 5) AS total, round(max(weight), 6) AS top, degree, mass FROM w JOIN share USING (source) GROUP BY ALL""",
         "name_rules": """WITH n AS (SELECT *, event_type || CASE WHEN event_id % 7 = 0 THEN ' x' ELSE '' END AS base, CASE WHEN event_id % 3 = 0 THEN '' ELSE '_v' || (event_id % 20) END AS tail FROM events),
 h AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(base || tail, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: ((a * 31 + b + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS hashed FROM n)
 SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN 'u' || user_id || '_x_at_' || event_type || '-org_net' END AS folder, event_id % 7 <> 0 AS valid, base, CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 20 END AS INTEGER) AS variant,

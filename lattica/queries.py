@@ -11,7 +11,7 @@ from .functions import grid as g
 from .functions import text as tx
 from .functions.vec import bounds, by_dimension, dequantise, l2sq, literal, mean_vector
 from .model import GRID, pixels, second_year
-from .operators import catalog, change, cluster, codebook, evaluate, geom, labels, quant, raster, rings, search
+from .operators import catalog, change, cluster, codebook, evaluate, geom, labels, pyramid, quant, raster, rings, search
 from .plans import evaluation, ingest
 from .plans.evaluation import labelled_pixels
 from .session import scratch, small, stored
@@ -152,6 +152,17 @@ def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.knn_graph(p, p.where("idx % 20 = 0"), 5).select("source", "rank", "idx", _r("d2"))
 
 
+@query
+def knn_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3: weights of the graph of all pixels' 15 neighbours; each source's sum, and its share of the undirected edges."""
+    p = pixels(spark, sf_dir)
+    found = stored(cluster.fuzzy_weights(cluster.knn_graph(p, p, 15)))
+    edges = cluster.fuzzy_union(found)
+    shares = edges.select(F.explode(F.array("a", "b")).alias("source"), F.col("weight").alias("w"))
+    own = found.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total"), F.max("weight").alias("top"))
+    return own.join(shares.groupBy("source").agg(F.count(F.lit(1)).alias("degree"), F.sum("w").alias("mass")), "source").select("source", "n", _r("total", 5), _r("top"), "degree", _r("mass", 4))
+
+
 # Vectors and quantisation
 
 
@@ -388,6 +399,51 @@ def tile_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.window(pixels(spark, sf_dir).select("idx", "px", "py"), GRID, -0.95, 51.85, -0.87, 51.95, 16).select("col", "row", "idx")
 
 
+def _images(p: DataFrame) -> DataFrame:
+    """Size and transform of one viewport's image in two years."""
+    return p.agg((F.max("py") + 1).alias("height")).select(
+        F.lit("here").alias("viewport"), F.explode(F.array(F.lit(2023), F.lit(2024))).alias("year"), F.lit(GRID.width).alias("width"), "height",
+        F.lit(GRID.a).alias("a"), F.lit(GRID.c).alias("c"), F.lit(GRID.e).alias("e"), F.lit(GRID.f).alias("f"),
+    )
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every level of two years' images as a table, and the table of their sizes."""
+    p = pixels(spark, sf_dir)
+    images = _images(p)
+    image = p.select(F.lit("here").alias("viewport"), F.explode(F.array(F.lit(2023), F.lit(2024))).alias("year"), "px", "py", F.col("label").alias("band"), "idx")
+    path = scratch(spark, "levels")
+    pyramid.write_levels(pyramid.levels(image, images), path)
+    return spark.read.parquet(path), pyramid.sizes(images)
+
+
+@query
+def image_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: every level of two images in one table."""
+    found, _ = _levels(spark, sf_dir)
+    return found.select("viewport", F.col("year").cast("int").alias("year"), F.col("level").cast("int").alias("level"), "col", "row", "band", "idx")
+
+
+@query
+def tile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map tile around every pixel, at seven zooms, and one of a year that is not there."""
+    found, levels_of = _levels(spark, sf_dir)
+    z = (F.lit(8) + F.col("idx") % 7).cast("int")
+    at = pixels(spark, sf_dir).select("idx", z.alias("z"), GRID.lat(F.col("px"), F.col("py")).alias("lat"), GRID.lon(F.col("px"), F.col("py")).alias("lon"))
+    tile = at.select("idx", "z", g.tile_x(F.col("lon"), F.col("z")).alias("x"), g.tile_y(F.col("lat"), F.col("z")).alias("y"))
+    requests = tile.select(F.lit("here").alias("viewport"), (F.lit(2023) + F.col("idx") % 3).cast("int").alias("year"), "z", "x", "y").distinct()
+    shown = pyramid.tiles(found, levels_of, requests, 16)
+    counted = shown.groupBy("year", "z", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("idx") * (F.col("tile_col") + 16 * F.col("tile_row"))).alias("total"))
+    return requests.join(counted, ["year", "z", "x", "y"], "left").select(F.col("year").cast("int").alias("year"), "z", "x", "y", F.coalesce("n", F.lit(0)).alias("n"), "total")
+
+
+@query
+def image_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box and centre of each image, from its level 0."""
+    found = pyramid.bounds(pyramid.sizes(_images(pixels(spark, sf_dir))))
+    return found.select("viewport", "year", *(_r(x) for x in ("west", "south", "east", "north", "center_lat", "center_lon")))
+
+
 @query
 def crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R5."""

@@ -66,7 +66,7 @@ def small(df: DataFrame, most: int = 10_000, most_bytes: int = 16 << 20) -> Data
 
     names = [f"c{k}" for k in range(len(df.columns))]  # two columns may share a name
     schema = StructType([StructField(n, f.dataType) for n, f in zip(names, df.schema, strict=True)] + [StructField(over, BooleanType())])
-    held = df.toDF(*names).limit(most + 1).mapInArrow(bounded, schema).toArrow()
+    held = df.toDF(*names).limit(most + 1).repartition(1).mapInArrow(bounded, schema).toArrow()
     if pc.any(held[over]).as_py():
         return df
     held = held.drop_columns([over])
