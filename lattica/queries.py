@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import grid as g
@@ -21,6 +21,7 @@ from .sources.labels import labels_from_geojson, labels_from_table, read_labels
 from .sources.schemes import filter_scheme, scheme_from_lines, with_paths
 from .sources.tables import codebook_config, read_codebooks, read_pixels, read_vectors
 from .streaming import events as ev
+from .streaming import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -990,6 +991,26 @@ def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.score_table(e, ["click", "view", "error"])
 
 
+@query
+def run_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as the text of a run, in chunks that end within lines; points of its models' curves."""
+    own = Window.partitionBy("user_id").orderBy("event_id")
+    e = _events(spark, sf_dir).select("user_id", "event_id", "event_type", "value", (F.row_number().over(own) - 1).alias("k"))
+    models = F.array(*map(F.lit, ("click", "view", "error")))
+    kind = lambda name, *more: F.to_json(F.struct(F.lit(name).alias("event"), *more))
+    start = kind("start", F.when(F.col("user_id") % 3 == 0, "regression").otherwise("classification").alias("task"), (F.col("user_id") + 1000).alias("total_labelled_pixels"), models.alias("classifiers"))
+    score = F.struct(*((F.col("value") / d).alias(x) for x, d in (("mean_f1", 100.0), ("std_f1", 400.0), ("mean_r2", 50.0), ("std_r2", 20.0))))
+    scored = kind("progress", (F.col("k") % 10).alias("pct"), (F.col("event_id") % 500).alias("pixel_train_count"), F.create_map(F.col("event_type"), score).alias("classifiers"))
+    whole = F.when(F.col("k") % 10 == 0, start).when(F.col("event_type") == "signup", kind("heartbeat")).otherwise(scored)
+    line = F.concat(whole, F.when(F.col("event_id") % 17 == 0, "}{").otherwise(""), F.lit("\n"))
+    half = F.floor(F.length("line") / 2).cast("int")
+    lines = e.select("user_id", "k", line.alias("line")).select("user_id", "k", "line", F.substring("line", F.lit(1), half).alias("a"), F.substring("line", half + 1, F.length("line")).alias("b"))
+    # a chunk has the second half of the line before, and the first half of its own
+    pieces = lines.select("user_id", F.inline(F.array(F.struct(F.col("k").alias("seq"), F.lit(1).alias("part"), F.col("a").alias("text")), F.struct((F.col("k") + 1).alias("seq"), F.lit(0).alias("part"), F.col("b").alias("text")))))
+    chunks = pieces.groupBy("user_id", "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "").alias("text"))
+    return runs.curve_points(chunks, "user_id", "seq", "text").select("user_id", "model", "pct", *(_r(x) for x in ("x", "mean", "low", "high")))
+
+
 @query
 def progress_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last row of each user, with progress in percent."""
