@@ -10,6 +10,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import perceptron
 from .sample import lowest
 from .search import nearest_rows
 
@@ -117,6 +118,9 @@ def fit_predict(name: str, train: DataFrame, test: DataFrame, target: str = "lab
     if name in ("nn", "nn_reg"):
         found = knn(train, test, params.get("n_neighbors", 5), target if name == "nn_reg" else None)
         return test.join(found, "idx")
+    if name == "mlp_reg":
+        fitted = perceptron.fit(train, target, tuple(params.get("hidden", (64, 32))), params.get("max_iter", 100), params.get("alpha", 1e-4))
+        return test.join(fitted(test.select("idx", "emb")).select("idx", "prediction"), "idx")
     inputs = len(train.select("emb").first()["emb"])
     classes = int(train.agg(F.max(target)).first()[0]) + 1 if not name.endswith("_reg") else 1
     ready = lambda df: df.withColumns({"features": array_to_vector("emb"), "label": F.col(target).cast("double")})

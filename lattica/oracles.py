@@ -235,6 +235,7 @@ s AS (SELECT *, max(CASE WHEN k % 10 = 0 AND event_id % 17 <> 0 THEN k END) OVER
 p AS (SELECT user_id, event_type AS model, CAST(k % 10 AS DOUBLE) AS pct, (event_id % 500) / (user_id + 1000.0::DOUBLE) * 100 AS x, user_id % 3 = 0 AS reg, value / 100.0::DOUBLE AS f, value / 400.0::DOUBLE AS fs, value / 50.0::DOUBLE AS r, value / 20.0::DOUBLE AS rs
 FROM s WHERE k % 10 <> 0 AND event_type IN ('click', 'view', 'error') AND event_id % 17 <> 0 AND started IS NOT NULL)
 SELECT user_id, model, pct, round(x, 6) AS x, round(CASE WHEN reg THEN r ELSE f END, 6) AS mean, round(CASE WHEN reg THEN r - rs ELSE greatest(0, f - fs) END, 6) AS low, round(CASE WHEN reg THEN r + rs ELSE least(1, f + fs) END, 6) AS high FROM p""",
+        "mlp_regression": _with("SELECT idx, round(abs(emb[1]) * 8 + emb[2] * emb[3] * 40 + CASE WHEN emb[4] > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END, 6) AS target, true AS predicted FROM px WHERE idx % 5 = 0"),
         "name_rules": """WITH n AS (SELECT *, event_type || CASE WHEN event_id % 7 = 0 THEN ' x' ELSE '' END AS base, CASE WHEN event_id % 3 = 0 THEN '' ELSE '_v' || (event_id % 20) END AS tail FROM events),
 h AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(base || tail, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: ((a * 31 + b + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS hashed FROM n)
 SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN 'u' || user_id || '_x_at_' || event_type || '-org_net' END AS folder, event_id % 7 <> 0 AS valid, base, CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 20 END AS INTEGER) AS variant,

@@ -946,6 +946,16 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(r.select(F.lit("rf_reg").alias("model"), F.col("rmse").alias("score")))
 
 
+@query
+def mlp_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2: the perceptron regressor's predictions of the held-out fold; rows and targets are held against SQL, tests hold the fit."""
+    x = lambda k: F.col("emb")[k]
+    planted = (F.abs(x(0)) * 8 + x(1) * x(2) * 40 + F.when(x(3) > 0, 1.0).otherwise(-1.0)).alias("target")
+    train, test = (d.select("idx", "emb", planted) for d in _folds(pixels(spark, sf_dir)))
+    found = evaluate.fit_predict("mlp_reg", train, test, "target", hidden=(16,), max_iter=15)
+    return found.select("idx", _r("target"), (F.col("prediction").isNotNull() & ~F.isnan("prediction")).alias("predicted"))
+
+
 @query
 def truth_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of exact neighbours on made-up truth; near chance on random labels, high on clusters."""
