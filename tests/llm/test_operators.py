@@ -169,26 +169,29 @@ def test_pii_rules(text):
 
 @pytest.fixture(scope="module")
 def tagger():
-    return pii.train(pii.labelled_texts(3_000))  # as find_pii() does by default
+    return pii.default_tagger()
 
 
 def test_pii_learns(tagger):
-    """Held-out windows, in prose: recall and precision of what the network alone finds."""
-    right = total = found = 0
+    """Windows that were not used for any choice, in prose: recall by kind and precision of what the network alone finds."""
+    right, total, found = collections.Counter(), collections.Counter(), 0
     before = "plain words here and " * 3
-    test = pii.labelled_texts(300, seed=99)
+    test = pii.labelled_texts(800, seed=4321)
     texts = [before + t + " and so on it goes" for t, _ in test]
     for (text, spans), got_ in zip(test, pii.added_spans(texts, [[] for _ in texts], tagger), strict=True):
         whole = {(k, a + len(before), b + len(before)) for k, a, b in spans if a > 0 and b < len(text)}
         cut = [(a + len(before), b + len(before)) for _, a, b in spans if a == 0 or b == len(text)]
         got_ = {x for x in got_ if not any(x[1] < b and a < x[2] for a, b in cut)}
-        right, total, found = right + len(whole & got_), total + len(whole), found + len(got_)
-    assert right >= 0.8 * total and right >= 0.9 * found
+        right.update(k for k, _, _ in whole & got_)
+        total.update(k for k, _, _ in whole)
+        found += len(got_)
+    print({k: round(right[k] / total[k], 3) for k in pii.KINDS}, right.total() / total.total(), right.total() / found)
+    assert all(right[k] >= 0.9 * total[k] for k in pii.KINDS) and right.total() >= 0.95 * found
 
 
 def test_pii_adds_what_rules_miss(spark, tagger):
     """A planted table: base spans stay, forms that rules miss are added, clean rows have none."""
-    forms = ["ann.miller at shop dot com", "lee[at]mail[dot]org", "4111.1111.1111.1111", "4111/1111/1111/1111", "(555) 010-1234", "212-555-0188", "10 dot 20 dot 30 dot 40", "10[.]2[.]3[.]4"]
+    forms = ["ann.miller at shop dot com", "john at example.com", "info AT firm.org", "lee[at]mail[dot]org", "4111.1111.1111.1111", "4111/1111/1111/1111", "(555) 010-1234", "212-555-0188", "10 dot 20 dot 30 dot 40", "10[.]2[.]3[.]4"]
     prose = "the man of the house was there with us and then for all the days "
     rows = [(i, prose * (1 + i % 30) + "call or write " + f + " for more of it. " + prose + "a@b.cd", "clash") for i, f in enumerate(forms * 4)]
     clean = ["paid on 2024-05-06 at noon", "token = \"" + "9f8e7d6c5b" * 4 + "\"", "number 4283063954042639 here", "version 2.0, Apache License", "meet at the dot of ten", prose * 400]
