@@ -140,9 +140,9 @@ def learning_curve(rows: DataFrame, names: tuple[str, ...] = ("nn",), percents:
             yield percent, name, f1_summary(fit_predict(name, train, test))
 
 
-def cross_validated(rows: DataFrame, name: str, k: int = 5, seed: int = 42, target: str = "label") -> DataFrame:
-    """Predictions for all rows, each by a model of the other folds."""
-    split = rows.withColumn("fold", fold(F.col("idx"), k, seed))
+def cross_validated(rows: DataFrame, name: str, k: int = 5, seed: int = 42, target: str = "label", folds: Column | None = None) -> DataFrame:
+    """Predictions for all rows, each by a model of the other folds; ``folds`` (0 to k - 1) in place of those by hash."""
+    split = rows.withColumn("fold", fold(F.col("idx"), k, seed) if folds is None else folds)
     parts = [fit_predict(name, split.where(F.col("fold") != i), split.where(F.col("fold") == i), target) for i in range(k)]
     out = parts[0]
     for part in parts[1:]:

@@ -196,7 +196,17 @@ SELECT user_id, CAST(event_id AS INTEGER) AS node_id, CAST(parent AS INTEGER) AS
 (SELECT 'equal' AS mode, label, n, 1.0::DOUBLE AS w FROM s UNION ALL SELECT 'sqrt', label, n, sqrt(n) FROM s UNION ALL SELECT 'proportional', label, n, n::DOUBLE FROM s))"""),
         "spatial_split": _with(AT, """m AS (SELECT idx, (lat BETWEEN 51.8949 AND 52.001 AND lon BETWEEN -1.001 AND -0.8951) OR (lat BETWEEN 51.9549 AND 52.001 AND lon BETWEEN -0.8551 AND -0.7949) AS a, lat BETWEEN 51.8449 AND 51.9351 AND lon BETWEEN -0.9251 AND -0.8249 AS b FROM placed)""",
             "SELECT idx, CASE WHEN a THEN 'train' ELSE 'test' END AS split FROM m WHERE a OR b"),
-        "truth_pixels": _with(SHAPES, "SELECT idx, CAST(max(polygon) * 10 AS INTEGER) AS label FROM inside GROUP BY idx"),
+        "truth_pixels": _with(STARS, "SELECT idx, CAST(max(polygon) % 7 AS INTEGER) AS label FROM in_star GROUP BY idx"),
+        "kfold_scores": _with("""near AS (SELECT t.idx AS tid, t.label AS tlabel, r.label, row_number() OVER (PARTITION BY t.idx ORDER BY list_distance(t.emb, r.emb), r.idx) AS k FROM px t JOIN px r ON t.idx % 5 <> r.idx % 5),
+votes AS (SELECT tid, tlabel, label, count(*) AS n FROM near WHERE k <= 5 GROUP BY ALL), predicted AS (SELECT tid AS idx, tlabel AS label, arg_min(label, n * -1000 + label) AS prediction FROM votes GROUP BY ALL),
+scores AS (SELECT class, sum(a) AS support, sum(c) AS claimed, sum(h) AS hits FROM (SELECT label AS class, 1 AS a, 0 AS c, CASE WHEN label = prediction THEN 1 ELSE 0 END AS h FROM predicted UNION ALL SELECT prediction, 0, 1, 0 FROM predicted) GROUP BY class),
+classes AS (SELECT class, support, 2 * hits / (claimed + support) AS f1 FROM scores WHERE support > 0)""",
+            "SELECT round(avg(f1), 4) AS macro_f1, round(sum(f1 * support) / sum(support), 4) AS weighted_f1, (SELECT round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 4) FROM predicted) AS accuracy FROM classes"),
+        "label_export": _with(AT, "SELECT idx AS label_id, CASE WHEN idx % 4 <> 0 THEN 'n ' || label ELSE 'Imported' END AS name, '#3388ff' AS color, 'point' AS type, CASE WHEN idx % 3 <> 0 THEN round(lat, 6) END AS lat, CASE WHEN idx % 5 = 0 THEN 1.25::DOUBLE ELSE 0.0::DOUBLE END AS threshold, true AS visible FROM placed"),
+        "viewport_texts": _with(AT, "s AS (SELECT *, CASE WHEN idx % 7 = 0 THEN -0.1::DOUBLE ELSE 0.1::DOUBLE END AS d FROM placed)",
+            """SELECT 'v' || idx AS viewport_id, round(lat - d, 4) AS min_lat, CASE WHEN idx % 13 <> 0 THEN round(lat + d, 4) END AS max_lat, CASE WHEN idx % 2 = 0 THEN 7.5::DOUBLE ELSE 10.0::DOUBLE END AS size_km,
+CASE WHEN idx % 13 = 0 THEN 'fields are missing' WHEN idx % 11 = 0 THEN 'a latitude is out of range' WHEN idx % 7 = 0 THEN 'latitudes are not in order' END AS problem FROM s"""),
+        "result_files": "SELECT event_type AS field, CAST(2020 + user_id % 3 AS INTEGER) AS year, CASE WHEN user_id % 2 = 0 THEN 'classification' ELSE 'regression' END AS task, count(*) AS n, round(avg(value), 6) AS score, CAST(count(DISTINCT user_id % 4) AS INTEGER) AS models FROM events GROUP BY 1, 2, 3",
         "field_profile": "SELECT count(*) AS total, count(l) AS non_null, count(DISTINCT l) AS unique_count FROM (SELECT CASE WHEN vec_id % 11 <> 0 THEN label END AS l FROM embeddings)",
         "class_counts": "SELECT label AS class, count(*) AS n, count(*) < 50 AS excluded FROM embeddings GROUP BY label",
         "event_lines": "SELECT event_type AS event, (event_id % 4)::DOUBLE AS pct, count(*) AS n FROM events WHERE event_id % 9 <> 0 AND event_id % 10 <> 0 GROUP BY ALL",

@@ -15,11 +15,14 @@ from .operators import catalog, change, cluster, codebook, evaluate, geom, label
 from .plans import evaluation, ingest
 from .plans.evaluation import labelled_pixels
 from .session import scratch, small, stored
+from .sinks import bundles
 from .sinks import tables as sink_tables
 from .sinks import texts
-from .sources.labels import labels_from_geojson, labels_from_table, read_labels
+from .sources.labels import labels_from_export, labels_from_geojson, labels_from_table, read_labels
+from .sources import shapes
 from .sources.schemes import filter_scheme, scheme_from_lines, with_paths
-from .sources.tables import codebook_config, read_codebooks, read_pixels, read_vectors
+from .sources.tables import codebook_config, read_codebooks, read_pixels, read_results, read_vectors
+from .sources.viewports import parse_viewports
 from .streaming import events as ev
 from .streaming import runs
 
@@ -664,6 +667,47 @@ def label_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.recomputed(p, mine.unionByName(placed, allowMissingColumns=True), GRID)
 
 
+@query
+def label_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as export documents, one for each of their classes, written as text and read again with defaults."""
+    p = pixels(spark, sf_dir)
+    lat = F.when(F.col("idx") % 3 != 0, F.round(GRID.lat(F.col("px"), F.col("py")), 6))
+    label = F.struct(F.col("idx").alias("id"), F.when(F.col("idx") % 4 != 0, F.concat(F.lit("n "), "label")).alias("name"), lat.alias("lat"), F.when(F.col("idx") % 5 == 0, F.lit(1.25)).alias("threshold"))
+    documents = p.groupBy("label").agg(F.to_json(F.struct(F.collect_list(label).alias("labels"))).alias("value")).select("value")  # a document is one class
+    path = scratch(spark, "labels")
+    documents.write.text(path)
+    found = labels_from_export(spark.read.text(path))
+    return found.select("label_id", "name", "color", "type", "lat", "threshold", "visible")
+
+
+@query
+def viewport_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Viewport descriptions around every pixel, some of them wrong, and what is wrong with them."""
+    at = pixels(spark, sf_dir).select("idx", GRID.lat(F.col("px"), F.col("py")).alias("lat"), GRID.lon(F.col("px"), F.col("py")).alias("lon"))
+    number = lambda x: F.format_string("%.4f°", x)
+    shift = F.when(F.col("idx") % 7 == 0, -0.1).otherwise(0.1)
+    lines = (
+        F.concat(F.lit("Viewport ID: v"), "idx"), F.concat(F.lit("Latitude: "), number(F.when(F.col("idx") % 11 == 0, 95.0).otherwise(F.col("lat")))), F.concat(F.lit("Longitude: "), number(F.col("lon"))),
+        F.concat(F.lit("Min Latitude: "), number(F.col("lat") - shift)), F.when(F.col("idx") % 13 == 0, F.lit("")).otherwise(F.concat(F.lit("Max Latitude: "), number(F.col("lat") + shift))),
+        F.concat(F.lit("Min Longitude: "), number(F.col("lon") - 0.2)), F.concat(F.lit("Max Longitude: "), number(F.col("lon") + 0.2)), F.when(F.col("idx") % 2 == 0, F.lit("Size: 7.5km")).otherwise(F.lit("")),
+    )
+    found = parse_viewports(at.select(F.concat_ws("\n", *lines).alias("value")))
+    return found.select("viewport_id", _r("min_lat"), _r("max_lat"), "size_km", "problem")
+
+
+@query
+def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of runs written as JSON, a folder for each field, year and task, and read again."""
+    e = _events(spark, sf_dir)
+    results = e.groupBy(F.col("event_type").alias("field"), (F.lit(2020) + F.col("user_id") % 3).cast("int").alias("year"), F.when(F.col("user_id") % 2 == 0, "classification").otherwise("regression").alias("task")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("score"), F.sort_array(F.collect_set(F.col("user_id") % 4)).alias("models")
+    )
+    path = scratch(spark, "results")
+    sink_tables.write_results(results, path)
+    found = read_results(spark, path)
+    return found.select("field", F.col("year").cast("int").alias("year"), "task", "n", "score", F.size("models").alias("models"))
+
+
 @query
 def label_crud(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels added, renamed, hidden and removed."""
@@ -916,9 +960,24 @@ def spatial_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def truth_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels labelled by the polygons over them."""
-    shapes = _polygons(spark).withColumn("label", F.col("polygon") * 10)
-    return labelled_pixels(pixels(spark, sf_dir), shapes).select("idx", F.col("label").cast("int").alias("label"))
+    """A polygon for every pixel, written to zipped shapefiles and read again; pixels labelled by those over them."""
+    p = pixels(spark, sf_dir)
+    features = _stars(p).select(
+        F.col("polygon").alias("feature_id"), F.transform("vertices", lambda v: F.struct(GRID.lon(v["x"], v["y"]).alias("lon"), GRID.lat(v["x"], v["y"]).alias("lat"))).alias("vertices"),
+        F.create_map(F.lit("id"), F.col("polygon").cast("string"), F.lit("class"), (F.col("polygon") % 7).cast("string")).alias("attrs"),
+    )
+    found = shapes.shapes_in(stored(bundles.shapefile_archives(features, 8)))
+    place = F.transform("vertices", lambda v: F.struct(((v["lon"] - GRID.c) / GRID.a).alias("x"), ((v["lat"] - GRID.f) / GRID.e).alias("y")))
+    truth = found.select(F.col("attrs")["id"].cast("long").alias("polygon"), F.col("attrs")["class"].cast("int").alias("label"), place.alias("vertices"))
+    return labelled_pixels(p, truth).select("idx", "label")
+
+
+@query
+def kfold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: five folds by idx, each predicted by exact neighbours in the others."""
+    rows = pixels(spark, sf_dir).select("idx", "emb", "label")
+    found = evaluate.cross_validated(rows, "nn", 5, folds=(F.col("idx") % 5).cast("int"))
+    return evaluate.f1_summary(found).select(_r("macro_f1", 4), _r("weighted_f1", 4), _r("accuracy", 4))
 
 
 @query
@@ -936,7 +995,7 @@ def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trained models side by side; tests check their properties."""
+    """Trained models side by side; tests check their properties."""
     train, test = (x.select("idx", "emb", "label", (F.col("emb")[0] * 10 + F.col("label")).alias("target")) for x in _folds(pixels(spark, sf_dir)))
     out = None
     for name, params in (("nn", {}), ("rf", {"n_estimators": 10, "max_depth": 5}), ("mlp", {"hidden": (16,), "max_iter": 20})):

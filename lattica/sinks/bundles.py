@@ -8,6 +8,9 @@ import struct
 import zipfile
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def pack_bundle(meta: dict, arrays: list[np.ndarray]) -> bytes:
@@ -36,6 +39,20 @@ def _shape_file(records: list[bytes], kind: int, box: tuple[float, float, float,
     return header(at) + body, header(50 + 4 * len(records)) + index
 
 
+def shapefile_archives(features: DataFrame, archives: int) -> DataFrame:
+    """Features (feature_id, vertices of lon and lat, attrs) as zipped shapefiles (path, content), dealt out by their id.
+
+    A task holds one archive at a time: choose ``archives`` so that one of them is small.
+    """
+
+    def make(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        held = [([(v["lon"], v["lat"]) for v in r.vertices], dict(r.attrs)) for r in rows.sort_values("feature_id").itertuples()]
+        return pd.DataFrame({"path": [f"shapes-{key[0]}.zip"], "content": [shapefile_zip(held)]})
+
+    dealt = features.withColumn("archive", F.pmod(F.col("feature_id"), F.lit(archives)))
+    return dealt.groupBy("archive").applyInPandas(make, "path string, content binary")
+
+
 def shapefile_zip(features: list[tuple[list[tuple[float, float]], dict[str, str]]]) -> bytes:
     """Points (one vertex) and polygons with text attributes as zipped shapefiles, one for each type there is."""
     out = io.BytesIO()

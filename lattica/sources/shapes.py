@@ -66,5 +66,9 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_shapes(spark: SparkSession, path: str) -> DataFrame:
     """Features of zipped shapefiles in degrees: feature_id, type, vertices, attrs; each archive is read by one task."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return shapes_in(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def shapes_in(files: DataFrame) -> DataFrame:
+    """Features of archives that are rows (path, content)."""
     return files.mapInPandas(_rows, "path string, feature_id long, type string, vertices array<struct<lon:double,lat:double>>, attrs map<string,string>")
