@@ -246,6 +246,14 @@ p AS (SELECT user_id, event_type AS model, CAST(k % 10 AS DOUBLE) AS pct, (event
 FROM s WHERE k % 10 <> 0 AND event_type IN ('click', 'view', 'error') AND event_id % 17 <> 0 AND started IS NOT NULL)
 SELECT user_id, model, pct, round(x, 6) AS x, round(CASE WHEN reg THEN r ELSE f END, 6) AS mean, round(CASE WHEN reg THEN r - rs ELSE greatest(0, f - fs) END, 6) AS low, round(CASE WHEN reg THEN r + rs ELSE least(1, f + fs) END, 6) AS high FROM p""",
         "mlp_regression": _with("SELECT idx, round(abs(emb[1]) * 8 + emb[2] * emb[3] * 40 + CASE WHEN emb[4] > 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END, 6) AS target, true AS predicted FROM px WHERE idx % 5 = 0"),
+        "point_fetch": _with(AT, """t AS (SELECT *, CAST(py // 8 * 4 + px // 8 AS INTEGER) AS tile FROM placed),
+q AS (SELECT idx AS point, CASE WHEN idx % 17 = 0 THEN 95.0::DOUBLE WHEN idx % 23 <> 0 THEN lat - 0.003::DOUBLE END AS lat, CASE WHEN idx % 19 = 0 THEN lon + 0.003::DOUBLE + 10 ELSE lon + 0.003::DOUBLE END AS lon, tile AS own FROM t),
+b AS (SELECT *, lat IS NOT NULL AND lat <= 90 AS good, idx_far AS far FROM (SELECT q.*, point % 19 = 0 AS idx_far FROM q)),
+o AS (SELECT *, CASE WHEN NOT good THEN 'bad request' WHEN far THEN 'no coverage' WHEN own % 5 = 3 THEN 'timed out' WHEN own % 5 = 4 THEN 'failed' ELSE 'ok' END AS status,
+  1.5 / 111.32::DOUBLE AS dy, 1.5 / (111.32::DOUBLE * cos(radians(lat))) AS dx FROM b),
+hit AS (SELECT point, count(*) AS n, CAST(sum(idx) AS BIGINT) AS total FROM o JOIN t ON t.tile = o.own AND t.lon BETWEEN o.lon - dx AND o.lon + dx AND t.lat BETWEEN o.lat - dy AND o.lat + dy WHERE status = 'ok' GROUP BY point)""",
+            """SELECT point, status, CASE WHEN good AND NOT far THEN own END AS tile, CASE WHEN status = 'ok' AND own % 2 = 0 THEN round(-1.0 + (own % 4) * 8 * 0.01::DOUBLE, 6) END AS origin_lon,
+CASE WHEN good THEN round(lon - dx, 6) END AS west, CASE WHEN good THEN round(lat + dy, 6) END AS north, coalesce(n, 0) AS n, total FROM o LEFT JOIN hit USING (point)"""),
         "name_rules": """WITH n AS (SELECT *, event_type || CASE WHEN event_id % 7 = 0 THEN ' x' ELSE '' END AS base, CASE WHEN event_id % 3 = 0 THEN '' ELSE '_v' || (event_id % 20) END AS tail FROM events),
 h AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(base || tail, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: ((a * 31 + b + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS hashed FROM n)
 SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN 'u' || user_id || '_x_at_' || event_type || '-org_net' END AS folder, event_id % 7 <> 0 AS valid, base, CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 20 END AS INTEGER) AS variant,

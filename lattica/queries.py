@@ -11,7 +11,7 @@ from .functions import grid as g
 from .functions import text as tx
 from .functions.vec import bounds, by_dimension, dequantise, l2sq, literal, mean_vector
 from .model import GRID, pixels, second_year
-from .operators import catalog, change, cluster, codebook, evaluate, geom, labels, pyramid, quant, raster, rings, search
+from .operators import catalog, change, cluster, codebook, evaluate, fetch, geom, labels, pyramid, quant, raster, rings, search
 from .plans import evaluation, ingest
 from .plans.evaluation import labelled_pixels
 from .session import scratch, small, stored
@@ -448,6 +448,27 @@ def image_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("viewport", "year", *(_r(x) for x in ("west", "south", "east", "north", "center_lat", "center_lon")))
 
 
+@query
+def point_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request around every pixel, some of them bad, by a registry of tiles of 8 x 8 pixels; what each gets, and from which origin."""
+    p = pixels(spark, sf_dir)
+    tile = (F.floor(F.col("py") / 8) * 4 + F.floor(F.col("px") / 8)).cast("int")
+    path = scratch(spark, "tiles")
+    p.select("idx", tile.alias("tile"), GRID.lat(F.col("px"), F.col("py")).alias("lat"), GRID.lon(F.col("px"), F.col("py")).alias("lon")).write.partitionBy("tile").parquet(path)
+    x, y = (F.col("tile") % 4) * 8, F.floor(F.col("tile") / 4) * 8
+    corner = F.struct(GRID.lon(x, y).alias("lon"), GRID.lat(x, y).alias("lat"), F.lit(GRID.a).alias("dx"), F.lit(GRID.e).alias("dy"))
+    state = F.when(F.col("tile") % 5 == 3, "slow").when(F.col("tile") % 5 == 4, "broken").otherwise("ready")
+    registry = p.select(tile.alias("tile")).distinct().select(
+        "tile", GRID.lon(x, y).alias("west"), GRID.lat(x, y + 8).alias("south"), GRID.lon(x + 8, y).alias("east"), GRID.lat(x, y).alias("north"),
+        F.when(F.col("tile") % 2 == 0, corner).alias("origin"), state.alias("state"),
+    )
+    lat, lon = GRID.lat(F.col("px"), F.col("py")) - 0.003, GRID.lon(F.col("px"), F.col("py")) + 0.003
+    points = p.select(F.col("idx").alias("point"), F.when(F.col("idx") % 17 == 0, 95.0).when(F.col("idx") % 23 != 0, lat).alias("lat"), F.when(F.col("idx") % 19 == 0, lon + 10).otherwise(lon).alias("lon"))
+    found = fetch.outcomes(points, registry, 3.0, 3.0, 0.1)
+    counted = fetch.fetched(found, spark.read.parquet(path)).groupBy("point").agg(F.count(F.lit(1)).alias("n"), F.sum("idx").alias("total"))
+    return found.join(counted, "point", "left").select("point", "status", "tile", F.round("origin.lon", 6).alias("origin_lon"), _r("west"), _r("north"), F.coalesce("n", F.lit(0)).alias("n"), "total")
+
+
 @query
 def crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R5."""

@@ -30,13 +30,24 @@ def session(name: str = "lattica", master: str | None = None, **settings: str) -
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for a table, in the shared folder of spark.checkpoint.dir; a local one only where the session names none."""
+    """A new folder for a table, in the shared folder of spark.checkpoint.dir.
+
+    Without that setting a session of one machine gets a temporary folder; on a cluster,
+    whose machines would not see it, that is an error.
+    """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lattica-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not _one_machine(sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
+def _one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` computed once, as a table in the shared folder."""
     path = scratch(df.sparkSession, "table")

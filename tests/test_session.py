@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lattica import session as session_module
 from lattica.session import small
 
 
@@ -17,3 +18,8 @@ def test_larger_sides(spark):
     big = spark.range(5_000).select("id", F.sequence(F.lit(0), F.lit(60)).alias("v"))
     assert "hint" in small(big)._jdf.queryExecution().toString().lower()  # beyond 1 MB: broadcast from its own plan
     assert small(big, 100) is big
+
+
+def test_a_cluster_needs_a_shared_folder():
+    assert session_module._one_machine("local") and session_module._one_machine("local[8]")
+    assert not session_module._one_machine("local-cluster[3,2,3000]") and not session_module._one_machine("yarn")
