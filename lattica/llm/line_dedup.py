@@ -3,10 +3,11 @@
 Lines with a word are hashed once per text, and the hashes are kept as arrays. The least
 hash of every window of ``min_lines`` lines is a fingerprint, so that each run of that
 many lines is sure to hold one; a line of ``long_words`` words or more is one by itself.
-Only fingerprints are counted. Where one is found twice its positions are joined, with
-the hashes of the lines around it, and the match is extended both ways: each window on
-either side that this fingerprint stands for is compared by a 128-bit key with its first
-occurrence. Windows that hang together form a run as long as it goes.
+Only fingerprints are counted. Where one is found twice, each of its positions is joined
+with its first, and the match is extended line by line both ways, by 128 bits a line, as
+far as the windows go that the fingerprint stands for. Windows that differ from those of
+the first position can still be alike among themselves: they go on by a key of 128 bits.
+Windows that hang together form a run as long as it goes.
 """
 
 from __future__ import annotations
@@ -35,10 +36,11 @@ def line_hashes(rows: DataFrame, long_words: int) -> DataFrame:
 
 
 def fingerprints(lines: DataFrame, min_lines: int) -> DataFrame:
-    """One row per fingerprint: mark, its text, and the lines around it.
+    """One row per fingerprint: mark, its text, its line ``p`` there, and the lines around it.
 
     ``a``, ``b`` and ``at`` hold hashes and places from line ``s`` of the text on; ``ks``
-    are the first lines of the windows of ``size`` lines that the fingerprint stands for.
+    are the first lines of the windows of ``size`` lines that the fingerprint stands for,
+    one after the other.
     """
     w = min_lines
     starts = f"if(size(h1) >= {w}, sequence(1, size(h1) - {w} + 1), {_NONE})"
@@ -51,11 +53,37 @@ def fingerprints(lines: DataFrame, min_lines: int) -> DataFrame:
         transform(filter(sequence(1, size(h1)), k -> long[k - 1]), p -> struct(p as p, p as s, 1 as size, array(p) as ks)))"""
     each = best.select("r1", "r2", "doc_id", "at", "h1", "h2", F.expr(f"inline({marks})"))
     around = [F.expr(f"slice({x}, s, 2 * size - 1)").alias(y) for x, y in (("h1", "a"), ("h2", "b"), ("at", "at"))]
-    return each.select(F.expr("h1[p - 1]").alias("mark"), "r1", "r2", "doc_id", "s", "size", "ks", *around)
+    return each.select(F.expr("h1[p - 1]").alias("mark"), "r1", "r2", "doc_id", "p", "s", "size", "ks", *around)
 
 
 def extended(found: DataFrame) -> DataFrame:
-    """The windows around fingerprints, with their keys."""
+    """Positions of shared fingerprints, each compared with the first one of the same mark.
+
+    From the mark outwards, lines are alike ``before`` lines back and ``after`` lines on.
+    ``gone`` are places of a later position that lie in windows as in the first; ``ks``
+    are left with the windows that differ from those of the first.
+    """
+    key = ["mark", "size"]
+    first = found.groupBy(*key).agg(F.min(F.struct("doc_id", "p", "r1", "r2", "s", "a", "b")).alias("first"))
+    alike = "get(a, p - s {0} d) = get(first.a, first.p - first.s {0} d) and get(b, p - s {0} d) = get(first.b, first.p - first.s {0} d)"
+    steps = f"if(size > 1, sequence(1, size - 1), {_NONE})"
+    reach = "aggregate({}, 0, (n, d) -> if(n = d - 1 and {}, d, n))"
+    met = found.join(c.stored(first), key).withColumns({
+        "before": F.expr(reach.format(steps, alike.format("-"))),
+        "after": F.expr(reach.format(steps, alike.format("+"))),
+        "met": F.expr("get(b, p - s) = get(first.b, first.p - first.s)"),
+    })
+    same = met.withColumn("same", F.expr("filter(ks, k -> met and k >= p - before and k + size - 1 <= p + after)"))
+    later = "size(same) > 0 and struct(doc_id, p, r1, r2) > struct(first.doc_id, first.p, first.r1, first.r2)"
+    # windows of one fingerprint follow one another, and so do those among them that are alike
+    lines = "slice(at, array_min(same) - s + 1, array_max(same) - array_min(same) + size)"
+    told = same.withColumns({"gone": F.expr(f"if({later}, {lines}, null)"), "ks": F.expr("array_except(ks, same)")})
+    left = [F.expr(f"if(size(ks) > 0, {x}, null)").alias(x) for x in ("a", "b", "at")]
+    return told.where("gone is not null or size(ks) > 0").select("r1", "r2", "doc_id", "s", "size", "ks", "gone", *left)
+
+
+def windows_of(found: DataFrame) -> DataFrame:
+    """The windows ``ks`` of each position, with their places and keys."""
     part = "slice({}, k - s + 1, size)"
     return found.withColumn("k", F.explode("ks")).select(
         "r1", "r2", "doc_id", "k", F.expr(part.format("at")).alias("at"),
@@ -67,26 +95,29 @@ def repeated_lines(rows: DataFrame, min_lines: int, long_words: int) -> DataFram
     """Places of the lines of each row (r1, r2, doc_id, text) that lie in a later occurrence of a run."""
     lines = c.stored(line_hashes(rows, long_words))
     marks = fingerprints(lines, min_lines)
-    shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
+    shared = marks.groupBy("mark", "size").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark", "size")
     shared = c.stored(shared)  # joined as it lies, so that a frequent fingerprint's positions can be split
-    windows = c.stored(extended(marks.join(shared, "mark", "left_semi")))
-    seen = windows.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "k")).alias("first"))
-    later = windows.join(c.stored(seen.where("n > 1")), ["key", "key2"]).where("struct(doc_id, k) > first")
-    return later.groupBy("r1", "r2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("gone"))
+    matches = c.stored(extended(c.stored(marks.join(shared, ["mark", "size"], "left_semi"))))
+    windows = c.stored(windows_of(matches.where("size(ks) > 0")))
+    order = ["doc_id", "k", "r1", "r2"]
+    seen = windows.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first"))
+    others = windows.join(c.stored(seen.where("n > 1")), ["key", "key2"]).where(F.struct(*order) > F.col("first"))
+    gone = matches.where("gone is not null").select("r1", "r2", "gone").unionAll(others.select("r1", "r2", "at"))
+    return gone.groupBy("r1", "r2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("gone")))).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, min_lines: int = 2, long_words: int = 50) -> DataFrame:
     """Every text without the runs of lines that occurred earlier.
 
     A run of ``min_lines`` or more lines with words, or a line of ``long_words`` words
-    or more, is deleted unless it is the first in the order of doc_id and place.
+    or more, is deleted unless it is the first in the order of doc_id and place, and then
+    of a hash of id and text.
     Lines without words are passed over in matching and kept. Returns doc_id, text (the
     rest), n_lines, n_deleted, n_runs, one row per input row. A null or empty text
     stays as it is, with one line or none; a row repeated with id and text is the same
     document and fares alike; rows of null doc_id come last. Of a run that stands at the
-    same line of two texts without an id, or of two texts of one id, both copies are
-    first, and stay. Other columns are not looked at; an empty table gives an empty
-    result.
+    same line of two texts without an id, or of two texts of one id, one copy stays. Other
+    columns are not looked at; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found, name = rest_of_lines(rows, min_lines, long_words)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import pytest
@@ -121,7 +122,6 @@ def test_ngram_join_of_rows_without_an_id(spark):
 
 
 def test_folded_rows_bound_differences():
-    import random
 
     import numpy as np
 
@@ -247,7 +247,6 @@ def test_line_dedup(docs, rows):
 
 
 def test_line_fingerprints_are_fewer_than_lines_and_cover_every_window(spark):
-    import random
 
     r = random.Random(5)
     rows = [(i, 0, i, "\n".join("line %d" % r.randrange(10**6) for _ in range(200))) for i in range(10)]
@@ -274,6 +273,31 @@ def test_a_run_of_lines_is_found_at_any_offset(spark, w):
     assert all(r["n_deleted"] == 0 for r in line_dedup.line_dedup(short, w).collect())
 
 
+def test_one_copy_of_a_run_stays_among_texts_without_an_id_or_of_one_id(spark):
+    texts = [(None, "a b\nc d\n%s" % x) for x in ("x", "y", "z")] + [(4, "e f\ng h\n%s" % x) for x in ("x", "y")] + [(5, "k\nl")] * 2
+    found = line_dedup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    for doc, copies in ((None, 3), (4, 2)):
+        assert sorted(r["n_deleted"] for r in found if r["doc_id"] == doc) == [0] + [2] * (copies - 1)
+    assert [r["text"] for r in found if r["doc_id"] == 5] == ["k\nl"] * 2  # a repeated row is one document
+
+
+@pytest.mark.parametrize("w", [2, 3, 4])
+def test_runs_of_lines_against_brute_force(spark, w):
+    """Few different lines, so that a fingerprint stands in many surroundings and windows differ from the first."""
+    r = random.Random(w)
+    texts = ["\n".join("line %d" % r.randrange(6) for _ in range(r.randrange(14))) for _ in range(60)]
+    lines = [t.split("\n") if t else [] for t in texts]
+    first, want = {}, {}
+    for i, t in enumerate(lines):
+        gone = set()
+        for k in range(len(t) - w + 1):
+            if first.setdefault(tuple(t[k : k + w]), (i, k)) < (i, k):
+                gone |= set(range(k, k + w))
+        want[i] = "\n".join(x for k, x in enumerate(t) if k not in gone)
+    found = line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), w)
+    assert {x["doc_id"]: x["text"] for x in found.collect()} == want
+
+
 def test_line_dedup_keeps_columns_of_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b\nc d", "q", 1), (2, "a b\nc d\ne", "r", 2)], "doc_id long, text string, lines string, r1 int")
     found, name = line_dedup.rest_of_lines(df)
