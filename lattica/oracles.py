@@ -259,6 +259,7 @@ h AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(
 SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN 'u' || user_id || '_x_at_' || event_type || '-org_net' END AS folder, event_id % 7 <> 0 AS valid, base, CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 20 END AS INTEGER) AS variant,
   CASE event_id % 4 WHEN 0 THEN round((event_id % 256) / 255.0::DOUBLE, 6) WHEN 1 THEN round(170 / 255.0::DOUBLE, 6) WHEN 2 THEN round((event_id % 256) / 255.0::DOUBLE, 6) END AS red, CAST(abs(hashed) % 20 AS INTEGER) AS palette FROM h""",
         "pixel_table": _with(CHANGED, "SELECT idx, round(emb[1], 6) AS first FROM year2 WHERE idx % 3 = 1 AND px >= 3 AND px < 20 AND py >= 2 AND py < 15"),
+        "array_files": _with("SELECT idx, CAST(len(emb) AS INTEGER) AS width, round(emb[1], 6) AS first, round(list_sum(emb), 4) AS total FROM px"),
         "codebook_table": _with(STAGES, "SELECT t.idx, round(sum(a.value), 5) AS total FROM tiled t JOIN first a ON a.tile = t.tile AND a.code = t.i1 GROUP BY t.idx"),
         "label_file": """SELECT CASE WHEN event_id % 4 = 0 THEN 'a, "' || event_type || '"' || chr(10) || 'b' ELSE event_type END AS name, CAST(event_id % 3 AS VARCHAR) AS code, count(*) AS n, round(sum(value), 4) AS lat, round(sum(user_id::DOUBLE), 4) AS lon FROM events WHERE event_id % 6 <> 0 GROUP BY 1, 2""",
         "event_file": "SELECT event_type AS event, CASE WHEN event_id % 3 <> 0 THEN 'm' || (user_id % 5) END AS model, count(*) AS n, round(sum(value), 4) AS score FROM events WHERE event_type <> 'heartbeat' GROUP BY 1, 2",

@@ -19,7 +19,7 @@ from .sinks import bundles
 from .sinks import tables as sink_tables
 from .sinks import texts
 from .sources.labels import labels_from_export, labels_from_geojson, labels_from_table, read_labels
-from .sources import shapes
+from .sources import arrays, shapes
 from .sources.schemes import filter_scheme, scheme_from_lines, with_paths
 from .sources.tables import codebook_config, read_codebooks, read_pixels, read_results, read_vectors
 from .sources.viewports import parse_viewports
@@ -516,6 +516,14 @@ def pixel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_pixels(spark, path, "v1", [2024], (3, 2, 20, 15)).select("idx", F.round(F.col("emb")[0], 6).alias("first"))
 
 
+@query
+def array_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors written as array files and read again by byte ranges."""
+    folder = scratch(spark, "arrays")
+    arrays.write_vectors(pixels(spark, sf_dir), folder)
+    return arrays.read_vectors(spark, folder).select("idx", F.size("emb").alias("width"), F.round(F.col("emb")[0], 6).alias("first"), F.round(F.aggregate("emb", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
 @query
 def codebook_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quantised structure as tables, and what its pixels decode to."""
