@@ -234,8 +234,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str, with_ids: bool = True) -> DataF
 
     ``vocabulary`` is the path of a tokenizer definition (JSON) with a word-level BPE
     model. Returns doc_id, n_tokens, ids (array of int, if wanted), ids_sha256 and
-    decoded_sha256, one row per input row. A null or empty text has no ids. Other
-    columns are not looked at.
+    decoded_sha256, one row per input row, repeated rows included. A null or empty text
+    has no ids. Other columns are not looked at; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))  # a few MB, by the file
 

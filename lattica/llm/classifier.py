@@ -108,14 +108,19 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, sample: int = 5_000,
     those whose crc32(doc_id as text) mod 5 is not 0; only texts are looked at. Returns
     doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted, one row per
     input row. A null or empty text gets the bias's score; null labels are left out; with
-    labels of one class or none all scores are near that class, or a half. Other columns
-    are not looked at; an empty table gives an empty result.
+    labels of one class or none all scores are near that class, or a half. Of an id with
+    several labels the lower one is learnt, and of its texts the one of the least hash, so
+    that scores do not change from run to run. Other columns are not looked at; an empty
+    table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
-    drawn = known.where(~held_out).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    examples = rows.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).repartition(1)  # `sample` rows at most
+    one = known.where(~held_out).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    drawn = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "quality")).alias("first")
+    found = rows.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(first)
+    examples = found.select("doc_id", "first.text", "first.quality").repartition(1)  # `sample` rows at most
     model = c.map_batches(examples, _train, "weights binary, bias double").first()
     shared = docs.sparkSession.sparkContext.broadcast((bytes(model["weights"]), model["bias"]) if model else (bytes(4 * BUCKETS), 0.0))
     scored = c.map_batches(rows, _score(shared), "doc_id long, score double")

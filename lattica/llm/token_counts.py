@@ -90,8 +90,8 @@ def token_counts(docs: DataFrame, scores: dict[str, float]) -> DataFrame:
     other than ASCII white space, with a mark in front. Each takes the segmentation of
     the highest total score, of these one of the fewest tokens. A character that no
     piece covers counts as a token for each of its bytes. Returns doc_id, n_pretokens,
-    n_tokens, one row per input row. A null or empty text has none. Other columns are
-    not looked at; an empty table gives an empty result.
+    n_tokens, one row per input row, repeated rows included. A null or empty text has
+    none. Other columns are not looked at; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scores)  # a vocabulary, some MB
 

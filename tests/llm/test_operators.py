@@ -450,3 +450,18 @@ def test_loser_tree_merges():
     out = list(suffix_dedup.merge_runs(coded))
     assert [x[1] for x in out] == sorted(sum(runs, []))
     assert all(x[0] == suffix_dedup.common_prefix(p[1], x[1]) for p, x in zip(out, out[1:]))
+
+
+def test_quality_scores_do_not_depend_on_the_order_of_rows(spark):
+    """Ids with two labels and two texts."""
+    r = random.Random(8)
+    texts = [(k % 40, " ".join(r.choice(("good", "fine", "text", "spam", "junk")) + str(r.randrange(9)) for _ in range(30))) for k in range(80)]
+    marks = [(k % 40, (k * 7) % 3 % 2) for k in range(80)]
+    scores = []
+    for n in (1, 5):
+        r.shuffle(texts)
+        r.shuffle(marks)
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(n)
+        found = classifier.quality_classifier(docs, spark.createDataFrame(marks, "doc_id long, quality int").repartition(6 - n))
+        scores.append(sorted((x["doc_id"], x["score"]) for x in found.collect()))
+    assert len(scores[0]) == 80 and scores[0] == scores[1]
