@@ -28,7 +28,9 @@ def tile_x(lon: Column, z: Column) -> Column:
 
 def tile_y(lat: Column, z: Column) -> Column:
     """Row of the map tile that holds a latitude."""
-    return F.floor((1 - F.asinh(F.tan(F.radians(lat))) / 3.141592653589793) / 2 * F.pow(F.lit(2.0), z))
+    t = F.tan(F.radians(lat))
+    inverse = F.signum(t) * F.asinh(F.abs(t))  # Spark's own is -inf for large negative numbers, as at the south pole
+    return F.floor((1 - inverse / 3.141592653589793) / 2 * F.pow(F.lit(2.0), z))
 
 
 def pyramid_level(zoom: Column) -> Column:

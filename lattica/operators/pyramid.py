@@ -96,11 +96,15 @@ def tiles(stored_levels: DataFrame, levels_of: DataFrame, requests: DataFrame, s
     keys = ["viewport", "year", "level"]
     steps = F.sequence(F.lit(0), F.lit(size - 1))
 
-    def side(name: str, start: str, length: str, place: str) -> DataFrame:
-        at = F.floor((F.col(name) + 0.5) * F.col(length) / size) + F.col(start)
-        return found.withColumn(name, F.explode(steps)).select(*keys, "z", "x", "y", name, at.alias(place))
-
-    across, down = side("tile_col", "x0", "w", "col"), side("tile_row", "y0", "h", "row")
+    def side(df: DataFrame, start: str, length: str, place: str) -> DataFrame:
+        """The places along a side of each window, each with the first and last step of the tile that shows it."""
+        at = lambda step: F.floor((step + 0.5) * F.col(length) / size) + F.col(start)
+        turns = F.filter(steps, lambda step: (step == 0) | (at(step) != at(step - 1)))
+        each = df.withColumn("__turns", turns).select("*", F.posexplode("__turns").alias("__k", f"{place}_first"))
+        last = F.coalesce(F.get("__turns", F.col("__k") + 1) - 1, F.lit(size - 1))
+        return each.withColumns({place: at(F.col(f"{place}_first")), f"{place}_last": last}).where(F.col(place) >= 0).drop("__turns", "__k")
+
+    spots = side(side(found, "x0", "w", "col"), "y0", "h", "row").drop("x0", "y0", "w", "h")
     bands = [x for x in stored_levels.columns if x not in (*keys, "col", "row", "morton")]
     folders = found.select(keys).distinct().limit(FOLDERS + 1).collect()
     if len(folders) <= FOLDERS:  # named in the scan; of more, the join picks the rows
@@ -108,8 +112,9 @@ def tiles(stored_levels: DataFrame, levels_of: DataFrame, requests: DataFrame, s
         for f in folders:
             named |= (F.col("viewport") == f["viewport"]) & (F.col("year") == f["year"]) & (F.col("level") == f["level"])
         stored_levels = stored_levels.where(named)
-    hit = stored_levels.join(small(across, 100_000), [*keys, "col"]).join(small(down, 100_000), [*keys, "z", "x", "y", "row"])
-    return hit.select("viewport", "year", "z", "x", "y", "tile_col", "tile_row", *bands)
+    hit = stored_levels.join(small(spots, 100_000), [*keys, "col", "row"])  # by both places: as large as the windows
+    shown = lambda place: F.explode(F.sequence(f"{place}_first", f"{place}_last"))
+    return hit.withColumn("tile_col", shown("col")).withColumn("tile_row", shown("row")).select("viewport", "year", "z", "x", "y", "tile_col", "tile_row", *bands)
 
 
 def bounds(levels_of: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from lattica.functions.grid import tile_y
 from lattica.operators import pyramid, raster
 from lattica.session import scratch
 
@@ -78,3 +79,32 @@ def test_bounds_of_the_full_level(table):
     rows = {r["viewport"]: r for r in pyramid.bounds(table[1]).collect()}
     assert (rows["b"]["west"], round(rows["b"]["south"], 9), round(rows["b"]["east"], 9), rows["b"]["north"]) == (10.0, 9.36, 10.64, 10.0)
     assert round(rows["b"]["center_lat"], 9) == 9.68
+
+
+def test_tiles_meet_pixels_by_both_places(spark, table):
+    """Windows smaller and larger than a tile, as pixel by pixel; no join is by one side alone, which pairs each pixel with every tile of its column."""
+    levels, sizes = table
+    at = lambda z, lon, lat: (z, math.floor((lon + 180) / 360 * 2**z), math.floor((1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2 * 2**z))
+    asked = {at(z, lon, 51.96) for z in (8, 10, 12, 13, 14) for lon in (-0.9, -0.87, -0.7)}
+    requests = spark.createDataFrame([("a", 2024, *x) for x in asked], "viewport string, year int, z int, x long, y long")
+    found = pyramid.tiles(levels, sizes, requests, 8)
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line and "(col#" in line]
+    assert joins and all("(row#" in line for line in joins)
+    held = {(r["level"], r["col"], r["row"]): r["band"] for r in levels.where("viewport = 'a'").collect()}
+    want = {}
+    for r in pyramid.windows(requests, sizes).collect():
+        for c in range(8):
+            for d in range(8):
+                at = r["level"], math.floor((c + 0.5) * r["w"] / 8) + r["x0"], math.floor((d + 0.5) * r["h"] / 8) + r["y0"]
+                if at in held:
+                    want[r["z"], r["x"], r["y"], c, d] = held[at]
+    assert len({k[0] for k in want}) > 3
+    rows = [((r["z"], r["x"], r["y"], r["tile_col"], r["tile_row"]), r["band"]) for r in found.collect()]
+    assert dict(rows) == want and len(rows) == len(want)
+
+
+def test_map_tiles_at_and_beyond_the_poles(spark):
+    """A grid that runs on past the south pole has numbered rows there, as by an exact inverse of sinh."""
+    lats = [52.0, 0.0, -45.0, -85.0, -89.99, -90.0, -90.01, -236.0]
+    got = [r["y"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(lats)], "i int, lat double").orderBy("i").select(tile_y(F.col("lat"), F.lit(8)).alias("y")).collect()]
+    assert got == [math.floor((1 - math.asinh(math.tan(math.radians(x))) / math.pi) / 2 * 2**8) for x in lats]
