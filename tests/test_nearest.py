@@ -1,6 +1,9 @@
-"""Nearest rows of blocks of vectors: what single precision leaves out."""
+"""Nearest rows of blocks of vectors: what single precision leaves out, and what a task holds."""
+
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lattica.operators import search
@@ -24,3 +27,25 @@ def test_blocks_one_by_one_as_brute_force(kind, scale):
     d2 = ((a[None] - b[:, None]) ** 2).sum(2)
     order = np.lexsort((np.broadcast_to(ids, d2.shape), d2), axis=1)[:, :k]
     assert (held[0] == np.take_along_axis(d2, order, 1)).all() and (held[1] == ids[order]).all() and (held[2] == ids[order] * 2.0).all()
+
+
+def _pairs(n_left, n_right, size=1024, dims=64):
+    r = np.random.default_rng(4)
+    vectors = lambda: r.normal(size=size * dims)
+    right = [(k, np.arange(size) + k * size, vectors()) for k in range(n_right)]
+    for k in range(n_left):
+        rows, v = vectors(), np.zeros(size)
+        for b, q, qv in right:
+            lists = [pa.array([x]) for x in (np.arange(size) + k * size, v, rows)]
+            yield pa.RecordBatch.from_arrays([*lists, pa.array([b]), pa.array([q]), pa.array([qv])], names=["idx", "v", "rv", "b", "q", "qv"])
+
+
+def test_a_task_emits_a_row_a_block_and_holds_little():
+    """Of 4 blocks of rows by 2 of queries: two rows come out, and no matrix of all pairs in double precision is made."""
+    batches = list(_pairs(4, 2))
+    tracemalloc.start()
+    found = list(search._keep_nearest(5)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(x.column("b")[0].as_py() for x in found) == [0, 1] and all(x.num_rows == 1 for x in found)
+    assert peak < 20 << 20
